@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "adoption")
+MODULES = ("cleaning", "adoption", "series", "forecasts", "reconciliation")
 
 
 def load_all():

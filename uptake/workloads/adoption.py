@@ -341,25 +341,24 @@ def _sheet(spark, sf):
     wide = yearly.groupBy("Category", "Fuel_Type").agg(*[
         F.max(F.when(F.col("Year") == year, F.col("text"))).alias(f"FY{year}") for year in YEARS
     ])
+    years = [f"FY{year}" for year in YEARS]
     place = F.lit(None).cast("long")
     for row, fuel in enumerate(("Total", "ELECTRIC(BOV)", "PETROL", "DIESEL")):
         place = F.when(F.col("Fuel_Type") == fuel, F.lit(row).cast("long")).otherwise(place)
-    years = [f"FY{year}" for year in YEARS]
-    national = wide.where((F.col("Category") == "All Vehicles") & place.isNotNull()).select(
-        F.lit("India").alias("a"), F.col("Fuel_Type").alias("b"), *years,
-        place.alias(ROW_NO),
-    )
-    classes = wide.where(F.col("Category") != "All Vehicles").select(
-        F.col("Category").alias("a"), F.col("Fuel_Type").alias("b"), *years,
-        (F.monotonically_increasing_id() + 7).alias(ROW_NO),
-    )
-    footer = national.where(F.col(ROW_NO) == 0).select(
-        F.lit("Source: registers").alias("a"), "b", *years, F.lit(None).cast("long").alias(ROW_NO)
-    )
-    blank = national.where(F.col(ROW_NO) <= 1).select(
-        F.lit("Gap").alias("a"), "b", *years, (F.col(ROW_NO) + 4).alias(ROW_NO)
+
+    def entry(label, row):
+        return F.struct(label.alias("a"), row.cast("long").alias(ROW_NO))
+
+    # Each label pair becomes its sheet rows in place, so the yearly fact is computed once.
+    national = F.col("Category") == "All Vehicles"
+    entries = F.array(
+        F.when(national & (place >= 0), entry(F.lit("India"), place)),
+        F.when(national & (place <= 1), entry(F.lit("Gap"), place + 4)),
+        F.when(national & (place == 0), entry(F.lit("Source: registers"), F.lit(None))),
+        F.when(~national, entry(F.col("Category"), F.monotonically_increasing_id() + 7)),
     )
-    return reshape.stack(national, classes, footer, blank)
+    placed = wide.withColumn("e", F.explode(F.array_compact(entries)))
+    return placed.select("e.a", F.col("Fuel_Type").alias("b"), *years, f"e.{ROW_NO}")
 
 
 _SHEET_YEARS = "(SELECT unnest(range({}, {})) AS Year)".format(YEARS[0], YEARS[-1] + 1)
@@ -404,7 +403,10 @@ def sheet_bands_raw_labels(spark, sf):
 
 
 def _stacked_grid(spark, sf):
-    """A reference table with a fuel row above the year row, one block of years per fuel."""
+    """A reference table with a fuel row above the year row, one block of years per fuel.
+
+    Only years 20xx count in such a table, so each year is written ten years later.
+    """
     blocks = ("PETROL", "ELECTRIC(BOV)")
     slots = [(fuel, year) for fuel in blocks for year in YEARS]
     reg = facts.registrations(spark, sf).withColumn("Year", F.year("Date"))
@@ -418,7 +420,7 @@ def _stacked_grid(spark, sf):
     cells = [f"c{i}" for i in range(len(slots) + 1)]
     body = body.withColumnRenamed("State", "c0").withColumn(ROW_NO, F.lit(None).cast("long"))
     fuel_row = [None] + [fuel if year == YEARS[0] else None for fuel, year in slots]
-    year_row = ["State/UT"] + [str(year) for _, year in slots]
+    year_row = ["State/UT"] + [str(year + 10) for _, year in slots]
     total_row = ["Grand Total"] + ["1" for _ in slots]
     schema = ", ".join(f"{c} string" for c in cells) + f", {ROW_NO} long"
     head = spark.createDataFrame(
@@ -433,7 +435,7 @@ WITH {REG}, sums AS (
   SELECT State, CAST(year(Date) AS INTEGER) AS Year, sum(Registrations) AS v
   FROM reg WHERE Is_EV GROUP BY ALL),
 states AS (SELECT DISTINCT State FROM reg)
-SELECT 'Nation' || State[7:] AS State, CAST(y.Year AS INTEGER) AS Year,
+SELECT 'Nation' || State[7:] AS State, CAST(y.Year + 10 AS INTEGER) AS Year,
        coalesce(v, 0) AS Reference_EV_Registrations
 FROM (SELECT * FROM states, {_SHEET_YEARS}) y LEFT JOIN sums s USING (State, Year)""")
 def two_row_header_long(spark, sf):
