@@ -39,7 +39,9 @@ def score(
 
     Besides the keys: Period and Step (axis position, and position from the start of the series;
     negative for trimmed leading zeros), Observed, Value, Actual, Predicted, Spread and the per
-    series columns Start, Last, Modelled, Fit, Positive_Rows.
+    series columns Start, Last, Modelled, Fit, Positive (periods with a value above 0).
+
+    The input may be raw rows: there is no need to sum it per period first.
     """
     if policy.degree not in (1, 2):
         raise ValueError("the model is a line or a parabola")
@@ -56,7 +58,7 @@ def _observed(df, keys, value, date, policy, grain):
     rows = (
         df.where(F.col(date).isNotNull())
         .groupBy(*keys, dates.period_index(F.col(date), grain).alias("Period"))
-        .agg(total(measure).alias("Value"), F.count_if(amount > 0).alias("__positive_rows"))
+        .agg(total(measure).alias("Value"))
     )
     return rows if policy.clip_negative else rows.where(F.col("Value") >= 0)
 
@@ -72,7 +74,6 @@ def _with_span(series, keys, policy):
         "__next": F.lead("Period").over(whole.orderBy("Period")),
         "Start": first,
         "Last": F.max("Period").over(whole),
-        "Positive_Rows": F.sum("__positive_rows").over(whole),
     })
 
 
@@ -88,7 +89,7 @@ def _with_moments(series, keys, policy, grain):
         "__y": F.sum(y).over(whole),
         "__ty": F.sum(t * y).over(whole),
         "__tty": F.sum(t * t * y).over(whole),
-        "__positive": F.count_if(y > 0).over(whole),
+        "Positive": F.count_if(y > 0).over(whole),
         "__seen": F.count_if(live).over(whole),
         "__low": F.min(F.when(live, y)).over(whole),
         "__high": F.max(F.when(live, y)).over(whole),
@@ -138,7 +139,7 @@ def _with_model(series, policy):
         (F.col("__seen") == n) | (F.col("__high") == 0)
     )
     out = series.withColumns({
-        "Modelled": (n >= policy.min_periods) & (F.col("__positive") >= policy.min_positive),
+        "Modelled": (n >= policy.min_periods) & (F.col("Positive") >= policy.min_positive),
         "__constant": constant,
         "__quadratic": (
             F.lit(policy.degree == 2) if not policy.adaptive_degree
@@ -248,7 +249,7 @@ def metrics(
     """
     per_series = scored.groupBy(*keys).agg(
         F.max("Fit").alias("Model_Fit_Score"),
-        F.max("Positive_Rows").alias("Nonzero_EV_Months"),
+        F.max("Positive").alias("Nonzero_EV_Months"),
         F.max("Last").alias("__last"),
         F.bool_or("Modelled").alias("Modelled"),
     )

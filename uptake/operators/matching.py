@@ -57,14 +57,15 @@ def join_dimension(
 ) -> DataFrame:
     """Join a fact with additive measures to a dimension whose key is unique.
 
-    A dimension under the broadcast threshold joins in place: the fact is not shuffled, so a hot
-    key costs nothing. A larger one needs a shuffle on the key, and there a hot key would fill one
-    task; so the fact is first summed per key and kept column. That collapses a hot key on the map
-    side to one row per combination of kept columns, and AQE can still split what is left.
+    A dimension under the session's broadcast threshold joins in place: Spark broadcasts it, the
+    fact is not shuffled, so a hot key costs nothing. A larger one needs a shuffle on the key, and
+    there a hot key would fill one task; so the fact is first summed per key and kept column. That
+    collapses a hot key on the map side to one row per combination of kept columns, and AQE can
+    still split what is left.
 
     ``small`` overrides the size check (for tests).
     """
     if fits_broadcast(dimension) if small is None else small:
-        return fact.join(F.broadcast(dimension), on)
+        return fact.join(dimension, on)
     summed = fact.groupBy(on, *keep).agg(*[total(F.col(name)).alias(name) for name in sums])
     return summed.join(dimension, on)

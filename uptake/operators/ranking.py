@@ -34,14 +34,8 @@ def tail(df: DataFrame, by, k: int) -> DataFrame:
 
 
 def arg_max(df: DataFrame, by: str, tie_break: str, columns=None) -> DataFrame:
-    """The one row with the largest value, smallest tie break first, as a plain aggregate."""
-    picked = columns or df.columns
-    best = df.where(F.col(by).isNotNull()).groupBy(tie_break).agg(
-        F.max_by(F.struct(*picked), F.col(by)).alias("__row"), F.max(by).alias("__by")
-    )
-    return (
-        best.orderBy(F.desc("__by"), F.asc_nulls_last(tie_break)).limit(1).select("__row.*")
-    )
+    """The one row with the largest value, smallest tie break first."""
+    return top_k(df, by, 1, [tie_break]).select(*(columns or df.columns))
 
 
 def latest_rows(df: DataFrame, order: str) -> DataFrame:

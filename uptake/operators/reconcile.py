@@ -56,9 +56,19 @@ def adjustment_factors(
 
 
 def apply_factors(monthly: DataFrame, factors: DataFrame) -> DataFrame:
-    """Monthly values with their factor; a state and year without one keeps its values."""
-    lookup = factors.select(*KEYS, "Adjustment_Factor", "Use_Reference_Adjustment")
-    joined = monthly.join(lookup, KEYS, "left").withColumns({
+    """Monthly values with their factor; a state and year without one keeps its values.
+
+    The join is null-safe. That matches NULL states, and it keeps Spark from adding not-null
+    filters below the factors, so their shuffle of the monthly frame is the one reused here.
+    """
+    lookup = factors.select(
+        F.col("State").alias("__state"), F.col("Year").alias("__year"),
+        "Adjustment_Factor", "Use_Reference_Adjustment",
+    )
+    same = monthly["State"].eqNullSafe(lookup["__state"]) & monthly["Year"].eqNullSafe(
+        lookup["__year"]
+    )
+    joined = monthly.join(lookup, same, "left").drop("__state", "__year").withColumns({
         "Adjustment_Factor": F.coalesce("Adjustment_Factor", F.lit(1.0)),
         "Use_Reference_Adjustment": F.coalesce("Use_Reference_Adjustment", F.lit(False)),
     })

@@ -121,45 +121,55 @@ def leading(outlook: DataFrame, key: str) -> DataFrame:
 
 # ---- state forecast -----------------------------------------------------------------------
 
-def state_outlook(
-    scored: DataFrame, year: int, base_year: int,
-    policy: ForecastPolicy = DEFAULT.forecast, key: str = "State",
-) -> DataFrame:
-    """Prediction of a year per state with growth against a base year, fit and confidence.
+def _per_state(scored, year, base_year, policy, key):
+    """One aggregate by key over the scored rows: prediction, base value and metrics together.
 
-    One aggregate by key over the scored rows gives prediction, base value and metrics together,
-    where separate frames would have to be joined.
+    The rows already lie partitioned by key; separate frames would have to be joined.
     """
     period_year = F.floor(F.col("Period") / 12)
-    base = f"Actual_EV_Registrations_{base_year}"
     seen_in_base = F.col("Observed") & (period_year == base_year)
     predicted_in_year = (F.col("Step") >= 0) & (period_year == year)
     rows = scored.groupBy(key).agg(
         F.sum(F.when(predicted_in_year, F.col("Predicted"))).alias(PREDICTED),
-        F.sum(F.when(seen_in_base, F.col("Value"))).alias(base),
+        F.sum(F.when(seen_in_base, F.col("Value"))).alias("__base"),
         F.max("Fit").alias("Model_Fit_Score"),
-        F.max("Positive_Rows").alias("Nonzero_EV_Months"),
+        F.max("Positive").alias("Nonzero_EV_Months"),
         F.max("Last").alias("__last"),
         F.bool_or("Modelled").alias("Modelled"),
-    ).where(F.col(PREDICTED).isNotNull())
-    months, fit = F.col("Nonzero_EV_Months"), F.col("Model_Fit_Score")
+    )
+    tier = fc.confidence_tier(F.col("Model_Fit_Score"), F.col("Nonzero_EV_Months"), policy)
+    return rows.withColumn("Forecast_Confidence", tier)
+
+
+def state_outlook(
+    scored: DataFrame, year: int, base_year: int,
+    policy: ForecastPolicy = DEFAULT.forecast, key: str = "State",
+) -> DataFrame:
+    """Prediction of a year per state with growth against a base year, fit and confidence."""
+    rows = _per_state(scored, year, base_year, policy, key)
+    base = F.col("__base")
     last = dates.month_label(dates.period_date(F.col("__last"), "month"))
-    return rows.select(
-        key, F.lit(year).alias("Year"), PREDICTED, base, fit, months,
-        last.alias("Last_Actual_Month"),
-        fc.method_name(policy).alias("Forecast_Method"),
-        fc.confidence_tier(fit, months, policy).alias("Forecast_Confidence"),
-        pct_change(F.col(PREDICTED), F.col(base)).alias(f"Growth_vs_{base_year}_Percent"),
+    return rows.where(F.col(PREDICTED).isNotNull()).select(
+        key, F.lit(year).alias("Year"), PREDICTED,
+        base.alias(f"Actual_EV_Registrations_{base_year}"),
+        "Model_Fit_Score", "Nonzero_EV_Months", last.alias("Last_Actual_Month"),
+        fc.method_name(policy).alias("Forecast_Method"), "Forecast_Confidence",
+        pct_change(F.col(PREDICTED), base).alias(f"Growth_vs_{base_year}_Percent"),
     ).orderBy(*ranking.descending(PREDICTED), *ranking.ascending(key))
 
 
-def outlook_kpis(outlook: DataFrame, monthly: DataFrame, key: str = "State") -> DataFrame:
-    """One row: states forecast, states with high confidence, latest actual month."""
-    latest = monthly.agg(F.max("Date")).scalar()
-    return outlook.agg(
-        F.countDistinct(key).alias("States_Forecasted"),
-        F.count_if(F.col("Forecast_Confidence") == "High").alias("High_Confidence_States"),
-    ).withColumn("Latest_Actual_Month", dates.month_label(latest))
+def outlook_kpis(
+    scored: DataFrame, year: int, policy: ForecastPolicy = DEFAULT.forecast, key: str = "State"
+) -> DataFrame:
+    """One row: states forecast, states with high confidence, latest actual month of any state."""
+    rows = _per_state(scored, year, year, policy, key)
+    shown = F.col(PREDICTED).isNotNull()
+    latest = dates.period_date(F.max("__last"), "month")
+    return rows.agg(
+        F.count_if(shown).alias("States_Forecasted"),
+        F.count_if(shown & (F.col("Forecast_Confidence") == "High")).alias("High_Confidence_States"),
+        dates.month_label(latest).alias("Latest_Actual_Month"),
+    )
 
 
 def combined_trend(
@@ -168,7 +178,8 @@ def combined_trend(
     """Actual rows above fitted and forecast rows.
 
     Predictions up to the last actual month of *all* states count as fitted. Each scored row turns
-    into its one or two trend rows in place, so the series are computed once.
+    into its one or two trend rows in place, so the series are computed once; the monthly frame
+    only gives the last month (stage it first if it is not a stored table).
     """
     latest = monthly.agg(F.max("Date")).scalar()
     rows = scored if state is None else scored.where(F.col(key) == state)

@@ -1,0 +1,22 @@
+"""Materialise a small summed frame that several branches of a plan read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame into the folder the session names in ``spark.checkpoint.dir``.
+
+    The files survive the loss of executors and the raw tables below are read once, however many
+    branches follow. Without such a folder the frame is returned as it is and each branch computes
+    it again. Meant for summed frames, whose size the calendar bounds, never for raw facts.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

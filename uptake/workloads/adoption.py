@@ -8,6 +8,7 @@ from uptake.operators import adoption, ranking, reshape, rollups
 from uptake.plans import preparation, reports, sheets
 from uptake.plans.variants import BATCH, DASHBOARD
 from uptake.sources.readers import ROW_NO
+from uptake.sources.staging import stage
 from uptake.workloads import facts
 from uptake.workloads.facts import (
     CATEGORY_EV, END_YEAR, REG, START_YEAR, STATE_EV, YEARLY, YEARS, r4,
@@ -183,7 +184,7 @@ WITH {STATE_EV}, h AS (SELECT * FROM state_ev ORDER BY State, Date LIMIT 5),
      t AS (SELECT * FROM state_ev ORDER BY State DESC, Date DESC LIMIT 5)
 SELECT *, 'head' AS Part FROM h UNION ALL SELECT *, 'tail' FROM t""")
 def head_tail_preview(spark, sf):
-    ev = facts.state_ev(spark, sf)
+    ev = stage(facts.state_ev(spark, sf))
     order = ["State", "Date"]
     return reshape.stack(
         ranking.head(ev, order, 5).withColumn("Part", F.lit("head")),

@@ -95,6 +95,13 @@ def yearly(spark: SparkSession, sf: str) -> DataFrame:
     return summed.withColumn("Is_EV", is_ev_fuel(F.col("Fuel_Type")))
 
 
+def ev_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The electric registrations as forecast input: State, Category, Date, EV_Registrations."""
+    return registrations(spark, sf).where("Is_EV").withColumnRenamed(
+        "Registrations", "EV_Registrations"
+    )
+
+
 def state_ev(spark: SparkSession, sf: str) -> DataFrame:
     """State, Date, Year, Month, EV_Registrations."""
     ev = registrations(spark, sf).where("Is_EV")
@@ -111,6 +118,13 @@ def category_ev(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumns({"Year": F.year("Date"), "Month": F.month("Date")})
 
 
+def order_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as forecast input: Date, EV_Registrations."""
+    return table(spark, sf, "orders").select(
+        month_of("o_orderdate").alias("Date"), F.lit(1.0).alias("EV_Registrations")
+    )
+
+
 def monthly_total(spark: SparkSession, sf: str) -> DataFrame:
     """Date, Year, Month, EV_Registrations of all orders: one table, no join."""
     orders = table(spark, sf, "orders")

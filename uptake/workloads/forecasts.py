@@ -12,6 +12,7 @@ from uptake.operators import forecast as fc
 from uptake.operators.rollups import value_counts
 from uptake.plans import reports
 from uptake.plans.variants import BATCH, DASHBOARD, DEFAULT, ForecastPolicy
+from uptake.sources.staging import stage
 from uptake.workloads import facts
 from uptake.workloads.facts import CATEGORY_EV, END_YEAR, HORIZON, MONTHLY, STATE_EV, r4
 from uptake.workloads.registry import query, rounded
@@ -38,6 +39,9 @@ def _sql(
     )
     per_year = 12 if grain == "month" else 365
     first = "coalesce(min(p) FILTER (y > 0), min(p))" if policy.trim_leading_zeros else "min(p)"
+    measure, keep = f"coalesce({value}, 0)", "HAVING y >= 0"
+    if policy.clip_negative:
+        measure, keep = f"greatest({measure}, 0)", ""
     quadratic = "true" if not policy.adaptive_degree else f"n >= {policy.quadratic_from}"
     growth = "0.0" if policy.fallback == "mean" else f"""
       pow(1 + least(greatest(coalesce(CASE WHEN y2 > y1 THEN pow(v2 / v1, 1.0 / (y2 - y1)) - 1 END,
@@ -48,9 +52,8 @@ def _sql(
     modelled = f"n >= {policy.min_periods} AND pos >= {policy.min_positive}"
     return f"""{source},
   obs AS (SELECT {k}, CAST({period} AS BIGINT) AS p,
-                 CAST(sum(greatest(coalesce({value}, 0), 0)) AS DOUBLE) AS y,
-                 count(*) FILTER ({value} > 0) AS pr FROM {table} GROUP BY ALL),
-  span AS (SELECT {k}, {first} AS s, max(p) AS l, CAST(sum(pr) AS BIGINT) AS positive_rows
+                 CAST(sum({measure}) AS DOUBLE) AS y FROM {table} GROUP BY ALL {keep}),
+  span AS (SELECT {k}, {first} AS s, max(p) AS l, count(*) FILTER (y > 0) AS positive_rows
            FROM obs GROUP BY {k}),
   cal AS (SELECT {k}, s, l, positive_rows,
                  unnest(range(s, greatest(l, {last_period(end, grain)}) + 1)) AS p FROM span),
@@ -108,15 +111,15 @@ def _rows(df, keys, policy=GROWTH, end=HORIZON, grain="month", value=EV):
 
 
 def _state_scores(spark, sf, policy=GROWTH):
-    return fc.score(facts.state_ev(spark, sf), ["State"], end=HORIZON, policy=policy)
+    return fc.score(facts.ev_rows(spark, sf), ["State"], end=HORIZON, policy=policy)
 
 
 def _category_scores(spark, sf, policy=GROWTH):
-    return fc.score(facts.category_ev(spark, sf), ["Category"], end=HORIZON, policy=policy)
+    return fc.score(facts.ev_rows(spark, sf), ["Category"], end=HORIZON, policy=policy)
 
 
 def _national_scores(spark, sf, policy=GROWTH):
-    return fc.score(facts.monthly_total(spark, sf), end=HORIZON, policy=policy)
+    return fc.score(facts.order_rows(spark, sf), end=HORIZON, policy=policy)
 
 
 _STATE = _sql(STATE_EV, "state_ev", ("State",))
@@ -128,31 +131,43 @@ _NATIONAL = _sql(f"{MONTHLY}, m AS (SELECT *, 1 AS k FROM monthly)", "m", ("k",)
 
 @query(f"WITH {_NATIONAL} SELECT * EXCLUDE (k) FROM fc")
 def forecast_national(spark, sf):
-    return _rows(facts.monthly_total(spark, sf), [])
+    return _rows(facts.order_rows(spark, sf), [])
 
 
 @query(f"WITH {_CATEGORY} SELECT * FROM fc")
 def forecast_category(spark, sf):
-    return _rows(facts.category_ev(spark, sf), ["Category"])
+    return _rows(facts.ev_rows(spark, sf), ["Category"])
 
 
 @query(f"WITH {_STATE} SELECT * FROM fc")
 def forecast_state(spark, sf):
-    return _rows(facts.state_ev(spark, sf), ["State"])
+    return _rows(facts.ev_rows(spark, sf), ["State"])
 
 
 @query(f"WITH {_sql(STATE_EV, 'state_ev', ('State',), MEAN)} SELECT * FROM fc")
 def forecast_state_untrimmed(spark, sf):
     """No trimming, always a parabola, mean fallback."""
-    return _rows(facts.state_ev(spark, sf), ["State"], MEAN)
+    return _rows(facts.ev_rows(spark, sf), ["State"], MEAN)
+
+
+_SIGNED = f"""{STATE_EV}, signed AS (
+  SELECT State, Date, EV_Registrations - 2 AS EV_Registrations FROM state_ev)"""
 
 
 @query(f"""
-WITH {_sql(STATE_EV, 'state_ev', ('State',), replace(PLAIN, clip_negative=True))}
+WITH {_sql(_SIGNED, 'signed', ('State',), PLAIN)}
 SELECT * EXCLUDE (CI_Lower, CI_Upper) FROM fc""")
 def forecast_state_plain(spark, sf):
-    """The variant without a range."""
-    return _rows(facts.state_ev(spark, sf), ["State"], PLAIN)
+    """The variant without a range that drops months with a negative sum."""
+    ev = facts.state_ev(spark, sf)
+    return _rows(ev.withColumn(EV, F.col(EV) - 2), ["State"], PLAIN)
+
+
+@query(f"WITH {_sql(_SIGNED, 'signed', ('State',))} SELECT * FROM fc")
+def forecast_state_clipped(spark, sf):
+    """Negative months count as 0."""
+    ev = facts.state_ev(spark, sf)
+    return _rows(ev.withColumn(EV, F.col(EV) - 2), ["State"])
 
 
 _LATE = f"""{STATE_EV}, late AS (
@@ -163,8 +178,8 @@ _LATE = f"""{STATE_EV}, late AS (
 @query(f"WITH {_sql(_LATE, 'late', ('State',))} SELECT * FROM fc")
 def forecast_state_trimmed(spark, sf):
     """Five leading years of zeros: they are cut, and the short rest gets a straight line."""
-    ev = facts.state_ev(spark, sf)
-    started = F.col("Year") >= facts.START_YEAR + 5
+    ev = facts.ev_rows(spark, sf)
+    started = F.year("Date") >= facts.START_YEAR + 5
     return _rows(ev.withColumn(EV, F.when(started, F.col(EV)).otherwise(0.0)), ["State"])
 
 
@@ -178,9 +193,9 @@ WITH {_sql(_EVENTS, 'ev', ('event_type',), value='n', end=_EVENTS_END, grain='da
 SELECT * FROM fc""")
 def forecast_daily_events(spark, sf):
     """A daily grain and another key."""
-    daily = facts.table(spark, sf, "events").groupBy(
-        "event_type", F.to_date("ts").alias("Date")
-    ).agg(F.count("*").cast("double").alias("n"))
+    daily = facts.table(spark, sf, "events").select(
+        "event_type", F.to_date("ts").alias("Date"), F.lit(1.0).alias("n")
+    )
     return _rows(daily, ["event_type"], end=_EVENTS_END, grain="day", value="n")
 
 
@@ -191,13 +206,13 @@ _FORCED_MEAN = replace(MEAN, min_periods=NEVER)
 @query(f"WITH {_sql(STATE_EV, 'state_ev', ('State',), _FORCED)} SELECT * FROM fc")
 def forecast_fallback_growth(spark, sf):
     """Every series takes the growth fallback."""
-    return _rows(facts.state_ev(spark, sf), ["State"], _FORCED)
+    return _rows(facts.ev_rows(spark, sf), ["State"], _FORCED)
 
 
 @query(f"WITH {_sql(STATE_EV, 'state_ev', ('State',), _FORCED_MEAN)} SELECT * FROM fc")
 def forecast_fallback_mean(spark, sf):
     """Every series takes the mean fallback."""
-    return _rows(facts.state_ev(spark, sf), ["State"], _FORCED_MEAN)
+    return _rows(facts.ev_rows(spark, sf), ["State"], _FORCED_MEAN)
 
 
 _CUSTOMER = """ev AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS Date,
@@ -208,8 +223,7 @@ def _customer_scores(spark, sf):
     orders = facts.table(spark, sf, "orders").select(
         "o_custkey", facts.month_of("o_orderdate").alias("Date"), F.lit(1.0).alias(EV)
     )
-    months = orders.groupBy("o_custkey", "Date").agg(F.sum(EV).alias(EV))
-    return fc.score(months, ["o_custkey"], end=HORIZON)
+    return fc.score(orders, ["o_custkey"], end=HORIZON)
 
 
 @query(f"""
@@ -348,7 +362,7 @@ WITH {_OUTLOOK} SELECT count(DISTINCT State) AS States_Forecasted,
   count(*) FILTER (Forecast_Confidence = 'High') AS High_Confidence_States,
   (SELECT strftime(max(Date), '%b %Y') FROM state_ev) AS Latest_Actual_Month FROM outlook""")
 def state_forecast_kpis(spark, sf):
-    return reports.outlook_kpis(_outlook(spark, sf), facts.state_ev(spark, sf))
+    return reports.outlook_kpis(_state_scores(spark, sf), HORIZON)
 
 
 _TREND = f"""{_STATE}, trend AS (
@@ -360,14 +374,16 @@ _TREND = f"""{_STATE}, trend AS (
 @query(f"WITH {_TREND} SELECT * FROM trend")
 def combined_trend(spark, sf):
     """Every state."""
-    ev = facts.state_ev(spark, sf)
-    return rounded(reports.combined_trend(_state_scores(spark, sf), ev))
+    ev = stage(facts.state_ev(spark, sf))
+    scored = fc.score(ev, ["State"], end=HORIZON)
+    return rounded(reports.combined_trend(scored, ev))
 
 
 @query(f"WITH {_TREND} SELECT * FROM trend WHERE State = 'NATION_7'")
 def combined_trend_state(spark, sf):
-    ev = facts.state_ev(spark, sf)
-    return rounded(reports.combined_trend(_state_scores(spark, sf), ev, "NATION_7"))
+    ev = stage(facts.state_ev(spark, sf))
+    scored = fc.score(ev, ["State"], end=HORIZON)
+    return rounded(reports.combined_trend(scored, ev, "NATION_7"))
 
 
 @query(f"""

@@ -13,6 +13,7 @@ from uptake.functions.numeric import total
 from uptake.operators import forecast as fc
 from uptake.operators import reconcile
 from uptake.plans.reports import predicted_by_year
+from uptake.sources.staging import stage
 from uptake.workloads import facts
 from uptake.workloads.facts import HORIZON, r4
 from uptake.workloads.forecasts import _sql
@@ -116,9 +117,8 @@ _ADJUSTED = f"""{_FACTORS}, adjusted AS (
 WITH {_ADJUSTED} SELECT * EXCLUDE (factor, adjusted), {r4('factor')} AS Adjustment_Factor,
   {r4('adjusted')} AS EV_Registrations_Adjusted FROM adjusted""")
 def reconcile_adjust(spark, sf):
-    adjusted, _ = reconcile.adjust_to_reference(
-        monthly_value(spark, sf), reference_value(spark, sf)
-    )
+    monthly = stage(monthly_value(spark, sf))
+    adjusted, _ = reconcile.adjust_to_reference(monthly, reference_value(spark, sf))
     return rounded(adjusted)
 
 
@@ -134,9 +134,8 @@ FROM (SELECT State, CAST(year(Date) AS INTEGER) AS Year, Predicted AS raw_v FROM
 GROUP BY ALL""")
 def reconcile_forecast(spark, sf):
     """Reference, adjustment and forecast of the adjusted values wired together, in thousands."""
-    adjusted, _ = reconcile.adjust_to_reference(
-        monthly_value(spark, sf), reference_value(spark, sf)
-    )
+    monthly = stage(monthly_value(spark, sf))
+    adjusted, _ = reconcile.adjust_to_reference(monthly, reference_value(spark, sf))
     thousands = adjusted.withColumn(
         "EV_Registrations_Adjusted", F.round(F.col("EV_Registrations_Adjusted") / 1000)
     )
