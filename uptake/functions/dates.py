@@ -28,7 +28,7 @@ def parse_year_month(year: Column, month: Column, month_format: str = "MMM") ->
 def digits_year(text: Column, pattern: str = r"([0-9]{4})") -> Column:
     """First run of digits that fits the pattern, as an integer, else NULL."""
     found = F.regexp_extract(text.cast("string"), pattern, 1)
-    return found.try_cast("int")
+    return F.when(found != "", found).try_cast("int")
 
 
 def month_name(date: Column) -> Column:
@@ -61,7 +61,8 @@ def period_index(date: Column, grain: str) -> Column:
 def period_date(index: Column, grain: str) -> Column:
     """First date of a position on the month or day axis."""
     if grain == "month":
-        return F.make_date(F.floor(index / 12).cast("int"), F.pmod(index, F.lit(12)) + 1, F.lit(1))
+        # Day 1 of year 0 is position 0 of the month axis.
+        return F.add_months(F.lit("0000-01-01").cast("date"), index)
     if grain == "day":
         return F.date_from_unix_date(index)
     raise ValueError(f"unknown grain: {grain}")

@@ -14,8 +14,8 @@ MARKERS_DASHBOARD = ("NA", "na")
 MARKERS_BATCH = ("NA",)
 
 # Spark would also read '1d' or '1f' as a number, so the text is checked first.
-_FINITE = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
-_INFINITE = r"\A(?i)[+-]?inf(inity)?\z"
+_NUMBER = r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))\z"
+_INFINITE = r"(?i)inf"
 
 
 def clean_num(text: Column, markers=MARKERS_DEFAULT) -> Column:
@@ -24,10 +24,10 @@ def clean_num(text: Column, markers=MARKERS_DEFAULT) -> Column:
     for marker in markers:
         bare = F.replace(bare, F.lit(marker), F.lit(""))
     bare = strip(bare)
-    parsed = bare.try_cast("double")
+    # Only text that looks like a number reaches the cast, whose failures are slow.
+    parsed = F.when(bare.rlike(_NUMBER), bare).try_cast("double")
     # A finite literal beyond the range of a double overflows to infinity: not a number we keep.
-    finite = bare.rlike(_FINITE) & (F.abs(parsed) < F.lit(float("inf")))
-    return F.when(finite | bare.rlike(_INFINITE), parsed)
+    return F.when((F.abs(parsed) < F.lit(float("inf"))) | bare.rlike(_INFINITE), parsed)
 
 
 def as_number(df: DataFrame, name: str, markers=MARKERS_DEFAULT) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from uptake.functions import dates
 from uptake.functions.numeric import as_number, cagr, fill_and_clip, fill_zero, total
-from uptake.operators.windows import series_window
 from uptake.plans.variants import DEFAULT, ForecastPolicy
 
 FORECAST_END_YEAR = 2030
@@ -48,7 +47,13 @@ def score(
     keys = list(keys)
     series = _with_span(_observed(df, keys, value, date, policy, grain), keys, policy)
     modelled = _with_model(_with_moments(series, keys, policy, grain), policy)
-    return _with_spread(_dense(modelled, end, policy, grain), keys, policy)
+    return _with_spread(_dense(modelled, keys, end, policy, grain), keys, policy)
+
+
+def _over(keys, *more: str, order: str = "") -> str:
+    """SQL window over one series; without keys the whole calendar-bounded frame is one series."""
+    names = ", ".join([f"`{key}`" for key in keys] + list(more)) or "0"
+    return f"OVER (PARTITION BY {names}{' ORDER BY ' + order if order else ''})"
 
 
 def _observed(df, keys, value, date, policy, grain):
@@ -60,173 +65,165 @@ def _observed(df, keys, value, date, policy, grain):
         .groupBy(*keys, dates.period_index(F.col(date), grain).alias("Period"))
         .agg(total(measure).alias("Value"))
     )
-    return rows if policy.clip_negative else rows.where(F.col("Value") >= 0)
+    return rows if policy.clip_negative else rows.where("Value >= 0")
 
 
 def _with_span(series, keys, policy):
     """First and last period of each series and the period of its next row."""
-    whole = series_window(keys)
-    first = F.min("Period").over(whole)
+    whole = _over(keys)
+    first = f"min(Period) {whole}"
     if policy.trim_leading_zeros:
-        positive = F.min(F.when(F.col("Value") > 0, F.col("Period"))).over(whole)
-        first = F.coalesce(positive, first)
-    return series.withColumns({
-        "__next": F.lead("Period").over(whole.orderBy("Period")),
-        "Start": first,
-        "Last": F.max("Period").over(whole),
-    })
+        first = f"coalesce(min(CASE WHEN Value > 0 THEN Period END) {whole}, {first})"
+    return series.selectExpr(
+        "*",
+        f"lead(Period) {_over(keys, order='Period')} AS __next",
+        f"{first} AS Start",
+        f"max(Period) {whole} AS Last",
+    )
 
 
 def _with_moments(series, keys, policy, grain):
     """Per series sums of the value times powers of the time index, and the fallback's inputs."""
-    whole = series_window(keys)
-    t = (F.col("Period") - F.col("Start")).cast("double")
-    y = F.col("Value")
-    live = F.col("Period") >= F.col("Start")
-    in_base = F.col("Period") > F.col("Last") - policy.base_periods
-    sums = {
-        "__n": (F.col("Last") - F.col("Start") + 1).cast("double"),
-        "__y": F.sum(y).over(whole),
-        "__ty": F.sum(t * y).over(whole),
-        "__tty": F.sum(t * t * y).over(whole),
-        "Positive": F.count_if(y > 0).over(whole),
-        "__seen": F.count_if(live).over(whole),
-        "__low": F.min(F.when(live, y)).over(whole),
-        "__high": F.max(F.when(live, y)).over(whole),
-        "__base": F.sum(F.when(in_base, y)).over(whole),
-    }
-    out = series.withColumns(sums)
+    whole = _over(keys)
+    t = "CAST(Period - Start AS DOUBLE)"
+    out = series.selectExpr(
+        "*",
+        "CAST(Last - Start + 1 AS DOUBLE) AS __n",
+        f"sum(Value) {whole} AS __y",
+        f"sum({t} * Value) {whole} AS __ty",
+        f"sum({t} * {t} * Value) {whole} AS __tty",
+        f"count_if(Value > 0) {whole} AS Positive",
+        f"count_if(Period >= Start) {whole} AS __seen",
+        f"min(CASE WHEN Period >= Start THEN Value END) {whole} AS __low",
+        f"max(CASE WHEN Period >= Start THEN Value END) {whole} AS __high",
+        f"coalesce(sum(CASE WHEN Period > Last - {policy.base_periods} THEN Value END) {whole}, 0D)"
+        " AS __tail",
+    )
     if policy.fallback == "mean":
-        return out.withColumn("__growth", F.lit(0.0))
-
-    year = F.year(dates.period_date(F.col("Period"), grain))
-    out = out.withColumn("__year", year)
-    annual = F.sum("Value").over(series_window([*keys, "__year"]))
-    out = out.withColumn("__annual", annual)
-    good_year = F.when(F.col("__annual") > 0, F.col("__year"))
-    out = out.withColumns({
-        "__first_year": F.min(good_year).over(whole),
-        "__last_year": F.max(good_year).over(whole),
-        "__first_sum": F.min_by("__annual", good_year).over(whole),
-        "__last_sum": F.max_by("__annual", good_year).over(whole),
-    })
-    years = F.col("__last_year") - F.col("__first_year")
-    annual_rate = _or_default(
-        cagr(F.col("__first_sum"), F.col("__last_sum"), years), policy.default_growth
+        return out.selectExpr("*", "0D AS __growth")
+
+    out = out.withColumn("__year", F.year(dates.period_date(F.col("Period"), grain)))
+    out = out.selectExpr("*", f"sum(Value) {_over(keys, '__year')} AS __annual")
+    good_year = "CASE WHEN __annual > 0 THEN __year END"
+    out = out.selectExpr(
+        "*",
+        f"max({good_year}) {whole} - min({good_year}) {whole} AS __years",
+        f"min_by(__annual, {good_year}) {whole} AS __first_sum",
+        f"max_by(__annual, {good_year}) {whole} AS __last_sum",
     )
+    own = cagr(F.col("__first_sum"), F.col("__last_sum"), F.col("__years")) / 100
     low, high = policy.growth_limits
-    rate = F.least(F.greatest(annual_rate / 100, F.lit(low)), F.lit(high))
-    per_period = F.pow(1 + rate, F.lit(1.0 / PERIODS_PER_YEAR[grain])) - 1
-    return out.withColumn("__growth", per_period)
-
-
-def _or_default(value: Column, default: float) -> Column:
-    return F.coalesce(value, F.lit(default))
+    rate = F.coalesce(own, F.lit(policy.default_growth / 100))
+    return out.withColumn("__rate", rate).selectExpr(
+        "*",
+        f"pow(1 + least(greatest(__rate, {low}D), {high}D), 1D / {PERIODS_PER_YEAR[grain]}) - 1"
+        " AS __growth",
+    )
 
 
 def _with_model(series, policy):
     """Ridge coefficients of 1, t, t^2 with a free intercept, in closed form.
 
     The intercept is not penalised, so the features are centred; t itself stays unscaled because
-    the penalty depends on its unit.
+    the penalty depends on its unit. A constant series keeps slopes of exactly 0.
     """
-    n = F.col("__n")
-    t1 = n * (n - 1) / 2
-    t2 = n * (n - 1) * (2 * n - 1) / 6
-    t3 = t1 * t1
-    t4 = t2 * (3 * n * n - 3 * n - 1) / 5
-    constant = (F.col("__low") == F.col("__high")) & (
-        (F.col("__seen") == n) | (F.col("__high") == 0)
+    quadratic = "true" if policy.degree == 2 else "false"
+    if policy.adaptive_degree:
+        quadratic += f" AND __n >= {policy.quadratic_from}"
+    alpha = f"{float(policy.ridge)}D"
+    sums = series.selectExpr(
+        "*",
+        f"__n >= {policy.min_periods} AND Positive >= {policy.min_positive} AS Modelled",
+        "__low = __high AND (__seen = __n OR __high = 0) AS __constant",
+        f"{quadratic} AS __quadratic",
+        "__n * (__n - 1) / 2 AS __t1",
+        "__n * (__n - 1) * (2 * __n - 1) / 6 AS __t2",
+    )
+    centred = sums.selectExpr(
+        "*",
+        f"__t2 - __t1 * __t1 / __n + {alpha} AS __s11",
+        "__t1 * __t1 - __t1 * __t2 / __n AS __s12",
+        f"__t2 * (3 * __n * __n - 3 * __n - 1) / 5 - __t2 * __t2 / __n + {alpha} AS __s22",
+        "__ty - __t1 * __y / __n AS __b1",
+        "__tty - __t2 * __y / __n AS __b2",
+    )
+    slopes = centred.selectExpr(
+        "*",
+        """CASE WHEN __constant THEN 0D
+                WHEN __quadratic THEN try_divide(__s22 * __b1 - __s12 * __b2,
+                                                 __s11 * __s22 - __s12 * __s12)
+                ELSE try_divide(__b1, __s11) END AS __w1""",
+        """CASE WHEN __constant OR NOT __quadratic THEN 0D
+                ELSE try_divide(__s11 * __b2 - __s12 * __b1,
+                                __s11 * __s22 - __s12 * __s12) END AS __w2""",
     )
-    out = series.withColumns({
-        "Modelled": (n >= policy.min_periods) & (F.col("Positive") >= policy.min_positive),
-        "__constant": constant,
-        "__quadratic": (
-            F.lit(policy.degree == 2) if not policy.adaptive_degree
-            else F.lit(policy.degree == 2) & (n >= policy.quadratic_from)
-        ),
-        "__s11": t2 - t1 * t1 / n + policy.ridge,
-        "__s12": t3 - t1 * t2 / n,
-        "__s22": t4 - t2 * t2 / n + policy.ridge,
-        "__b1": F.col("__ty") - t1 * F.col("__y") / n,
-        "__b2": F.col("__tty") - t2 * F.col("__y") / n,
-    })
-    s11, s12, s22, b1, b2 = (F.col(f"__{c}") for c in ("s11", "s12", "s22", "b1", "b2"))
-    det = s11 * s22 - s12 * s12
-    flat, curved = F.col("__constant"), F.col("__quadratic")
-    out = out.withColumns({
-        "__w1": F.when(flat, 0.0).when(curved, F.try_divide(s22 * b1 - s12 * b2, det))
-        .otherwise(F.try_divide(b1, s11)),
-        "__w2": F.when(flat | ~curved, 0.0).otherwise(F.try_divide(s11 * b2 - s12 * b1, det)),
-    })
-    level = F.col("__y") - F.col("__w1") * t1 - F.col("__w2") * t2
-    return out.withColumns({
-        "__w0": level / n,
-        "__mean": F.col("__y") / n,
-        "__base": F.col("__base") / F.least(n, F.lit(float(policy.base_periods))),
-    })
-
-
-def _dense(series, end, policy, grain):
+    return slopes.selectExpr(
+        "*",
+        "(__y - __w1 * __t1 - __w2 * __t2) / __n AS __w0",
+        "__y / __n AS __mean",
+        f"__tail / least(__n, {float(policy.base_periods)}D) AS __base",
+    )
+
+
+def _dense(series, keys, end, policy, grain):
     """Every period from the start to the end date: observed, gap (value 0) or future (no value)."""
-    horizon = F.greatest(F.col("Last"), F.lit(dates.last_period(end, grain)))
-    until = F.when(F.col("Period") < F.col("Start"), F.col("Period")).otherwise(
-        F.coalesce(F.col("__next") - 1, horizon)
+    names = [f"`{key}`" for key in keys]
+    until = (
+        "CASE WHEN Period < Start THEN Period"
+        f" ELSE coalesce(__next - 1, greatest(Last, {dates.last_period(end, grain)})) END"
+    )
+    spread = series.selectExpr("*", f"explode(sequence(Period, {until})) AS __at").selectExpr(
+        *names, "__at AS Period", "__at - Start AS Step", "__at = Period AS Observed",
+        "Start", "Last", "Positive", "Modelled", "Value", "__constant", "__mean",
+        "CASE WHEN __at = Period THEN Value WHEN __at <= Last THEN 0D END AS Actual",
+        """CASE WHEN Modelled THEN __w0 + __w1 * (__at - Start)
+                                  + __w2 * CAST(__at - Start AS DOUBLE) * (__at - Start)
+           END AS __fitted""",
+        "__base * pow(1 + __growth, __at - Last) AS __grown",
     )
-    dense = series.withColumn("__at", F.explode(F.sequence("Period", until)))
-    observed = F.col("__at") == F.col("Period")
-    dense = dense.withColumns({
-        "Observed": observed,
-        "Actual": F.when(observed, F.col("Value")).when(F.col("__at") <= F.col("Last"), F.lit(0.0)),
-        "Step": F.col("__at") - F.col("Start"),
-        "Period": F.col("__at"),
-    })
-    t = F.col("Step").cast("double")
-    fitted = F.col("__w0") + F.col("__w1") * t + F.col("__w2") * t * t
-    ahead = (F.col("Period") - F.col("Last")).cast("double")
-    grown = F.greatest(F.col("__base") * F.pow(1 + F.col("__growth"), ahead), F.lit(0.0))
-    return dense.withColumns({
-        "__fitted": F.when(F.col("Modelled"), fitted),
-        "Predicted": F.when(F.col("Modelled"), F.greatest(fitted, F.lit(0.0)))
-        .otherwise(F.coalesce("Actual", grown)),
-    })
+    return spread.selectExpr(
+        "*",
+        """CASE WHEN Modelled THEN greatest(__fitted, 0D)
+                ELSE coalesce(Actual, greatest(__grown, 0D)) END AS Predicted""",
+    ).drop("__grown")
 
 
 def _with_spread(dense, keys, policy):
     """Fit score and deviation per series, from the residuals themselves."""
-    whole = series_window(keys)
-    known = (F.col("Step") >= 0) & F.col("Actual").isNotNull()
-    residual = F.col("Actual") - F.col("__fitted")
-    in_tail = known & (F.col("Period") > F.col("Last") - policy.band_periods)
-    deviation = F.when(known & F.col("Modelled"), residual).when(
-        in_tail & ~F.col("Modelled"), F.col("Actual")
+    whole = _over(keys)
+    known = "Step >= 0 AND Actual IS NOT NULL"
+    deviation = (
+        f"CASE WHEN {known} AND Modelled THEN Actual - __fitted"
+        f" WHEN {known} AND Period > Last - {policy.band_periods} THEN Actual END"
     )
-    from_mean = F.col("Actual") - F.col("__mean")
-    out = dense.withColumns({
-        "Spread": F.coalesce(F.stddev_pop(deviation).over(whole), F.lit(0.0)),
-        "__unexplained": F.sum(F.when(known, residual * residual)).over(whole),
-        "__variation": F.sum(F.when(known, from_mean * from_mean)).over(whole),
-    })
-    fit = F.when(F.col("__constant"), 1.0).otherwise(
-        1 - F.try_divide(F.col("__unexplained"), F.col("__variation"))
+    out = dense.selectExpr(
+        "*",
+        f"coalesce(stddev_pop({deviation}) {whole}, 0D) AS Spread",
+        f"sum(CASE WHEN {known} THEN pow(Actual - __fitted, 2) END) {whole} AS __unexplained",
+        f"sum(CASE WHEN {known} THEN pow(Actual - __mean, 2) END) {whole} AS __variation",
+    )
+    return out.selectExpr(
+        "*",
+        """CASE WHEN Modelled THEN CASE WHEN __constant THEN 1D
+             ELSE 1 - try_divide(__unexplained, __variation) END END AS Fit""",
     )
-    return out.withColumn("Fit", F.when(F.col("Modelled"), fit))
 
 
 def forecast_rows(
     scored: DataFrame, keys=(), policy: ForecastPolicy = DEFAULT.forecast, grain: str = "month"
 ) -> DataFrame:
     """Date, Actual (NULL in the future), Predicted and its range, Year, Month per series."""
-    date = dates.period_date(F.col("Period"), grain)
-    band = F.lit(BAND_WIDTH) * F.col("Spread")
-    columns = [
-        *keys, date.alias("Date"), F.col("Actual"), F.col("Predicted"),
-        F.greatest(F.col("Predicted") - band, F.lit(0.0)).alias("CI_Lower"),
-        (F.col("Predicted") + band).alias("CI_Upper"),
-        F.year(date).alias("Year"), F.month(date).alias("Month"),
+    dated = scored.where("Step >= 0").withColumn(
+        "Date", dates.period_date(F.col("Period"), grain)
+    )
+    band = [
+        f"greatest(Predicted - {BAND_WIDTH}D * Spread, 0D) AS CI_Lower",
+        f"Predicted + {BAND_WIDTH}D * Spread AS CI_Upper",
     ]
-    rows = scored.where(F.col("Step") >= 0).select(*columns)
-    return rows if policy.band else rows.drop("CI_Lower", "CI_Upper")
+    return dated.selectExpr(
+        *[f"`{key}`" for key in keys], "Date", "Actual", "Predicted",
+        *(band if policy.band else []), "year(Date) AS Year", "month(Date) AS Month",
+    )
 
 
 def method_name(policy: ForecastPolicy) -> Column:
@@ -284,10 +281,11 @@ def densify(
     policy = ForecastPolicy(trim_leading_zeros=trim, fallback="mean")
     keys = list(keys)
     series = _with_span(_observed(df, keys, value, date, policy, grain), keys, policy)
-    live = series.where(F.col("Period") >= F.col("Start"))
-    until = F.coalesce(F.col("__next") - 1, F.col("Last"))
-    dense = live.withColumn("__at", F.explode(F.sequence("Period", until)))
-    filled = F.when(F.col("__at") == F.col("Period"), F.col("Value")).otherwise(0.0)
+    live = series.where("Period >= Start")
+    dense = live.selectExpr(
+        "*", "explode(sequence(Period, coalesce(__next - 1, Last))) AS __at"
+    )
+    filled = F.expr("CASE WHEN __at = Period THEN Value ELSE 0D END")
     return dense.select(
         *keys, dates.period_date(F.col("__at"), grain).alias("Date"), filled.alias(value)
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +23,9 @@ def query(sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every double so that results compare across engines; adding 0 removes negative zero."""
-    cells = {
-        f.name: F.round(F.col(f.name), digits) + F.lit(0.0)
-        for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)
-    }
-    return df.withColumns(cells) if cells else df
+    cells = [
+        f"round(`{f.name}`, {digits}) + 0D AS `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*cells)
