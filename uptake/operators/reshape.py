@@ -15,6 +15,18 @@ def melt(df: DataFrame, ids, values, name: str, value: str) -> DataFrame:
     return df.unpivot(list(ids), list(values), name, value)
 
 
+def melt_labelled(df: DataFrame, ids, labels: dict, name: str, value: str) -> DataFrame:
+    """Like ``melt``, with a label expression given for each value column.
+
+    The labels depend on column names only, so they fold to literals while the plan is built.
+    """
+    cells = F.array(*[
+        F.struct(label.alias(name), F.col(f"`{column}`").alias(value))
+        for column, label in labels.items()
+    ])
+    return df.select(*ids, F.inline(cells))
+
+
 def stack(*frames: DataFrame) -> DataFrame:
     """All rows of frames with the same columns."""
     return reduce(lambda a, b: a.unionByName(b), frames)

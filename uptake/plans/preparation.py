@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from uptake.functions import dates
 from uptake.functions.labels import fuel_label, is_ev_fuel, monthly_category, state_name
 from uptake.functions.numeric import as_number, fill_and_clip, fill_zero, total
-from uptake.operators.reshape import melt
+from uptake.operators.reshape import melt_labelled
 from uptake.operators.rollups import sum_by
 from uptake.operators.rows import drop_totals
 from uptake.plans.variants import DEFAULT, Variant
@@ -69,10 +69,9 @@ def monthly_categories(
     per_date = staged.where(F.col("Date").isNotNull()).groupBy("Date").agg(
         *[total(F.col(c)).alias(c) for c in measured]
     )
-    long = melt(per_date.select("Date", *categories), ["Date"], categories, "Category", "Value")
-    by_category = long.groupBy(
-        "Date", monthly_category(F.col("Category"), variant.category_style).alias("Category")
-    ).agg(total(F.col("Value")).alias("EV_Registrations"))
+    labels = {c: monthly_category(F.lit(c), variant.category_style) for c in categories}
+    long = melt_labelled(per_date, ["Date"], labels, "Category", "EV_Registrations")
+    by_category = sum_by(long, ["Date", "Category"], "EV_Registrations")
     if total_name:
         totals = per_date.select("Date", F.col(total_name).alias("EV_Registrations"))
     else:

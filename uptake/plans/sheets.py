@@ -16,7 +16,7 @@ from uptake.functions.dates import digits_year
 from uptake.functions.labels import ALL_VEHICLES, state_name, wheel_category
 from uptake.functions.labels import fuel_label, is_ev_fuel
 from uptake.functions.numeric import clean_num, fill_zero, total
-from uptake.operators.reshape import melt
+from uptake.operators.reshape import melt, melt_labelled
 from uptake.operators.rows import drop_missing, drop_totals, exclude_matching, row_band
 from uptake.plans.variants import DEFAULT, Variant
 from uptake.sources.columns import find_column, unique_names, year_columns
@@ -106,8 +106,8 @@ def stacked_header_to_long(grid: DataFrame, variant: Variant = DEFAULT) -> DataF
     """Reference table with fuel row above year row to (State, Year, Reference_EV_Registrations).
 
     Only the few head rows come to the driver, as column metadata. The cells are summed per raw
-    state text before they are unpivoted, so the shuffle carries one row per state, not one per
-    cell.
+    state text before they are turned into rows, so the shuffle carries one row per state, not one
+    per cell.
     """
     cells = [name for name in grid.columns if name != ROW_NO]
     head = grid.where(F.col(ROW_NO) < HEAD_ROWS).orderBy(ROW_NO).limit(HEAD_ROWS).collect()
@@ -125,20 +125,16 @@ def stacked_header_to_long(grid: DataFrame, variant: Variant = DEFAULT) -> DataF
     }
     if not years:
         raise ValueError("no electric (BOV) year column found")
-    sums = [
-        total(clean_num(_cell(name), variant.number_markers)).alias(f"y{i}")
+    # One sum per year column and raw state text; the years are literals from the header.
+    per_state = body.groupBy(_cell(state).alias("State")).agg(*[
+        total(clean_num(_cell(name), variant.number_markers)).alias(f"cell{i}")
         for i, name in enumerate(years)
-    ]
-    per_state = body.groupBy(_cell(state).alias("State")).agg(*sums)
-    slots = list(years.items())
-    long = melt(per_state, ["State"], [f"y{i}" for i in range(len(slots))], "Slot", "Value")
-    year_of = F.create_map(*[F.lit(v) for i, (_, year) in enumerate(slots) for v in (f"y{i}", year)])
-    return (
-        long.groupBy(
-            state_name(F.col("State"), variant.state_style).alias("State"),
-            year_of[F.col("Slot")].alias("Year"),
-        )
-        .agg(total(F.col("Value")).alias("Reference_EV_Registrations"))
+    ])
+    slots = {f"cell{i}": F.lit(year) for i, year in enumerate(years.values())}
+    long = melt_labelled(per_state, ["State"], slots, "Year", "Value")
+    name = state_name(F.col("State"), variant.state_style).alias("State")
+    return long.groupBy(name, "Year").agg(
+        total(F.col("Value")).alias("Reference_EV_Registrations")
     )
 
 
