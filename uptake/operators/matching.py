@@ -46,10 +46,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """True if the frame is below the session's broadcast threshold (which may be switched off)."""
-    spark = df.sparkSession
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    quantity = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
-    return 0 <= estimated_bytes(df) <= quantity
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimated_bytes(df) <= limit
 
 
 def join_dimension(
