@@ -273,6 +273,12 @@ def forecast(
     )
 
 
+def state_value_column(columns) -> str:
+    """The adjusted registrations if the frame has them, else the registrations as they came."""
+    adjusted = "EV_Registrations_Adjusted"
+    return adjusted if adjusted in columns else "EV_Registrations"
+
+
 def densify(
     df: DataFrame, keys=(), value: str = "EV_Registrations", date: str = "Date",
     trim: bool = False, grain: str = "month",

@@ -62,8 +62,12 @@ def row_band(df: DataFrame, first: int, last: int | None, row_no: str) -> DataFr
 
 
 def keep_members(df: DataFrame, column: str, members) -> DataFrame:
-    """Keep rows whose value is in a short list, or in the first column of a DataFrame."""
+    """Keep rows whose value is in a short list, or in the first column of a DataFrame.
+
+    The members are made distinct before the join, so a repeated one cannot pile up in a task; a
+    value that many rows hold is split by AQE on the side of the rows.
+    """
     if isinstance(members, DataFrame):
-        wanted = members.select(F.col(members.columns[0]).alias(column))
+        wanted = members.select(F.col(members.columns[0]).alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
     return df.where(F.col(column).isin(*members))
