@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from uptake.functions.text import strip
-
 # Text markers deleted from a number cell before it is parsed, per variant.
 MARKERS_DEFAULT = ("NA", "nan")
 MARKERS_DASHBOARD = ("NA", "na")
 MARKERS_BATCH = ("NA",)
 
-# Spark would also read '1d' or '1f' as a number, so the text is checked first.
-_NUMBER = r"\A[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))\z"
-_INFINITE = r"(?i)inf"
+# Spark would also read '1d' or '1f' as a number, so the whole text must look like one. White space
+# of any kind may surround it.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+_NUMBER = (
+    rf"\A{_SPACE}([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?)))"
+    rf"{_SPACE}\z"
+)
 
 
 def clean_num(text: Column, markers=MARKERS_DEFAULT) -> Column:
@@ -23,11 +25,12 @@ def clean_num(text: Column, markers=MARKERS_DEFAULT) -> Column:
     bare = F.replace(text.cast("string"), F.lit(","), F.lit(""))
     for marker in markers:
         bare = F.replace(bare, F.lit(marker), F.lit(""))
-    bare = strip(bare)
-    # Only text that looks like a number reaches the cast, whose failures are slow.
-    parsed = F.when(bare.rlike(_NUMBER), bare).try_cast("double")
+    number = F.regexp_extract(bare, _NUMBER, 1)
+    # Only text that is a number reaches the cast, whose failures are slow.
+    parsed = F.when(number != "", number).try_cast("double")
     # A finite literal beyond the range of a double overflows to infinity: not a number we keep.
-    return F.when((F.abs(parsed) < F.lit(float("inf"))) | bare.rlike(_INFINITE), parsed)
+    finite = F.abs(parsed) < F.lit(float("inf"))
+    return F.when(finite | F.lower(number).contains("inf"), parsed)
 
 
 def as_number(df: DataFrame, name: str, markers=MARKERS_DEFAULT) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uptake.functions.dates import month_name
 from uptake.functions.labels import ALL_VEHICLES, is_ev_fuel
 from uptake.functions.numeric import total
 from uptake.operators.matching import join_dimension
@@ -140,19 +139,18 @@ def wide_monthly(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("o_orderpriority") == priority).alias(name)
         for name, priority in WIDE.items()
     ]
+    names = [*WIDE, "Total Registration"]
     counts = orders.groupBy(month_of("o_orderdate").alias("d")).agg(
         *cells, F.count("*").alias("Total Registration")
     )
-    names = [*WIDE, "Total Registration"]
-    text = [F.concat(F.lit(" "), F.format_number(F.col(n), 0)).alias(n) for n in names]
-    months = counts.select(
-        F.concat(F.lit("FY"), F.year("d")).alias("Year"),
-        F.concat(F.lit(" "), F.upper(month_name(F.col("d")))).alias("Month"), *text,
-    )
-    totals = counts.agg(*[F.sum(n).cast("string").alias(n) for n in names]).select(
-        F.lit(" Grand Total").alias("Year"), F.lit(None).cast("string").alias("Month"), *names
+    # Each summed month also counts towards the totals row, whose date is NULL.
+    both = counts.withColumn("d", F.explode(F.array(F.col("d"), F.lit(None))))
+    summed = both.groupBy("d").agg(*[F.sum(name).alias(name) for name in names])
+    return summed.selectExpr(
+        "CASE WHEN d IS NULL THEN ' Grand Total' ELSE concat('FY', year(d)) END AS Year",
+        "concat(' ', upper(date_format(d, 'MMM'))) AS Month",
+        *[f"concat(' ', format_number(`{name}`, 0)) AS `{name}`" for name in names],
     )
-    return months.unionByName(totals)
 
 
 # ---- the same facts for the oracles --------------------------------------------------------
