@@ -4,8 +4,9 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
+from uptake.functions import numeric
 from uptake.operators import rows
-from uptake.plans import preparation, sheets
+from uptake.plans import preparation, reports, sheets
 from uptake.plans.variants import BATCH, DASHBOARD, DEFAULT
 from uptake.sources import columns, readers, sinks, staging
 
@@ -31,6 +32,14 @@ def test_read_csv_keeps_text_and_marks_missing(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("a,b\n001,NA\n,x\nN/A,1.50\n")
     assert values(readers.read_table(spark, path)) == [("001", None), (None, "x"), (None, "1.50")]
+    dotted = tmp_path / "b.csv"
+    dotted.write_text('Sl. No.,State/ UT,Total EV,Sold,% of Share\n1,Goa,"1,0",40,25\n2,Sikkim,NA,8,0\nTotal,Total,10,48,x\n')
+    table = rows.drop_totals(columns.with_clean_columns(readers.read_csv(spark, str(dotted))))
+    assert table.columns == ["Sl_No", "State__UT", "Total_EV", "Sold", "Percent_of_Share"]
+    counts = table.select("State__UT", *[
+        numeric.as_number(table, name).alias(name) for name in ("Total_EV", "Sold")])
+    shares = reports.share_table(counts, "State__UT", "Total_EV", "Sold")
+    assert dict(values(shares, "State__UT", "Share_Percent")) == {"Goa": 25.0, "Sikkim": None}
     frame = spark.range(1)
     assert readers.read_table(spark, frame) is frame
 
@@ -90,7 +99,7 @@ def test_state_table(spark):
 def test_stacked_header_file(spark, tmp_path):
     path = tmp_path / "old.csv"
     path.write_text(
-        "Old table,,,,,\n,DIESEL,,ELECTRIC(BOV),,ELECTRIC(BOV)\nState,2019,2020,2019,2020,Remark\n"
+        "Old table\n,DIESEL,,ELECTRIC(BOV),,ELECTRIC(BOV)\nState,2019,2020,2019,2020,Remark\n"
         'tamil nadu,1,2,"3,000",NA,x\nTamil  Nadu,1,1,1,4,x\n,,,,,\nGrand Total,9,9,9,9,9\n'
         "nct of delhi,1,1,7,8,y\n"
     )

@@ -36,12 +36,13 @@ def clean_num(text: Column, markers=MARKERS_DEFAULT) -> Column:
 def as_number(df: DataFrame, name: str, markers=MARKERS_DEFAULT) -> Column:
     """``clean_num`` for text columns, a plain cast for columns that already are numbers."""
     kind = df.schema[name].dataType
+    cell = F.col(f"`{name}`")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        value = df[name].cast("double")
+        value = cell.cast("double")
         return F.when(~F.isnan(value), value)
     if isinstance(kind, T.NumericType):
-        return df[name].cast("double")
-    return clean_num(df[name], markers)
+        return cell.cast("double")
+    return clean_num(cell, markers)
 
 
 def fill_zero(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +15,16 @@ MISSING = (
 )
 
 ROW_NO = "row_no"
+HEAD_LINES = 8
+_AT_START = "_metadata.file_block_start = 0"
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
     """Turn the missing markers in string columns into NULL."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    cells = {name: F.when(~df[name].isin(*MISSING), df[name]) for name in texts}
-    return df.withColumns(cells) if cells else df
+    cells = {name: F.col(f"`{name}`") for name in texts}
+    kept = {name: F.when(~cell.isin(*MISSING), cell) for name, cell in cells.items()}
+    return df.withColumns(kept) if kept else df
 
 
 def read_csv(spark: SparkSession, path: str, missing: bool = True) -> DataFrame:
@@ -43,17 +48,17 @@ def read_table(spark: SparkSession, source) -> DataFrame:
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """One headerless CSV file as text cells ``c0, c1, ...`` plus ``row_no``.
 
+    The widest of the first lines gives the number of cells, since a title line may be short.
     Row numbers count from 0 within the first split of the file, which is all that layouts with a
     few header rows need; rows of later splits have a NULL row number ("past the head"). Nothing is
     shuffled or counted for it. Sheets exported with their header row keep it as row 0.
     """
-    raw = spark.read.option("header", False).csv(path)
-    cells = [f"c{i}" for i in range(len(raw.columns))]
+    head = spark.read.text(path).where(_AT_START).limit(HEAD_LINES).collect()
+    width = max((len(cells) for line in head for cells in csv.reader([line.value])), default=1)
+    cells = [f"c{i}" for i in range(width)]
+    raw = spark.read.schema(", ".join(f"{cell} string" for cell in cells)).csv(path)
     offset = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = raw.select(
-        *[F.col(old).alias(new) for old, new in zip(raw.columns, cells)],
-        F.when(F.col("_metadata.file_block_start") == 0, offset).alias(ROW_NO),
-    )
+    numbered = raw.select(*cells, F.when(F.expr(_AT_START), offset).alias(ROW_NO))
     return blank_missing(numbered)
 
 
