@@ -156,6 +156,9 @@ def test_dates(spark):
     )
     found = frame.select(dates.parse_year_month(F.col("y"), F.col("m")).cast("string")).collect()
     assert [r[0] for r in found] == ["2015-01-01", "2016-02-01", None, None, None]
+    for name, pattern in (("January", "MMMM"), ("1", "M"), ("01", "M")):
+        month = dates.parse_year_month(F.lit("2015"), F.lit(name), pattern).cast("string")
+        assert spark.range(1).select(month).first()[0] == "2015-01-01"
     assert apply(spark, ["2021-02-30", "2021-02-03", "bad", None],
                  lambda c: dates.parse_date(c).cast("string")) == [None, "2021-02-03", None, None]
     assert apply(spark, ["FY1999", "x2015y", "none"], lambda c: dates.digits_year(c, r"(20[0-9]{2})")) == [
