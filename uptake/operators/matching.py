@@ -39,15 +39,18 @@ def inner_pair(left: DataFrame, right: DataFrame, on, value: str, names) -> Data
     )
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a frame; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def fits_broadcast(df: DataFrame) -> bool:
-    """True if the frame is below the session's broadcast threshold (which may be switched off)."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return estimated_bytes(df) <= limit
+    """True if Catalyst's size estimate is within the session's broadcast threshold.
+
+    No job runs. False where the threshold is off, or where the session does not tell (a remote
+    client): then callers take the way that holds for any size.
+    """
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    except AttributeError:
+        return False
+    return int(str(size)) <= limit
 
 
 def join_dimension(
