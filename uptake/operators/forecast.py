@@ -2,9 +2,9 @@
 
 A series is first summed per key and period; that shuffle combines on the map side, so a hot key
 shrinks to at most one row per period of the calendar. One further shuffle by key feeds every
-window below, and the dense calendar is generated from the gap to the next row, without a join.
-The model needs no dense rows at all: absent periods add 0 to every sum with the value in it, and
-the sums over the time index alone have closed forms.
+window below. The model needs no dense rows: absent periods add 0 to every sum with the value in
+it, the sums over the time index alone have closed forms, and a row carries the residuals of the
+gap behind it. The dense calendar is generated last, from the gap to the next row, without a join.
 
 ``score`` returns all rows with all intermediate columns; the other functions select from it.
 """
@@ -47,7 +47,7 @@ def score(
     keys = list(keys)
     series = _with_span(_observed(df, keys, value, date, policy, grain), keys, policy)
     modelled = _with_model(_with_moments(series, keys, policy, grain), policy)
-    return _with_spread(_dense(modelled, keys, end, policy, grain), keys, policy)
+    return _dense(_with_quality(modelled, keys, policy), keys, end, grain)
 
 
 def _over(keys, *more: str, order: str = "") -> str:
@@ -96,8 +96,9 @@ def _with_moments(series, keys, policy, grain):
         f"count_if(Period >= Start) {whole} AS __seen",
         f"min(CASE WHEN Period >= Start THEN Value END) {whole} AS __low",
         f"max(CASE WHEN Period >= Start THEN Value END) {whole} AS __high",
-        f"coalesce(sum(CASE WHEN Period > Last - {policy.base_periods} THEN Value END) {whole}, 0D)"
-        " AS __tail",
+        f"sum(CASE WHEN Period > Last - {policy.base_periods} THEN Value END) {whole} AS __tail",
+        f"sum(CASE WHEN Period > Last - {policy.band_periods} THEN Value END) {whole}"
+        " AS __band_sum",
     )
     if policy.fallback == "mean":
         return out.selectExpr("*", "0D AS __growth")
@@ -165,48 +166,64 @@ def _with_model(series, policy):
     )
 
 
-def _dense(series, keys, end, policy, grain):
+def _with_quality(series, keys, policy):
+    """Fit score and deviation per series, from the residuals themselves.
+
+    Still one row per observed period: a row adds the residuals of the gap behind it, where the
+    value is 0, and the gaps' share of the other sums is known from their number.
+    """
+    whole = _over(keys)
+    tail = f"least(__n, {float(policy.band_periods)}D)"
+    in_tail = f"Period >= Start AND Period > Last - {policy.band_periods}"
+    rows = series.selectExpr(
+        "*",
+        """CASE WHEN Modelled AND Period >= Start THEN
+             pow(Value - (__w0 + __w1 * (Period - Start)
+                          + __w2 * CAST(Period - Start AS DOUBLE) * (Period - Start)), 2)
+             + CASE WHEN __next > Period + 1 THEN
+                 aggregate(sequence(Period + 1 - Start, __next - 1 - Start), 0D, (total, t) ->
+                           total + pow(__w0 + __w1 * t + __w2 * CAST(t AS DOUBLE) * t, 2))
+               ELSE 0D END
+           END AS __squares""",
+        f"__band_sum / {tail} AS __band_mean",
+    )
+    sums = rows.selectExpr(
+        "*",
+        f"sum(__squares) {whole} AS __unexplained",
+        f"""sum(CASE WHEN Period >= Start THEN pow(Value - __mean, 2) END) {whole}
+            + (__n - __seen) * pow(__mean, 2) AS __variation""",
+        f"""sum(CASE WHEN {in_tail} THEN pow(Value - __band_mean, 2) END) {whole}
+            + ({tail} - count_if({in_tail}) {whole}) * pow(__band_mean, 2) AS __band_squares""",
+    )
+    return sums.selectExpr(
+        "*",
+        f"sqrt(CASE WHEN Modelled THEN __unexplained / __n ELSE __band_squares / {tail} END)"
+        " AS Spread",
+        """CASE WHEN Modelled THEN CASE WHEN __constant THEN 1D
+             ELSE 1 - try_divide(__unexplained, __variation) END END AS Fit""",
+    )
+
+
+def _dense(series, keys, end, grain):
     """Every period from the start to the end date: observed, gap (value 0) or future (no value)."""
     names = [f"`{key}`" for key in keys]
     until = (
         "CASE WHEN Period < Start THEN Period"
         f" ELSE coalesce(__next - 1, greatest(Last, {dates.last_period(end, grain)})) END"
     )
-    spread = series.selectExpr("*", f"explode(sequence(Period, {until})) AS __at").selectExpr(
+    dense = series.selectExpr("*", f"explode(sequence(Period, {until})) AS __at").selectExpr(
         *names, "__at AS Period", "__at - Start AS Step", "__at = Period AS Observed",
-        "Start", "Last", "Positive", "Modelled", "Value", "__constant", "__mean",
+        "Start", "Last", "Positive", "Modelled", "Value", "Spread", "Fit",
         "CASE WHEN __at = Period THEN Value WHEN __at <= Last THEN 0D END AS Actual",
         """CASE WHEN Modelled THEN __w0 + __w1 * (__at - Start)
                                   + __w2 * CAST(__at - Start AS DOUBLE) * (__at - Start)
-           END AS __fitted""",
-        "__base * pow(1 + __growth, __at - Last) AS __grown",
-    )
-    return spread.selectExpr(
-        "*",
-        """CASE WHEN Modelled THEN greatest(__fitted, 0D)
-                ELSE coalesce(Actual, greatest(__grown, 0D)) END AS Predicted""",
-    ).drop("__grown")
-
-
-def _with_spread(dense, keys, policy):
-    """Fit score and deviation per series, from the residuals themselves."""
-    whole = _over(keys)
-    known = "Step >= 0 AND Actual IS NOT NULL"
-    deviation = (
-        f"CASE WHEN {known} AND Modelled THEN Actual - __fitted"
-        f" WHEN {known} AND Period > Last - {policy.band_periods} THEN Actual END"
+                ELSE __base * pow(1 + __growth, __at - Last) END AS __curve""",
     )
-    out = dense.selectExpr(
+    return dense.selectExpr(
         "*",
-        f"coalesce(stddev_pop({deviation}) {whole}, 0D) AS Spread",
-        f"sum(CASE WHEN {known} THEN pow(Actual - __fitted, 2) END) {whole} AS __unexplained",
-        f"sum(CASE WHEN {known} THEN pow(Actual - __mean, 2) END) {whole} AS __variation",
-    )
-    return out.selectExpr(
-        "*",
-        """CASE WHEN Modelled THEN CASE WHEN __constant THEN 1D
-             ELSE 1 - try_divide(__unexplained, __variation) END END AS Fit""",
-    )
+        """CASE WHEN Modelled OR Actual IS NULL THEN greatest(__curve, 0D)
+                ELSE Actual END AS Predicted""",
+    ).drop("__curve")
 
 
 def forecast_rows(
