@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import repeats
+from uptake.llm import near_duplicates, repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -41,3 +41,23 @@ def op7_substring_dedup(spark, sf):
     """Words of each text that repeat a passage of 20 words from an earlier place."""
     out = repeats.remove_repeats(_table(spark, sf, "documents"), length=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct(list_transform(range(1, len(ws)),
+      lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS s FROM w),
+  item AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+  pair AS (SELECT l.doc_id AS a, r.doc_id AS b FROM item l JOIN item r ON l.x = r.x AND l.doc_id <> r.doc_id
+             AND 100 * least(l.n, r.n) >= 80 * greatest(l.n, r.n)
+           GROUP BY l.doc_id, r.doc_id, l.n, r.n HAVING 100 * count(*) >= 80 * (l.n + r.n - count(*))),
+  reach AS (SELECT a, b FROM pair UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
+  low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM sets LEFT JOIN low USING (doc_id)""")
+def op10_near_duplicates(spark, sf):
+    """Components of texts whose 2-word shingles are at least 0.8 similar."""
+    return near_duplicates.near_duplicates(_table(spark, sf, "documents"), size=2, threshold=0.8)
