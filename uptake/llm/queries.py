@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import near_duplicates, repeats
+from uptake.llm import near_duplicates, quality, repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,11 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _fold(modulus: int):
+    """crc32 of the doc_id as text, modulo ``modulus``; -1 for rows without one."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(-1))
+
+
 @query(r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
   win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS seq
@@ -61,3 +66,16 @@ FROM sets LEFT JOIN low USING (doc_id)""")
 def op10_near_duplicates(spark, sf):
     """Components of texts whose 2-word shingles are at least 0.8 similar."""
     return near_duplicates.near_duplicates(_table(spark, sf, "documents"), size=2, threshold=0.8)
+
+
+def quality_labels(spark, sf):
+    """Labels of the rows that may be learned from."""
+    return _table(spark, sf, "labels").where(_fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
+
+
+@query()
+def op3_quality_classifier(spark, sf):
+    """Every text's quality score, learned from three quarters of the labels."""
+    scored = quality.quality_scores(_table(spark, sf, "documents"), quality_labels(spark, sf))
+    return scored.select(
+        "doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
