@@ -24,15 +24,25 @@ REACH = 2
 _ROWS = 1024  # slots per row of a partial table
 
 
-def tokens(data, offsets):
-    """(starts, ends, first) as words.find_words gives them, for the tokens of this module."""
+def _kinds():
+    """0 for white space, 1 for letters, digits and bytes above 0x7F, 2 for all others."""
     kind = np.full(256, 2, dtype=np.uint8)
     kind[[32, 9, 10, 11, 12, 13]] = 0
     for low, high in ((48, 58), (65, 91), (97, 123), (128, 256)):
         kind[low:high] = 1
+    return kind
+
+
+def is_word(first_bytes):
+    """Which tokens are runs of letters, digits and bytes above 0x7F."""
+    return _kinds()[first_bytes] == 1
+
+
+def tokens(data, offsets):
+    """(starts, ends, first) as words.find_words gives them, for the tokens of this module."""
     if len(data) == 0:
         return words.find_words(data, offsets)
-    k = kind[data]
+    k = _kinds()[data]
     opens = np.r_[True, k[1:] != k[:-1]]
     opens[offsets[(offsets > 0) & (offsets < len(data))]] = True
     edges = np.flatnonzero(opens)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import near_duplicates, quality, repeats
+from uptake.llm import leaks, near_duplicates, quality, repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -79,3 +79,9 @@ def op3_quality_classifier(spark, sf):
     scored = quality.quality_scores(_table(spark, sf, "documents"), quality_labels(spark, sf))
     return scored.select(
         "doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op9_decontamination(spark, sf):
+    """Benchmark items that texts hold, whole or edited."""
+    return leaks.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
