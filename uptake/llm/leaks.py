@@ -58,6 +58,13 @@ class Items:
         order = np.argsort(gram, kind="stable")
         self.gram, self.item, self.at = gram[order], self.item[order], self.at[order]
 
+    @classmethod
+    def of(cls, state):
+        """Items from the plain values of a broadcast."""
+        items = cls.__new__(cls)
+        items.__dict__ = state
+        return items
+
     def keep_seeds(self, counts):
         """Keep the rare n-grams; ``counts`` maps an n-gram to its occurrences."""
         count = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)])
@@ -156,7 +163,7 @@ def _shared(target, passage):
 
 def _count(items):
     def count(batches):
-        known = np.unique(items.value.gram)
+        known = np.unique(items.value["gram"])
         total = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for table in words.batched_rows(pa.Table.from_batches([batch])):
@@ -181,10 +188,10 @@ def _blocks(docs, benchmark):
     ids, texts, size = [], [], 0
 
     def ready():
-        block = context.broadcast(Items(ids, texts))
+        block = context.broadcast(vars(Items(ids, texts)))
         counted = docs.select(F.col("text").cast("string")).mapInArrow(_count(block), "gram bigint, n bigint")
         counts = {r[0]: r[1] for r in counted.groupBy("gram").agg(F.sum("n")).collect()}
-        return context.broadcast(Items(ids, texts).keep_seeds(counts))
+        return context.broadcast(vars(Items(ids, texts).keep_seeds(counts)))
 
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
@@ -202,13 +209,14 @@ def _blocks(docs, benchmark):
 
 def _find(items, threshold, least_words):
     def find(batches):
+        block = Items.of(items.value)
         for batch in batches:
             for table in words.batched_rows(pa.Table.from_batches([batch])):
-                hits = leaked(table, items.value, threshold, least_words)
+                hits = leaked(table, block, threshold, least_words)
                 doc_ids = table.column("doc_id").to_pylist()
                 yield from pa.table({
                     "doc_id": pa.array([doc_ids[x[0]] for x in hits], pa.int64()),
-                    "item_id": pa.array([items.value.ids[x[1]] for x in hits], pa.int64()),
+                    "item_id": pa.array([block.ids[x[1]] for x in hits], pa.int64()),
                     "score": pa.array([x[2] for x in hits], pa.float64()),
                     "start_word": pa.array([x[3] for x in hits], pa.int64()),
                     "end_word": pa.array([x[4] for x in hits], pa.int64()),
@@ -218,10 +226,11 @@ def _find(items, threshold, least_words):
 
 def _drop(items, threshold, least_words):
     def drop(batches):
+        block = Items.of(items.value)
         for batch in batches:
             for table in words.batched_rows(pa.Table.from_batches([batch])):
                 keep = np.ones(table.num_rows, dtype=bool)
-                keep[[x[0] for x in leaked(table, items.value, threshold, least_words)]] = False
+                keep[[x[0] for x in leaked(table, block, threshold, least_words)]] = False
                 yield from table.filter(pa.array(keep)).to_batches()
     return drop
 
