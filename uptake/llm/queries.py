@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import leaks, near_duplicates, quality, repeats
+from uptake.llm import leaks, mixing, near_duplicates, quality, repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -85,3 +85,23 @@ def op3_quality_classifier(spark, sf):
 def op9_decontamination(spark, sf):
     """Benchmark items that texts hold, whole or edited."""
     return leaks.leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+WITH_JUNK = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.19, "junk": 0.01}
+
+
+def labelled_domains(spark, sf, docs):
+    """The domain of labelled documents: junk where the label says so, their language elsewhere."""
+    labels = _table(spark, sf, "labels").where("quality IS NOT NULL").select("doc_id", "quality")
+    return labels.join(docs.select("doc_id", "lang"), "doc_id").select(
+        "doc_id", F.when(F.col("quality") == 0, "junk").otherwise(F.col("lang")).alias("domain"))
+
+
+@query()
+def op2_mixing(spark, sf):
+    """Rates of all documents that mix four languages and a little junk to fixed shares."""
+    docs = _table(spark, sf, "documents")
+    mixed = mixing.mix_to_targets(docs, labelled_domains(spark, sf, docs), WITH_JUNK)
+    shares = [F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(WITH_JUNK)]
+    return mixed.select("doc_id", "n_tokens", "rate", "copies", *shares)
