@@ -44,17 +44,20 @@ def text_size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def in_chunks(docs: DataFrame, total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def in_chunks(
+    docs: DataFrame, total_bytes: int, chunk_bytes: int = CHUNK_BYTES, carry: bool = False,
+) -> DataFrame:
     """(chunk, row_key, doc_id, text): rows dealt evenly to chunks of about ``chunk_bytes``.
 
     The chunk depends on id and text, so rows that share an id or a text spread out. Rows equal in
-    both are interchangeable.
+    both are interchangeable. ``carry`` adds all columns of ``docs`` but the text as the struct ``carried``.
     """
     count = max(1, -(-total_bytes // chunk_bytes))
     key = F.xxhash64("doc_id", "text")
     return docs.select(
         F.pmod(key, F.lit(count)).cast("int").alias("chunk"), key.alias("row_key"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")] if carry else []),
     )
 
 

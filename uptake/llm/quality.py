@@ -217,28 +217,24 @@ def _pool(vectors):
     return pool
 
 
-def _score(vectors, net, otherwise):
+def _score(vectors, net, otherwise, least=None):
     def score(batches):
         for batch in batches:
             for table in words.batched_rows(pa.Table.from_batches([batch])):
                 rows = pooled(table, vectors.value)
                 scores = net.score(rows) if net else np.full(table.num_rows, otherwise)
-                yield from table.drop_columns(["text"]).append_column("score", pa.array(scores, pa.float64())).to_batches()
+                if least is None:
+                    out = table.drop_columns(["text"]).append_column("score", pa.array(scores, pa.float64()))
+                else:
+                    out = table.filter(pa.array(scores >= least))
+                yield from out.to_batches()
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000) -> DataFrame:
-    """(doc_id, score) for every row of ``docs`` (doc_id, text): how likely label 1 is, 0 to 1.
-
-    ``labels`` holds (doc_id, label) with label 0 or 1; other labels are ignored. The network learns from at
-    most ``most_labelled`` labelled rows (those with the smallest hashes of their ids), the word
-    vectors from all texts. NULL and empty texts have a zero vector and get its score. Without rows
-    of both classes every score is the share of label 1, 0.5 if there are none. Rows without
-    doc_id are scored; other columns are ignored; an empty table gives an empty table.
-    """
-    spark = docs.sparkSession
+def _learned(docs, labels, most_labelled):
+    """What scoring needs: word vectors (broadcast), the network, and the score without one."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_labelled)
     sample = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # at most most_labelled rows
@@ -247,6 +243,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_0
     y = sample.column("label").to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(sample.column("pooled").to_pylist()), dtype=np.float32).reshape(len(y), 2 * DIMENSIONS + 2)
     order = np.argsort(words.mix(sample.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
-    net = train(x[order].astype(np.float64), y[order])
-    otherwise = float(y.mean()) if len(y) else 0.5
-    return docs.mapInArrow(_score(vectors, net, otherwise), "doc_id bigint, score double")
+    return vectors, train(x[order].astype(np.float64), y[order]), float(y.mean()) if len(y) else 0.5
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000) -> DataFrame:
+    """(doc_id, score) for every row of ``docs`` (doc_id, text): how likely label 1 is, 0 to 1.
+
+    ``labels`` holds (doc_id, label) with label 0 or 1; other labels are ignored. The network learns from at
+    most ``most_labelled`` labelled rows (those with the smallest hashes of their ids), the word
+    vectors from all texts. NULL and empty texts have a zero vector and get its score. Without rows
+    of both classes every score is the share of label 1, 0.5 if there are none. Rows without
+    doc_id are scored; other columns are ignored; an empty table gives an empty table.
+    """
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _score(*_learned(docs, labels, most_labelled)), "doc_id bigint, score double")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most_labelled: int = 40_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    return docs.mapInArrow(_score(*_learned(docs, labels, most_labelled), least), docs.schema)

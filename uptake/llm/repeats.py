@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from uptake.llm import chunks, words
 
@@ -289,47 +290,92 @@ def _grow(length, size):
     return grow
 
 
-def _cut(length, size):
-    far = length - size
+class _Cut:
+    """A chunk's words and which of them go."""
 
-    def cut(key, texts, found):
-        table = chunks.ordered(texts)
-        data, offsets = words.text_bytes(table.column("text"))
-        starts, ends, first = words.find_words(data, offsets)
-        change = np.zeros(len(starts) + length + 1, dtype=np.int32)
-        join = lambda name: np.concatenate(
-            [np.zeros(0, np.int32)] + [np.frombuffer(x, dtype=np.int32) for x in found.column(name).to_pylist()])
-        row, place, windows = join("rows"), join("places"), join("windows")
-        for offset in range(far + 1):
+    def __init__(self, texts, found, length, size):
+        self.table = chunks.ordered(texts)
+        data, self.offsets = words.text_bytes(self.table.column("text"))
+        self.starts, self.ends, self.first = words.find_words(data, self.offsets)
+        self.raw = data.tobytes()
+        change = np.zeros(len(self.starts) + length + 1, dtype=np.int32)
+        row, place, windows = (
+            np.concatenate([np.zeros(0, np.int32)] + [np.frombuffer(x, dtype=np.int32) for x in found.column(name).to_pylist()])
+            for name in ("rows", "places", "windows"))
+        for offset in range(length - size + 1):
             hit = windows >> offset & 1 == 1
-            start = first[row[hit]] + place[hit] - offset
+            start = self.first[row[hit]] + place[hit] - offset
             np.add.at(change, start, 1)
             np.add.at(change, start + length, -1)
-        gone = np.cumsum(change)[:len(starts)] > 0
-        edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-        raw = data.tobytes()
-        removed, spans, kept = [], [], []
-        sums = np.r_[0, np.cumsum(gone)]
-        for r in range(len(first) - 1):
-            a, b = int(first[r]), int(first[r + 1])
-            n = int(sums[b] - sums[a])
-            removed.append(n)
-            if n == 0:
-                spans.append([])
-                kept.append(b" ".join(raw[offsets[r]:offsets[r + 1]].split()))
-                continue
-            cuts = edge[np.searchsorted(edge, a):np.searchsorted(edge, b, side="right")]
-            inner = np.unique(np.r_[a, cuts, b])
-            pieces = [(int(x), int(y)) for x, y in zip(inner[:-1], inner[1:])]
-            spans.append([{"start": x - a, "end": y - a} for x, y in pieces if gone[x]])
-            kept.append(b" ".join(w for x, y in pieces if not gone[x] for w in raw[starts[x]:ends[y - 1]].split()))
+        self.gone = np.cumsum(change)[:len(self.starts)] > 0
+        self.edge = np.flatnonzero(np.diff(np.r_[0, self.gone.astype(np.int8), 0]))
+        self.removed = np.diff(np.r_[0, np.cumsum(self.gone)][self.first])
+
+    def pieces(self, r):
+        """Row r as runs of words (from, to, whether they go)."""
+        a, b = int(self.first[r]), int(self.first[r + 1])
+        cuts = self.edge[np.searchsorted(self.edge, a):np.searchsorted(self.edge, b, side="right")]
+        inner = np.unique(np.r_[a, cuts, b]) if b > a else []
+        return [(int(x), int(y), bool(self.gone[x])) for x, y in zip(inner[:-1], inner[1:])]
+
+
+def _report(length, size):
+    def report(key, texts, found):
+        cut = _Cut(texts, found, length, size)
+        spans, kept = [], []
+        for r in range(len(cut.first) - 1):
+            pieces, a = cut.pieces(r), int(cut.first[r])
+            spans.append([{"start": x - a, "end": y - a} for x, y, gone in pieces if gone])
+            kept.append(b" ".join(w for x, y, gone in pieces if not gone for w in cut.raw[cut.starts[x]:cut.ends[y - 1]].split()))
         return pa.table({
-            "doc_id": table.column("doc_id").combine_chunks(), "row_key": table.column("row_key").combine_chunks(),
-            "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+            "doc_id": cut.table.column("doc_id"), "row_key": cut.table.column("row_key"),
+            "n_words": pa.array(np.diff(cut.first), pa.int64()), "n_removed": pa.array(cut.removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
         })
-    return cut
+    return report
+
+
+def _rewrite(length, size):
+    """Cut the texts in place: kept words with the white space after them."""
+    def rewrite(key, texts, found):
+        cut = _Cut(texts, found, length, size)
+        column, kept, keep = cut.table.column("text").to_pylist(), [], []
+        for r in range(len(cut.first) - 1):
+            pieces = cut.pieces(r)
+            keep.append(any(not gone for _, _, gone in pieces) or not pieces)
+            if not cut.removed[r]:
+                kept.append(column[r])
+                continue
+            last = int(cut.offsets[r + 1])
+            starts = np.r_[cut.starts, last]
+            kept.append(b"".join(
+                cut.raw[cut.starts[x]:(last if y == cut.first[r + 1] else starts[y])]
+                for x, y, gone in pieces if not gone).decode())
+        out = pa.table({"text": pa.array(kept, pa.string()), "carried": cut.table.column("carried")})
+        return out.filter(pa.array(keep, pa.bool_()))
+    return rewrite
+
+
+def _found(parts, size, length, anchor, group_size, max_paths) -> DataFrame:
+    """For every chunk of ``parts`` the places of its windows that start earlier elsewhere."""
+    if not 5 <= anchor < length or length - anchor > 30:
+        raise ValueError("5 <= anchor < length and length - anchor <= 30 are needed")
+    buckets = max(1, size // (8 * chunks.KEYS_PER_BUCKET))
+    by_chunk = parts.groupBy("chunk")
+    asked = by_chunk.applyInArrow(
+        _ask(length, anchor, buckets), "bucket int, chunk int, keys binary, counts binary")
+    answers = chunks.written(asked.groupBy("bucket").applyInArrow(
+        _answer, "bucket int, chunk int, bits binary, paths array<bigint>, suffixes array<bigint>"))
+    total, hot = split_paths(answers, group_size, max_paths)
+    groups = max(1, -(-2 * total // group_size))
+    bits = answers.where("chunk IS NOT NULL").select("bucket", "chunk", "bits")
+    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(
+        _send(length, anchor, buckets, hot, groups),
+        "grp int, chunk int, fragment binary, before int, windows int, docs array<bigint>, "
+        "rows array<int>, places array<int>")
+    return sent.groupBy("grp").applyInArrow(
+        _grow(length, anchor), "chunk int, rows binary, places binary, windows binary")
 
 
 def remove_repeats(
@@ -345,26 +391,24 @@ def remove_repeats(
     number of suffixes that one task indexes at once; ``max_paths`` bounds the list of split paths,
     the only thing that passes through the driver, and the group size grows beyond it.
     """
-    if not 5 <= anchor < length or length - anchor > 30:
-        raise ValueError("5 <= anchor < length and length - anchor <= 30 are needed")
     size = chunks.text_size(docs)
     parts = chunks.in_chunks(docs.select("doc_id", "text"), size)
-    buckets = max(1, size // (8 * chunks.KEYS_PER_BUCKET))
-    by_chunk = parts.groupBy("chunk")
-    asked = by_chunk.applyInArrow(
-        _ask(length, anchor, buckets), "bucket int, chunk int, keys binary, counts binary")
-    answers = chunks.written(asked.groupBy("bucket").applyInArrow(
-        _answer, "bucket int, chunk int, bits binary, paths array<bigint>, suffixes array<bigint>"))
-    total, hot = split_paths(answers, group_size, max_paths)
-    groups = max(1, -(-2 * total // group_size))
-    bits = answers.where("chunk IS NOT NULL").select("bucket", "chunk", "bits")
-    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(
-        _send(length, anchor, buckets, hot, groups),
-        "grp int, chunk int, fragment binary, before int, windows int, docs array<bigint>, "
-        "rows array<int>, places array<int>")
-    found = sent.groupBy("grp").applyInArrow(
-        _grow(length, anchor), "chunk int, rows binary, places binary, windows binary")
-    return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(
-        _cut(length, anchor),
+    found = _found(parts, size, length, anchor, group_size, max_paths)
+    return parts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
+        _report(length, anchor),
         "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, "
         "spans array<struct<start:int,end:int>>, kept_text string")
+
+
+def without_repeats(
+    docs: DataFrame, length: int = 20, anchor: int = 8, group_size: int = 50_000, max_paths: int = 100_000,
+) -> DataFrame:
+    """``docs`` with all its columns, the repeated words cut from text (white space between kept
+    words stays). Rows that lose all their words go; all else is as in ``remove_repeats``."""
+    size = chunks.text_size(docs)
+    parts = chunks.in_chunks(docs, size, carry=True)
+    found = _found(parts, size, length, anchor, group_size, max_paths)
+    carried = parts.schema["carried"].dataType
+    out = parts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
+        _rewrite(length, anchor), T.StructType().add("text", T.StringType()).add("carried", carried))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"carried.`{c}`") for c in docs.columns])
