@@ -37,6 +37,7 @@ _LOW = np.uint64(0x1111111111111111)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _BLOCK_ROWS = 1500
 _BLOCK_BYTES = 32 << 20
+_SALTS = 64
 
 
 def shingle_sets(table: pa.Table, size: int):
@@ -196,7 +197,10 @@ def near_duplicates(
     sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / _BLOCK_ROWS, F.col("n_bytes") / _BLOCK_BYTES)).cast("int")
     large = sizes.select("centre", blocks.alias("blocks")).where("blocks > 1")
-    tasks = members.join(large, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    salt = F.pmod(F.xxhash64("node"), F.lit(_SALTS)).alias("salt")  # a centre with very many members
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+    tasks = members.withColumn("salt", salt).join(large, ["centre", "salt"], "left")
+    tasks = tasks.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tasks = tasks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select(
