@@ -198,7 +198,7 @@ def near_duplicates(
     blocks = F.ceil(F.greatest(F.col("n") / _BLOCK_ROWS, F.col("n_bytes") / _BLOCK_BYTES)).cast("int")
     large = sizes.select("centre", blocks.alias("blocks")).where("blocks > 1")
     salt = F.pmod(F.xxhash64("node"), F.lit(_SALTS)).alias("salt")  # a centre with very many members
-    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     tasks = members.withColumn("salt", salt).join(large, ["centre", "salt"], "left")
     tasks = tasks.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tasks = tasks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
