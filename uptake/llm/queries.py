@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import leaks, mixing, near_duplicates, quality, repeats
+from uptake.llm import leaks, mixing, near_duplicates, quality, repeats, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -105,3 +105,12 @@ def op2_mixing(spark, sf):
     mixed = mixing.mix_to_targets(docs, labelled_domains(spark, sf, docs), WITH_JUNK)
     shares = [F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(WITH_JUNK)]
     return mixed.select("doc_id", "n_tokens", "rate", "copies", *shares)
+
+
+@query()
+def op1_token_counts(spark, sf):
+    """Bytes and tokens of every text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(_table(spark, sf, "documents"), path, limit=4096)
