@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import leaks, mixing, near_duplicates, quality, repeats, token_counts
+from uptake.llm import leaks, mixing, near_duplicates, quality, repeats, token_counts, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -114,3 +114,19 @@ def op1_token_counts(spark, sf):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.token_counts(_table(spark, sf, "documents"), path, limit=4096)
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""")
+def op4_exact_topk(spark, sf):
+    """The 20 best inner products of every twentieth vector with all others."""
+    whole = F.transform("embedding", lambda x: F.floor(64.0 * x.cast("double")).cast("double"))
+    finite = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x))
+    rows = _table(spark, sf, "embeddings").withColumn("embedding", finite).select("vec_id", whole.alias("vector"))
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
