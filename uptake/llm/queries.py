@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import leaks, mixing, near_duplicates, quality, repeats, token_counts, topk
+from uptake.llm import leaks, mixing, near_duplicates, quality, repeats, token_counts, topk, url_filters
 
 QUERIES = {}
 ORACLES = {}
@@ -130,3 +130,31 @@ def op4_exact_topk(spark, sf):
     finite = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x))
     rows = _table(spark, sf, "embeddings").withColumn("embedding", finite).select("vec_id", whole.alias("vector"))
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
+
+
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+# Host labels whose urls are listed.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+           FROM pages),
+  h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw,
+          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+  u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+  r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{q}')" for v, h, q in URL_RULES)}) AS t(says, dom, below)),
+  f AS (SELECT page_id, dom || below AS rule, says FROM u JOIN r
+        ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, below)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(dom || below) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN list_has_any(string_split(host, '.'),
+  [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN f USING (page_id)""")
+def op8_url_filters(spark, sf):
+    """Every page's url under five rules and a list of keys."""
+    def listed(host, path):
+        return F.arrays_overlap(F.split(host, "[.]"), F.array(*map(F.lit, LISTED_LABELS)))
+    return url_filters.judge_urls(_table(spark, sf, "pages"), URL_RULES, listed)
