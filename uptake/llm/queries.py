@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import leaks, mixing, near_duplicates, quality, repeats, token_counts, topk, url_filters
+from uptake.llm import interpolation, leaks, mixing, near_duplicates, quality, repeats, token_counts, topk, url_filters
 
 QUERIES = {}
 ORACLES = {}
@@ -158,3 +158,11 @@ def op8_url_filters(spark, sf):
     def listed(host, path):
         return F.arrays_overlap(F.split(host, "[.]"), F.array(*map(F.lit, LISTED_LABELS)))
     return url_filters.judge_urls(_table(spark, sf, "pages"), URL_RULES, listed)
+
+
+@query()
+def op5_language_model(spark, sf):
+    """Every text's log10 probability, learned from four fifths of the documents."""
+    docs = _table(spark, sf, "documents").withColumn("train", _fold(5) != 1)
+    return interpolation.score_texts(docs).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
