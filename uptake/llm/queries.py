@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from uptake.llm import interpolation, leaks, mixing, near_duplicates, quality, repeats, token_counts, topk, url_filters
+from uptake.llm import interpolation, leaks, mixing, near_duplicates, quality, repeats, templates, token_counts, topk, url_filters
 
 QUERIES = {}
 ORACLES = {}
@@ -166,3 +166,17 @@ def op5_language_model(spark, sf):
     docs = _table(spark, sf, "documents").withColumn("train", _fold(5) != 1)
     return interpolation.score_texts(docs).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1),
+             '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM pages),
+  b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+  c AS (SELECT page_id, url, replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+             '&amp;?', '&', 'g'), chr(160), ' ') AS x FROM b),
+  d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y)),
+             lambda y: y <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""")
+def op6_html_extraction(spark, sf):
+    """The main text of every page."""
+    return templates.main_texts(_table(spark, sf, "pages"))
