@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20
 KEYS_PER_BUCKET = 1 << 20
@@ -64,3 +65,12 @@ def in_chunks(
 def ordered(table):
     """A chunk's rows in an order that does not depend on how the shuffle delivered them."""
     return table.sort_by([("doc_id", "ascending"), ("row_key", "ascending")])
+
+
+def map_rows(docs: DataFrame, function, added=()) -> DataFrame:
+    """``mapInArrow`` that keeps all columns of ``docs`` and appends those of ``added``, whatever
+    their names: Spark's own cannot take names with dots."""
+    plain = [c.replace(".", "\u2024").replace("`", "\u2018") for c in docs.columns]
+    fields = [T.StructField(name, f.dataType) for name, f in zip(plain, docs.schema.fields)]
+    out = docs.toDF(*plain).mapInArrow(function, T.StructType([*fields, *added]))
+    return out.toDF(*docs.columns, *[f.name for f in added])

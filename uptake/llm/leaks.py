@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptake.llm import quality, words
+from uptake.llm.chunks import map_rows
 
 N = 3
 STRETCH = 4
@@ -257,5 +258,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4,
     """The rows of ``docs`` (with a column text, all columns are kept) in which ``leaks`` finds nothing."""
     out = docs
     for items in _blocks(docs, benchmark):
-        out = out.mapInArrow(_drop(items, threshold, least_words), docs.schema)
+        out = map_rows(out, _drop(items, threshold, least_words))
     return out

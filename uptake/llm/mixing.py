@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uptake.llm import quality, words
-from uptake.llm.chunks import written
+from uptake.llm.chunks import map_rows, written
 
 FEATURES = 1024
 _OWN = ("n_tokens", "posterior", "rate", "copies")
@@ -165,7 +165,7 @@ def mix_to_targets(
     own = T.StructType().add("n_tokens", T.LongType()).add("posterior", T.ArrayType(T.DoubleType()))
     soft = written(docs.select("text").mapInArrow(_judge(model, False), own))
     steps = fit_rates(soft, weights)
-    out = docs.mapInArrow(_judge(model, True), T.StructType(docs.schema.fields + own.fields))
+    out = map_rows(docs, _judge(model, True), own.fields)
     out = out.withColumn("rate", F.expr(_rate(steps)))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

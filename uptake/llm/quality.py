@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptake.llm import words
+from uptake.llm.chunks import map_rows
 
 SLOTS = 1 << 15
 DIMENSIONS = 32
@@ -261,4 +262,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_0
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, most_labelled: int = 40_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
-    return docs.mapInArrow(_score(*_learned(docs, labels, most_labelled), least), docs.schema)
+    return map_rows(docs, _score(*_learned(docs, labels, most_labelled), least))

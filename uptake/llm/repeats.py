@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,7 +178,7 @@ def _send(length, size, buckets, hot, groups):
             bits = _unpacked(part, buckets, replies)
             anchors = np.flatnonzero(bits[rank])
             grp = _group_of(part.keys[anchors], hot, groups)
-            doc_ids = part.table.column("doc_id").to_numpy(zero_copy_only=False)
+            doc_ids = pc.fill_null(part.table.column("doc_id"), -(1 << 63)).to_numpy()  # NULL sorts first
             row = np.searchsorted(part.first, part.anchors[anchors], side="right") - 1
             closes = np.r_[part.opens[1:], len(part.places)]
             far = part.anchors[anchors] - part.windows[part.opens[anchors]]
