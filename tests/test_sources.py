@@ -8,7 +8,7 @@ from uptake.functions import numeric
 from uptake.operators import rows
 from uptake.plans import preparation, reports, sheets
 from uptake.plans.variants import BATCH, DASHBOARD, DEFAULT
-from uptake.sources import columns, readers, sinks, staging
+from uptake.sources import columns, readers, sinks
 
 
 def test_unique_and_clean_names():
@@ -66,6 +66,14 @@ def test_monthly_table_from_csv(spark, tmp_path):
     assert values(signed.where("Month = 2 AND Category = '2W'"), "EV_Registrations") == [(-1.0,)]
 
 
+@pytest.mark.parametrize("pattern", ["{}-{:02d}-01 00:00:00", "15/{1:02d}/{0}"])
+def test_state_rows_keep_other_date_formats(spark, pattern):
+    rows = [(pattern.format(2024, m), "Goa", "EV", "1") for m in range(1, 13)] + [("someday", "Goa", "EV", "1")]
+    found = preparation.state_months(spark.createDataFrame(rows, ["date", "state", "fuel", "registrations"]))
+    assert sorted(values(found.electric, "Month", "EV_Registrations")) == [(m, 1.0) for m in range(1, 13)]
+    assert values(found.unparsed) == [(13, 1)]
+
+
 def test_monthly_table_errors(spark):
     with pytest.raises(ValueError, match="month"):
         preparation.monthly_categories(spark.createDataFrame([("1", "2")], "Year string, Electric string"))
@@ -118,22 +126,62 @@ def test_stacked_header_errors():
     assert (at, names) == (1, ["State", "EV_2020", "EV"])
 
 
-def test_grid_of_many_splits_keeps_every_row(spark, tmp_path):
+@pytest.mark.parametrize("split", ["128m", "4096"])
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, split):
     path = tmp_path / "long.csv"
-    lines = ["State,2020", *[f"s{i},{i}" for i in range(5000)]]
-    path.write_text("\n".join(lines))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    path.write_text("\n".join(["State,2020", *[f"s{i},{i}" for i in range(5000)]]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
         grid = readers.read_grid(spark, str(path))
-        assert grid.rdd.getNumPartitions() > 1
-        body = rows.row_band(grid, 1, None, readers.ROW_NO)
-        assert body.count() == 5000
-        assert values(rows.row_band(grid, 0, 2, readers.ROW_NO).orderBy("row_no"), "c0") == [
-            ("State",), ("s0",), ("s1",)]
+        assert (grid.rdd.getNumPartitions() > 1) == (split == "4096")
+        assert rows.row_band(grid, 0, 2000, readers.ROW_NO).count() == 2001
+        assert rows.row_band(grid, 4000, None, readers.ROW_NO).count() == 1001
+        cells = {r.row_no: r.c0 for r in grid.collect()}
+        assert cells == {0: "State", **{i + 1: f"s{i}" for i in range(5000)}}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_wide_rows_are_not_cut(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("".join(f"a{i},b,c\n" for i in range(9)) + "wide,1,2,3,4\n")
+    with pytest.raises(Exception, match="more than 3 cells"):
+        readers.read_grid(spark, str(path)).select("c0").collect()
+    grid = readers.read_grid(spark, str(path), width=5)
+    assert values(grid.where("row_no = 9")) == [("wide", "1", "2", "3", "4", 9)]
+    (tmp_path / "more").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "more" / name).write_text("x,y\n")
+    with pytest.raises(ValueError, match="one file"):
+        readers.read_grid(spark, str(tmp_path / "more"))
+    (tmp_path / "short.csv").write_text("a,b\n1\n1,234,5\n")
+    with pytest.raises(Exception, match="more than 2 cells"):
+        readers.read_csv(spark, str(tmp_path / "short.csv")).select("a").collect()
+    (tmp_path / "short.csv").write_text("a,b\n1\n1,234\n")
+    assert values(readers.read_csv(spark, str(tmp_path / "short.csv"))) == [("1", None), ("1", "234")]
+
+
+def test_quoted_cells_read_as_the_csv_module_does(spark, tmp_path):
+    import csv
+    import random
+
+    draw = random.Random(4)
+    parts = ['"', ",", "x", "y z", '""', "7", "'", "\\", "é"]
+    for multi_line in (False, True):
+        pieces = parts + (["\n"] if multi_line else [])
+        table = [["k", "a", "b"]] + [
+            [str(i)] + ["c" + "".join(draw.choices(pieces, k=draw.randint(1, 6))) + "d" for _ in range(2)] for i in range(300)]
+        path = tmp_path / f"quoted{multi_line}.csv"
+        with open(path, "w", newline="") as file:
+            csv.writer(file, lineterminator="\n").writerows(table)
+        with open(path, newline="") as file:
+            assert list(csv.reader(file)) == table
+        found = readers.read_csv(spark, str(path), multi_line=multi_line)
+        assert sorted(map(list, values(found))) == sorted(table[1:])
+        grid = readers.read_grid(spark, str(path), width=3, multi_line=multi_line)
+        assert [list(r) for r in values(grid.orderBy("row_no"), "c0", "c1", "c2")] == table
+
+
 def _sheet(spark, tmp_path):
     path = tmp_path / "sheet.csv"
     path.write_text(
@@ -205,8 +253,3 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_parquet(frame, str(tmp_path / "p"), ("Year",))
     back = spark.read.parquet(str(tmp_path / "p"))
     assert sorted(values(back, "k", "Year", "v"), key=str) == [("a", 2015, 1.5), ("b", 2016, None)]
-
-
-def test_stage_keeps_rows(spark):
-    frame = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()
-    assert sorted(values(staging.stage(frame))) == sorted(values(frame))

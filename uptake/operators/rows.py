@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +50,15 @@ def exclude_matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.where(~F.coalesce(F.col(column).rlike(f"(?i){pattern}"), F.lit(False)))
 
 
-def row_band(df: DataFrame, first: int, last: int | None, row_no: str) -> DataFrame:
-    """Rows from ``first`` to ``last`` inclusive by explicit row number.
-
-    A NULL row number lies past the head of the sheet, so it belongs to every open band.
-    """
+def in_band(first: int, last: int | None, row_no: str) -> Column:
+    """Whether an explicit row number lies from ``first`` to ``last`` inclusive; NULL never does."""
     number = F.col(row_no)
-    if last is None:
-        return df.where((number >= first) | number.isNull())
-    return df.where(number.between(first, last))
+    return F.coalesce(number >= first if last is None else number.between(first, last), F.lit(False))
+
+
+def row_band(df: DataFrame, first: int, last: int | None, row_no: str) -> DataFrame:
+    """Rows from ``first`` to ``last`` inclusive, or to the end, by explicit row number."""
+    return df.where(in_band(first, last, row_no))
 
 
 def keep_members(df: DataFrame, column: str, members) -> DataFrame:

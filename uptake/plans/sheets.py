@@ -1,7 +1,6 @@
 """Sheet layouts that carry meaning in row positions: bands and stacked headers.
 
-A grid is a DataFrame of text cells plus a ``row_no`` column (see ``readers.read_grid``); rows whose
-number is NULL lie past the head of the sheet.
+A grid is a DataFrame of text cells plus a ``row_no`` column (see ``readers.read_grid``).
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from uptake.functions.labels import ALL_VEHICLES, state_name, wheel_category
 from uptake.functions.labels import fuel_label, is_ev_fuel
 from uptake.functions.numeric import clean_num, fill_zero, total
 from uptake.operators.reshape import melt, melt_labelled
-from uptake.operators.rows import drop_missing, drop_totals, exclude_matching, row_band
+from uptake.operators.rows import drop_totals, in_band, row_band
 from uptake.plans.variants import DEFAULT, Variant
 from uptake.sources.columns import find_column, unique_names, year_columns
 from uptake.sources.readers import ROW_NO
@@ -60,11 +59,13 @@ def bands_to_long(
         F.col(f"`{labels[0]}`").alias("Category"), F.col(f"`{labels[1]}`").alias("Fuel_Type"),
         *years, row_no,
     )
-    top = row_band(named, *national, row_no).withColumn("Category", F.lit(ALL_VEHICLES))
-    rest = drop_missing(row_band(named, categories_from, None, row_no), ["Category", "Fuel_Type"])
+    # Both bands in one pass: the national rows get their label in place.
+    top = in_band(*national, row_no)
+    rest = in_band(categories_from, None, row_no) & F.col("Category").isNotNull() & F.col("Fuel_Type").isNotNull()
     if variant.drop_footers:
-        rest = exclude_matching(rest, "Category", "source|category")
-    rows = top.unionByName(rest).drop(row_no)
+        rest = rest & ~F.coalesce(F.col("Category").rlike("(?i)source|category"), F.lit(False))
+    rows = named.where(top | rest).withColumn("Category", F.when(top, F.lit(ALL_VEHICLES)).otherwise(F.col("Category")))
+    rows = rows.drop(row_no)
 
     if variant.standard_wheel_labels:
         rows = rows.withColumn("Category", wheel_category(F.col("Category"), variant.wheel_aliases))
@@ -110,7 +111,9 @@ def stacked_header_to_long(grid: DataFrame, variant: Variant = DEFAULT) -> DataF
     per cell.
     """
     cells = [name for name in grid.columns if name != ROW_NO]
-    head = grid.where(F.col(ROW_NO) < HEAD_ROWS).orderBy(ROW_NO).limit(HEAD_ROWS).collect()
+    # A limit without an order stops at the first split; the rows are ordered here.
+    head = grid.where(F.col(ROW_NO) < HEAD_ROWS).limit(HEAD_ROWS).collect()
+    head.sort(key=lambda row: row[ROW_NO])
     at, names = stacked_header([[row[c] for c in cells] for row in head])
 
     body = row_band(grid, at + 1, None, ROW_NO).select(

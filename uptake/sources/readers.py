@@ -16,7 +16,9 @@ MISSING = (
 
 ROW_NO = "row_no"
 HEAD_LINES = 8
-_AT_START = "_metadata.file_block_start = 0"
+_SURPLUS = "__surplus"
+_BLOCK = "_metadata.file_block_start"
+_QUOTES = {"quote": '"', "escape": '"'}  # a doubled quote in a quoted cell stands for one
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
@@ -27,9 +29,23 @@ def blank_missing(df: DataFrame) -> DataFrame:
     return df.withColumns(kept) if kept else df
 
 
-def read_csv(spark: SparkSession, path: str, missing: bool = True) -> DataFrame:
-    """CSV with a header row; every column arrives as text, so no inference pass over the data."""
-    df = spark.read.option("header", True).csv(path)
+def _cells(spark: SparkSession, path: str, names, header: bool, multi_line: bool) -> DataFrame:
+    """Text cells of a CSV under the given names; a row with a further cell that is not empty
+    stops the query, whichever columns it reads."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _SURPLUS]])
+    raw = spark.read.schema(schema).options(header=header, multiLine=multi_line, **_QUOTES).csv(path)
+    message = F.concat(F.lit(f"more than {len(names)} cells in a row of {path}: "), F.col(_SURPLUS))
+    return raw.where(F.when(F.col(_SURPLUS).isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def read_csv(spark: SparkSession, path: str, missing: bool = True, multi_line: bool = False) -> DataFrame:
+    """CSV with a header row; every column arrives as text, so no inference pass over the data.
+
+    A row may have fewer cells than the header (the rest is NULL), but not more. With ``multi_line``
+    quoted cells may hold line breaks; Spark then reads each file in one task.
+    """
+    names = spark.read.options(header=True, multiLine=multi_line, **_QUOTES).csv(path).columns
+    df = _cells(spark, path, names, True, multi_line).drop(_SURPLUS)
     return blank_missing(df) if missing else df
 
 
@@ -45,20 +61,30 @@ def read_table(spark: SparkSession, source) -> DataFrame:
     return read_csv(spark, path) if path.lower().endswith(".csv") else read_parquet(spark, path)
 
 
-def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    """One headerless CSV file as text cells ``c0, c1, ...`` plus ``row_no``.
+def read_grid(spark: SparkSession, path: str, width: int | None = None, multi_line: bool = False) -> DataFrame:
+    """One headerless CSV file as text cells ``c0, c1, ...`` plus ``row_no``, counted from 0.
 
-    The widest of the first lines gives the number of cells, since a title line may be short.
-    Row numbers count from 0 within the first split of the file, which is all that layouts with a
-    few header rows need; rows of later splits have a NULL row number ("past the head"). Nothing is
-    shuffled or counted for it. Sheets exported with their header row keep it as row 0.
+    The widest of the first lines gives the number of cells, since a title line may be short;
+    ``width`` sets it for files with wider rows further down, which otherwise stop the query. The
+    rows of each split are counted once, in a job of its own, so that row numbers do not depend on
+    how the file is split; one pair of numbers per split is kept. Sheets exported with their header
+    row keep it as row 0. ``multi_line`` is as in ``read_csv``.
     """
-    head = spark.read.text(path).where(_AT_START).limit(HEAD_LINES).collect()
-    width = max((len(cells) for line in head for cells in csv.reader([line.value])), default=1)
+    if width is None:
+        lines = spark.read.text(path).limit(HEAD_LINES).collect()
+        width = max((len(cells) for cells in csv.reader([line.value + "\n" for line in lines])), default=1)
     cells = [f"c{i}" for i in range(width)]
-    raw = spark.read.schema(", ".join(f"{cell} string" for cell in cells)).csv(path)
-    offset = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = raw.select(*cells, F.when(F.expr(_AT_START), offset).alias(ROW_NO))
-    return blank_missing(numbered)
-
-
+    raw = _cells(spark, path, cells, False, multi_line)
+    if len(raw.inputFiles()) > 1:
+        raise ValueError(f"{path} holds several files; a grid is one file")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = raw.select(*cells, within.alias("__within"), F.col(_BLOCK).alias("__block"))
+    # A task may read several splits of the file one after the other.
+    splits = numbered.groupBy("__block").agg(F.min("__within").alias("low"), F.count("*").alias("n")).orderBy("__block").collect()
+    offsets, total = {}, 0
+    for split in splits:
+        offsets[split["__block"]] = total - split["low"]
+        total += split["n"]
+    shift = F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair]) if offsets else None
+    number = F.col("__within") + F.element_at(shift, F.col("__block")) if offsets else F.lit(0).cast("long")
+    return blank_missing(numbered.select(*cells, number.alias(ROW_NO)))

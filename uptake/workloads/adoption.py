@@ -8,7 +8,6 @@ from uptake.operators import adoption, ranking, reshape, rollups
 from uptake.plans import preparation, reports, sheets
 from uptake.plans.variants import BATCH, DASHBOARD
 from uptake.sources.readers import ROW_NO
-from uptake.sources.staging import stage
 from uptake.workloads import facts
 from uptake.workloads.facts import (
     CATEGORY_EV, END_YEAR, REG, START_YEAR, STATE_EV, YEARLY, YEARS, r4,
@@ -184,7 +183,7 @@ WITH {STATE_EV}, h AS (SELECT * FROM state_ev ORDER BY State, Date LIMIT 5),
      t AS (SELECT * FROM state_ev ORDER BY State DESC, Date DESC LIMIT 5)
 SELECT *, 'head' AS Part FROM h UNION ALL SELECT *, 'tail' FROM t""")
 def head_tail_preview(spark, sf):
-    ev = stage(facts.state_ev(spark, sf))
+    ev = facts.state_ev(spark, sf)
     order = ["State", "Date"]
     return reshape.stack(
         ranking.head(ev, order, 5).withColumn("Part", F.lit("head")),
@@ -355,7 +354,7 @@ def _sheet(spark, sf):
     entries = F.array(
         F.when(national & (place >= 0), entry(F.lit("India"), place)),
         F.when(national & (place <= 1), entry(F.lit("Gap"), place + 4)),
-        F.when(national & (place == 0), entry(F.lit("Source: registers"), F.lit(None))),
+        F.when(national & (place == 0), entry(F.lit("Source: registers"), F.lit(1 << 40))),
         F.when(~national, entry(F.col("Category"), F.monotonically_increasing_id() + 7)),
     )
     placed = wide.withColumn("e", F.explode(F.array_compact(entries)))
@@ -419,7 +418,7 @@ def _stacked_grid(spark, sf):
         ).alias(f"c{i}") for i, (fuel, year) in enumerate(slots, start=1)
     ])
     cells = [f"c{i}" for i in range(len(slots) + 1)]
-    body = body.withColumnRenamed("State", "c0").withColumn(ROW_NO, F.lit(None).cast("long"))
+    body = body.withColumnRenamed("State", "c0").withColumn(ROW_NO, F.monotonically_increasing_id() + 5)
     fuel_row = [None] + [fuel if year == YEARS[0] else None for fuel, year in slots]
     year_row = ["State/UT"] + [str(year + 10) for _, year in slots]
     total_row = ["Grand Total"] + ["1" for _ in slots]
