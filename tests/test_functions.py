@@ -161,6 +161,10 @@ def test_dates(spark):
         assert spark.range(1).select(month).first()[0] == "2015-01-01"
     assert apply(spark, ["2021-02-30", "2021-02-03", "bad", None],
                  lambda c: dates.parse_date(c).cast("string")) == [None, "2021-02-03", None, None]
+    written = ["2024-01-15 00:00:00", "2024-01-15T10:20:30.5Z", "2024-01-15 10:20:30+05:30", "15/01/2024", "15-01-2024 9:05",
+               " 2024/01/15 ", "01/15/2024", "15.01.2024", "2024-01-15 noon"]
+    assert apply(spark, written, lambda c: dates.parse_date(c).cast("string")) == ["2024-01-15"] * 6 + [None] * 3
+    assert apply(spark, ["01/15/2024"], lambda c: dates.parse_date(c, ("MM/dd/yyyy",)).cast("string")) == ["2024-01-15"]
     assert apply(spark, ["FY1999", "x2015y", "none"], lambda c: dates.digits_year(c, r"(20[0-9]{2})")) == [
         None, 2015, None]
 

@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 from uptake.functions.text import strip
 
 ISO_FORMATS = ("yyyy-MM-dd",)
+# Year first, or day first. Month-first dates cannot be told from these and need a parameter.
+DATE_FORMATS = (*ISO_FORMATS, "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy")
+# A time of day behind a date, with a fraction and a zone; the date is taken as written.
+_TIME = r"[T ]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
-def parse_date(text: Column, formats=ISO_FORMATS) -> Column:
-    """Date of the first format that fits, else NULL."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]).cast("date")
+def parse_date(text: Column, formats=DATE_FORMATS) -> Column:
+    """Date of the first format that fits, else NULL. A time of day behind the date is dropped."""
+    first, *rest = [F.lit(fmt) for fmt in formats]
+    bare = F.regexp_replace(strip(text), _TIME, "")
+    # Most cells fit the first format as they are, and the rest is not evaluated.
+    tries = [F.try_to_timestamp(text, first), *[F.try_to_timestamp(bare, fmt) for fmt in (first, *rest)]]
+    return F.coalesce(*tries).cast("date")
 
 
 def parse_year_month(year: Column, month: Column, month_format: str = "MMM") -> Column:
     """First day of a month given a cell with a four digit year and a month name."""
     parts = F.concat_ws("-", digits_year(year).cast("string"), strip(month.cast("string")), F.lit("01"))
     complete = digits_year(year).isNotNull() & month.isNotNull()
-    return F.when(complete, parse_date(parts, (f"yyyy-{month_format}-dd",)))
+    parsed = F.try_to_timestamp(parts, F.lit(f"yyyy-{month_format}-dd")).cast("date")
+    return F.when(complete, parsed)
 
 
 def digits_year(text: Column, pattern: str = r"([0-9]{4})") -> Column:

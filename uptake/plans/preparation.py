@@ -20,12 +20,18 @@ from uptake.sources.columns import category_columns, find_column, require, with_
 class Monthly(NamedTuple):
     categories: DataFrame
     totals: DataFrame
+    unparsed: DataFrame  # one row: Rows, and Unparsed_Dates, the rows left out for their date
 
 
 class StateMonthly(NamedTuple):
     rows: DataFrame
     electric: DataFrame
     all_fuels: DataFrame
+    unparsed: DataFrame  # as in Monthly
+
+
+def _unparsed(dated):
+    return dated.agg(F.count("*").alias("Rows"), F.count_if(F.col("Date").isNull()).alias("Unparsed_Dates"))
 
 
 def _measure(df, name, variant):
@@ -48,7 +54,7 @@ def _table_date(df, formats, month_format):
 
 
 def monthly_categories(
-    table: DataFrame, variant: Variant = DEFAULT, date_formats=dates.ISO_FORMATS,
+    table: DataFrame, variant: Variant = DEFAULT, date_formats=dates.DATE_FORMATS,
     month_format: str = "MMM",
 ) -> Monthly:
     """Wide monthly table to category and total series.
@@ -76,11 +82,11 @@ def monthly_categories(
         totals = per_date.select("Date", F.col(total_name).alias("EV_Registrations"))
     else:
         totals = sum_by(by_category, ["Date"], "EV_Registrations")
-    return Monthly(dates.with_month_parts(by_category), dates.with_month_parts(totals))
+    return Monthly(dates.with_month_parts(by_category), dates.with_month_parts(totals), _unparsed(staged))
 
 
 def state_months(
-    table: DataFrame, variant: Variant = DEFAULT, date_formats=dates.ISO_FORMATS,
+    table: DataFrame, variant: Variant = DEFAULT, date_formats=dates.DATE_FORMATS,
 ) -> StateMonthly:
     """State table to cleaned rows, electric months and all-fuel months.
 
@@ -99,12 +105,13 @@ def state_months(
     require(roles, "state monthly table")
     kind = df.schema[roles["date"]].dataType.typeName()
     date = df[roles["date"]]
-    staged = df.select(
+    dated = df.select(
         (dates.parse_date(date, date_formats) if kind == "string" else date.cast("date")).alias("Date"),
         df[roles["state"]].cast("string").alias("State"),
         df[roles["fuel"]].cast("string").alias("Fuel_Type"),
         _measure(df, roles["registrations"], variant).alias("Registrations"),
-    ).where(F.col("Date").isNotNull())
+    )
+    staged = dated.where(F.col("Date").isNotNull())
 
     def labelled(frame):
         return dates.with_month_parts(frame.withColumns({
@@ -121,4 +128,4 @@ def state_months(
     keys = ["State", "Date", "Year", "Month"]
     electric = sum_by(compact.where("Is_EV"), keys, "Registrations", "EV_Registrations")
     all_fuels = sum_by(compact, keys, "Registrations", "Total_Registrations")
-    return StateMonthly(labelled(staged), electric, all_fuels)
+    return StateMonthly(labelled(staged), electric, all_fuels, _unparsed(dated))

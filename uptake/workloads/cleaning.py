@@ -129,9 +129,8 @@ FROM orders WHERE o_orderkey <= 3 OR o_orderkey >= 7""")
 def positional_bands(spark, sf):
     """The order key serves as the explicit row number."""
     sheet = table(spark, sf, "orders").select("o_orderkey")
-    top = rows.row_band(sheet, 0, 3, "o_orderkey").withColumn("Band", F.lit("national"))
-    rest = rows.row_band(sheet, 7, None, "o_orderkey").withColumn("Band", F.lit("category"))
-    return reshape.stack(top, rest)
+    top, rest = rows.in_band(0, 3, "o_orderkey"), rows.in_band(7, None, "o_orderkey")
+    return sheet.where(top | rest).withColumn("Band", F.when(top, "national").otherwise("category"))
 
 
 @query("""
@@ -332,11 +331,12 @@ def parse_month_date(spark, sf):
 SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS Date
 FROM orders""")
 def parse_iso_date(spark, sf):
+    """With the year-first format only, other dates are NULL."""
     orders = table(spark, sf, "orders")
     good = F.date_format("o_orderdate", "yyyy-MM-dd")
     bad = F.date_format("o_orderdate", "dd/MM/yyyy")
     raw = F.when(F.col("o_orderstatus") == "P", bad).otherwise(good)
-    return orders.select("o_orderkey", dates.parse_date(raw).alias("Date"))
+    return orders.select("o_orderkey", dates.parse_date(raw, dates.ISO_FORMATS).alias("Date"))
 
 
 @query("""
