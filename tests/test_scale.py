@@ -45,37 +45,55 @@ def test_hot_key_forecast_is_right(spark):
     assert series.agg(F.max("count")).first()[0] == 41
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_dimension_join_on_a_hot_key(spark, small):
-    fact = spark.range(30000).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 100 END AS c", "id % 4 AS m", "1D AS n")
-    dimension = spark.range(100).selectExpr("id AS c", "id % 5 AS g")
-    joined = matching.join_dimension(fact, dimension, "c", ["m"], ["n"], small)
-    found = joined.groupBy("g", "m").agg(F.sum("n").alias("n"))
-    expected = fact.selectExpr("c % 5 AS g", "m", "n").groupBy("g", "m").agg(F.sum("n").alias("n"))
-    assert sorted(values(found)) == sorted(values(expected))
-    if not small:
-        # The hot key reaches the join as one row per kept value.
-        assert joined.where("c = 7").count() == 4
-
-
-def test_size_check_follows_the_session(spark):
-    dimension = facts.table(spark, SF, "customer")
-    assert matching.fits_broadcast(dimension)
+@pytest.fixture
+def threshold(spark):
+    """Sets the broadcast threshold for one test."""
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
-    try:
-        for limit in ("1b", "-1"):
-            spark.conf.set(key, limit)
-            assert not matching.fits_broadcast(dimension)
-        summed = facts.registrations(spark, SF)
-        assert "SortMergeJoin" in plan(summed)
-        unbroadcast = sorted(values(summed, "State", "Fuel_Type", "Category", "Date", "Registrations"))
-    finally:
-        spark.conf.set(key, before)
-    broadcast = facts.registrations(spark, SF)
-    assert unbroadcast == sorted(
-        values(broadcast, "State", "Fuel_Type", "Category", "Date", "Registrations"))
+    yield lambda value: spark.conf.set(key, value)
+    spark.conf.set(key, before)
+
+
+def test_dimension_join_is_the_same_at_any_threshold(spark, threshold):
+    fact = spark.range(30000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 100 END AS c", "id % 4 AS m", "1D AS n", "id AS extra")
+    dimension = spark.range(100).selectExpr("id AS c", "id % 5 AS g")
+    found = {}
+    for limit in ("10m", "-1"):
+        threshold(limit)
+        joined = matching.join_dimension(fact, dimension, "c", ["m"], ["n"])
+        assert joined.columns == ["c", "m", "n", "g"]
+        found[limit] = sorted(values(joined))
+        assert ("SortMergeJoin" in plan(joined)) == (limit == "-1")
+    assert found["10m"] == found["-1"] == sorted(values(fact.selectExpr("c", "m", "n", "c % 5 AS g")))
+
+
+def test_facts_are_the_same_at_any_threshold(spark, threshold):
+    names = ("State", "Fuel_Type", "Category", "Date", "Registrations")
+    found = []
+    for limit in ("10m", "-1"):
+        threshold(limit)
+        found.append(sorted(values(facts.registrations(spark, SF), *names)))
+    assert found[0] == found[1]
+
+
+ONCE = (
+    "join_left_fill", "join_full_fill", "join_inner_suffixes", "join_chained_lookups", "join_left_fill_tables",
+    "join_full_fill_tables", "join_inner_suffixes_tables", "positional_bands", "sheet_bands_to_long",
+    "sheet_bands_raw_labels", "reconcile_compare", "reconcile_factors", "reconcile_adjust", "reconcile_forecast",
+)
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_each_table_is_scanned_once(spark, name):
+    text = plan(contract.queries()[name](spark, SF))
+    scans = re.findall(r"FileScan parquet .*?Location: InMemoryFileIndex\(1 paths\)\[[^\]]*?/(\w+)[.]parquet", text)
+    assert scans and len(scans) == len(set(scans)), scans
+
+
+def test_adjustment_joins_no_factors(spark):
+    """The only joins are those of the tables: orders with lines, customers and nations."""
+    assert plan(contract.queries()["reconcile_adjust"](spark, SF)).count("Join ") == 3
 
 
 def test_filters_and_columns_reach_the_scan(spark):

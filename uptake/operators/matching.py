@@ -27,8 +27,13 @@ def merge_sums(keys, **sides: tuple[DataFrame, str]) -> DataFrame:
 
 
 def left_fill(left: DataFrame, right: DataFrame, on, fill: dict) -> DataFrame:
-    """Left join, then fill the given columns where the right side had no row."""
-    return left.join(right, list(on), "left").fillna(fill)
+    """Left join; the given columns of the right side are filled where it had no row. NULLs that
+    a side brings along stay."""
+    joined = left.join(right.withColumn("__met", F.lit(True)), list(on), "left")
+    filled = {
+        name: F.when(F.col("__met").isNull(), F.lit(value)).otherwise(F.col(name)) for name, value in fill.items()
+    }
+    return joined.withColumns(filled).drop("__met")
 
 
 def inner_pair(left: DataFrame, right: DataFrame, on, value: str, names) -> DataFrame:
@@ -39,34 +44,10 @@ def inner_pair(left: DataFrame, right: DataFrame, on, value: str, names) -> Data
     )
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if Catalyst's size estimate is within the session's broadcast threshold.
+def join_dimension(fact: DataFrame, dimension: DataFrame, on: str, keep, sums) -> DataFrame:
+    """Join the given columns of a fact to a dimension whose key is unique.
 
-    No job runs. False where the threshold is off, or where the session does not tell (a remote
-    client): then callers take the way that holds for any size.
+    The rows are the fact's, whatever the size of the dimension. Spark broadcasts a dimension below
+    its threshold, so the fact is not shuffled; above it AQE splits the partition of a hot key.
     """
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    except AttributeError:
-        return False
-    return int(str(size)) <= limit
-
-
-def join_dimension(
-    fact: DataFrame, dimension: DataFrame, on: str, keep, sums, small: bool | None = None
-) -> DataFrame:
-    """Join a fact with additive measures to a dimension whose key is unique.
-
-    A dimension under the session's broadcast threshold joins in place: Spark broadcasts it, the
-    fact is not shuffled, so a hot key costs nothing. A larger one needs a shuffle on the key, and
-    there a hot key would fill one task; so the fact is first summed per key and kept column. That
-    collapses a hot key on the map side to one row per combination of kept columns, and AQE can
-    still split what is left.
-
-    ``small`` overrides the size check (for tests).
-    """
-    if fits_broadcast(dimension) if small is None else small:
-        return fact.join(dimension, on)
-    summed = fact.groupBy(on, *keep).agg(*[total(F.col(name)).alias(name) for name in sums])
-    return summed.join(dimension, on)
+    return fact.select(on, *keep, *sums).join(dimension, on)

@@ -18,6 +18,23 @@ def total_where(condition: Column, value: Column) -> Column:
     return total(F.when(condition, value))
 
 
+def sums_where(df: DataFrame, keys, value: str, needed=(), **conditions: Column) -> DataFrame:
+    """One sum per condition side by side, 0 where no row fits, in one pass and one shuffle.
+
+    This is the merge of filtered and summed copies of one frame. Groups without any row for a condition
+    named in ``needed`` are left out, as an inner join would.
+    """
+    amount = F.col(value).cast("double")
+    met = {name: f"__{name}" for name in needed}
+    out = df.groupBy(*keys).agg(
+        *[total_where(condition, amount).alias(name) for name, condition in conditions.items()],
+        *[F.count_if(conditions[name]).alias(alias) for name, alias in met.items()],
+    )
+    for alias in met.values():
+        out = out.where(F.col(alias) > 0)
+    return out.drop(*met.values())
+
+
 def positive_count(value: Column) -> Column:
     """Number of rows with a value above 0."""
     return F.count_if(value > 0)

@@ -42,6 +42,7 @@ SCHEMAS = {
               " o_orderdate timestamp_ntz, o_orderpriority string",
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double,"
                 " c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int,"
                 " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"

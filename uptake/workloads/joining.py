@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from uptake.operators import forecast as fc
 from uptake.operators import matching, rollups
 from uptake.operators.windows import series_window
+from uptake.plans import reports
 from uptake.workloads import facts
 from uptake.workloads.facts import END_YEAR, HORIZON, REG, START_YEAR, STATE_EV
 from uptake.workloads.forecasts import _sql
 from uptake.workloads.registry import query, rounded
 
-EV = "EV_Registrations"
-
-
-def _per_year(spark, sf):
-    return facts.registrations(spark, sf).withColumn("Year", F.year("Date"))
+def _two_years(spark, sf):
+    ev = facts.registrations(spark, sf).where("Is_EV").withColumn("Year", F.year("Date"))
+    return ev.where(F.col("Year").isin(START_YEAR, END_YEAR))
 
 
 @query(f"""
@@ -29,10 +28,10 @@ FROM t LEFT JOIN e USING (State, Category, Date)""")
 def join_left_fill(spark, sf):
     """Totals with the electric part, 0 where there is none."""
     reg = facts.registrations(spark, sf)
-    keys = ["State", "Category", "Date"]
-    totals = rollups.sum_by(reg, keys, "Registrations", "Total_Registrations")
-    electric = rollups.sum_by(reg.where("Is_EV"), keys, "Registrations", EV)
-    return matching.left_fill(totals, electric, keys, {EV: 0.0})
+    return rollups.sums_where(
+        reg, ["State", "Category", "Date"], "Registrations",
+        Total_Registrations=F.lit(True), EV_Registrations=F.col("Is_EV"),
+    )
 
 
 @query(f"""
@@ -44,11 +43,9 @@ SELECT State, Category, coalesce(a, 0) AS At_Start, coalesce(b, 0) AS At_End
 FROM s FULL JOIN e USING (State, Category)""")
 def join_full_fill(spark, sf):
     """Two years side by side, whichever exists."""
-    ev = _per_year(spark, sf).where("Is_EV")
-    return matching.merge_sums(
-        ["State", "Category"],
-        At_Start=(ev.where(F.col("Year") == START_YEAR), "Registrations"),
-        At_End=(ev.where(F.col("Year") == END_YEAR), "Registrations"),
+    return rollups.sums_where(
+        _two_years(spark, sf), ["State", "Category"], "Registrations",
+        At_Start=F.col("Year") == START_YEAR, At_End=F.col("Year") == END_YEAR,
     )
 
 
@@ -61,12 +58,50 @@ SELECT State, Category, a AS Registrations_Start, b AS Registrations_End
 FROM s JOIN e USING (State, Category)""")
 def join_inner_suffixes(spark, sf):
     """Two years side by side, only where both exist."""
-    ev = _per_year(spark, sf).where("Is_EV")
-    keys = ["State", "Category"]
-    start = rollups.sum_by(ev.where(F.col("Year") == START_YEAR), keys, "Registrations")
-    end = rollups.sum_by(ev.where(F.col("Year") == END_YEAR), keys, "Registrations")
-    names = ("Registrations_Start", "Registrations_End")
-    return matching.inner_pair(start, end, keys, "Registrations", names)
+    years = {"Registrations_Start": START_YEAR, "Registrations_End": END_YEAR}
+    return rollups.sums_where(
+        _two_years(spark, sf), ["State", "Category"], "Registrations", needed=tuple(years),
+        **{name: F.col("Year") == year for name, year in years.items()},
+    )
+
+
+# ---- the joins on frames from different tables: customers and suppliers of each nation ----------
+
+def _buyers(spark, sf):
+    customers = facts.table(spark, sf, "customer")
+    return customers.groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("Amount"))
+
+
+def _sellers(spark, sf):
+    """Suppliers with a low balance, so that some nations have none."""
+    suppliers = facts.table(spark, sf, "supplier").where("s_acctbal < 1000")
+    return suppliers.groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("Amount"))
+
+
+_SIDES = """b AS (SELECT c_nationkey AS k, sum(c_acctbal) AS x FROM customer GROUP BY 1),
+  s AS (SELECT s_nationkey AS k, sum(s_acctbal) AS y FROM supplier WHERE s_acctbal < 1000 GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_SIDES} SELECT k, {facts.r4('x')} AS Amount, {facts.r4('coalesce(y, 0)')} AS Sold FROM b LEFT JOIN s USING (k)""")
+def join_left_fill_tables(spark, sf):
+    sellers = _sellers(spark, sf).withColumnRenamed("Amount", "Sold")
+    return rounded(matching.left_fill(_buyers(spark, sf), sellers, ["k"], {"Sold": 0.0}))
+
+
+@query(f"""
+WITH {_SIDES} SELECT k, {facts.r4('coalesce(x, 0)')} AS Bought, {facts.r4('coalesce(y, 0)')} AS Sold
+FROM b FULL JOIN s USING (k)""")
+def join_full_fill_tables(spark, sf):
+    return rounded(matching.merge_sums(
+        ["k"], Bought=(_buyers(spark, sf), "Amount"), Sold=(_sellers(spark, sf), "Amount")))
+
+
+@query(f"""
+WITH {_SIDES} SELECT k, {facts.r4('x')} AS Amount_Bought, {facts.r4('y')} AS Amount_Sold FROM b JOIN s USING (k)""")
+def join_inner_suffixes_tables(spark, sf):
+    names = ("Amount_Bought", "Amount_Sold")
+    return rounded(matching.inner_pair(_buyers(spark, sf), _sellers(spark, sf), ["k"], "Amount", names))
 
 
 @query(f"""
@@ -78,18 +113,13 @@ WITH {_sql(STATE_EV, 'state_ev', ('State',))},
 SELECT * FROM ahead LEFT JOIN base_year USING (State)
   LEFT JOIN (SELECT State, Forecast_Method, Forecast_Confidence FROM met) USING (State)""")
 def join_chained_lookups(spark, sf):
-    """Forecast, base year and metrics as separate frames."""
-    rows, metrics = fc.forecast(facts.ev_rows(spark, sf), ["State"], end=HORIZON)
-    ahead = rows.where(F.col("Year") == HORIZON).groupBy("State").agg(
-        F.sum("Predicted").alias("Predicted")
-    )
-    base = rollups.sum_by(
-        facts.ev_rows(spark, sf).where(F.year("Date") == END_YEAR), ["State"], EV, "Actual"
-    )
-    looked_up = ahead.join(base, "State", "left").join(
-        metrics.select("State", "Forecast_Method", "Forecast_Confidence"), "State", "left"
-    )
-    return rounded(looked_up)
+    """Forecast, base year and metrics of every state, from one scored frame."""
+    scored = fc.score(facts.ev_rows(spark, sf), ["State"], end=HORIZON)
+    outlook = reports.state_outlook(scored, HORIZON, END_YEAR)
+    return rounded(outlook.select(
+        "State", F.col("Predicted_EV_Registrations").alias("Predicted"),
+        F.col(f"Actual_EV_Registrations_{END_YEAR}").alias("Actual"), "Forecast_Method", "Forecast_Confidence",
+    ))
 
 
 @query(f"""
