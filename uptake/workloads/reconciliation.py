@@ -13,7 +13,6 @@ from uptake.functions.numeric import total
 from uptake.operators import forecast as fc
 from uptake.operators import reconcile
 from uptake.plans.reports import predicted_by_year
-from uptake.sources.staging import stage
 from uptake.workloads import facts
 from uptake.workloads.facts import HORIZON, r4
 from uptake.workloads.forecasts import _sql
@@ -22,36 +21,32 @@ from uptake.workloads.registry import query, rounded
 THRESHOLD_ABS, THRESHOLD_PCT = 1000, 25
 
 
-def monthly_value(spark, sf):
-    """State, Date, Year, Month, EV_Registrations: order value in whole units."""
-    orders = facts.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("c_custkey"), facts.month_of("o_orderdate").alias("Date"),
-        F.round("o_totalprice").alias("EV_Registrations"),
-    )
-    placed = facts.by_nation(spark, sf, orders, ["Date"], ["EV_Registrations"])
-    return placed.groupBy("State", "Date").agg(
-        F.sum("EV_Registrations").alias("EV_Registrations")
-    ).withColumns({"Year": F.year("Date"), "Month": F.month("Date")})
-
+def monthly_values(spark, sf):
+    """State, Date, Year, Month, EV_Registrations and the reference's part of the month.
 
-def reference_value(spark, sf):
-    """State, Year, Reference_EV_Registrations: line item value by the order's year.
-
-    Line items are summed per order before the join; their partial sums leave the map side, and the
-    join then uses the same partitioning.
+    Order value and line item value in whole units, both by the order's month. Line items are summed
+    per order before the join, so each table is read once and an order meets one row.
     """
     lines = facts.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum(F.round("l_extendedprice")).alias(reconcile.REFERENCE)
     )
     orders = facts.table(spark, sf, "orders").select(
-        "o_orderkey", F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("Year")
-    )
-    valued = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        "c_custkey", "Year", reconcile.REFERENCE
+        "o_orderkey", F.col("o_custkey").alias("c_custkey"), facts.month_of("o_orderdate").alias("Date"),
+        F.round("o_totalprice").alias("EV_Registrations"),
     )
-    placed = facts.by_nation(spark, sf, valued, ["Year"], [reconcile.REFERENCE])
-    return placed.groupBy("State", "Year").agg(
-        total(F.col(reconcile.REFERENCE)).alias(reconcile.REFERENCE)
+    valued = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    measures = ["EV_Registrations", reconcile.REFERENCE]
+    placed = facts.by_nation(spark, sf, valued, ["Date"], measures)
+    return placed.groupBy("State", "Date").agg(
+        *[total(F.col(name)).alias(name) for name in measures]
+    ).withColumns({"Year": F.year("Date"), "Month": F.month("Date")})
+
+
+def annual_values(spark, sf):
+    """Both measures by state and year."""
+    return monthly_values(spark, sf).groupBy(*reconcile.KEYS).agg(
+        total(F.col(reconcile.REFERENCE)).alias(reconcile.REFERENCE),
+        total(F.col("EV_Registrations")).alias(reconcile.MONTHLY),
     )
 
 
@@ -83,9 +78,7 @@ flagged AS (SELECT *, coalesce(abs(Difference) > {abs} AND abs(pct) > {pct}, fal
 WITH {_SOURCES} SELECT * EXCLUDE (pct, review), {r4('pct')} AS Difference_Percent_vs_Reference,
   review AS Needs_Review FROM flagged""")
 def reconcile_compare(spark, sf):
-    return rounded(
-        reconcile.compare_sources(monthly_value(spark, sf), reference_value(spark, sf))
-    )
+    return rounded(reconcile.review(annual_values(spark, sf)))
 
 
 _FACTORS = f"""{_SOURCES}, factors AS (
@@ -100,9 +93,7 @@ WITH {_FACTORS} SELECT * EXCLUDE (pct, used, factor),
   {r4('pct')} AS Difference_Percent_vs_Reference, used AS Use_Reference_Adjustment,
   {r4('factor')} AS Adjustment_Factor FROM factors""")
 def reconcile_factors(spark, sf):
-    return rounded(
-        reconcile.adjustment_factors(monthly_value(spark, sf), reference_value(spark, sf))
-    )
+    return rounded(reconcile.factors(annual_values(spark, sf)))
 
 
 _ADJUSTED = f"""{_FACTORS}, adjusted AS (
@@ -117,9 +108,7 @@ _ADJUSTED = f"""{_FACTORS}, adjusted AS (
 WITH {_ADJUSTED} SELECT * EXCLUDE (factor, adjusted), {r4('factor')} AS Adjustment_Factor,
   {r4('adjusted')} AS EV_Registrations_Adjusted FROM adjusted""")
 def reconcile_adjust(spark, sf):
-    monthly = stage(monthly_value(spark, sf))
-    adjusted, _ = reconcile.adjust_to_reference(monthly, reference_value(spark, sf))
-    return rounded(adjusted)
+    return rounded(reconcile.adjust(monthly_values(spark, sf), reconcile.REFERENCE))
 
 
 _SPARSE = f"""{_FACTORS}, adjusted AS (
@@ -134,8 +123,7 @@ FROM (SELECT State, CAST(year(Date) AS INTEGER) AS Year, Predicted AS raw_v FROM
 GROUP BY ALL""")
 def reconcile_forecast(spark, sf):
     """Reference, adjustment and forecast of the adjusted values wired together, in thousands."""
-    monthly = stage(monthly_value(spark, sf))
-    adjusted, _ = reconcile.adjust_to_reference(monthly, reference_value(spark, sf))
+    adjusted = reconcile.adjust(monthly_values(spark, sf), reconcile.REFERENCE)
     thousands = adjusted.withColumn(
         "EV_Registrations_Adjusted", F.round(F.col("EV_Registrations_Adjusted") / 1000)
     )
