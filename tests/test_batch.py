@@ -49,3 +49,19 @@ def test_batch_job_with_adjustment(spark, tmp_path):
     actual = read_csv(spark, paths[4]).where("State = 'Goa' AND Year = '2020'").selectExpr(
         "sum(CAST(Actual AS DOUBLE))").first()[0]
     assert round(actual, 6) == 12660
+
+
+def test_raw_rows_are_read_once(spark, tmp_path):
+    """Without a checkpoint folder; the accumulator counts the rows of the state table that Spark reads."""
+    sheet, state, reference = _inputs(tmp_path)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    raw = read_csv(spark, state)
+    table = raw.mapInArrow(count, raw.schema)
+    batch.run(spark, sheet, table, str(tmp_path / "out"), reference, (2015, 2016), 2023, DEFAULT)
+    assert read.value == 96
+    assert (tmp_path / "out" / "parquet" / "state_monthly_ev" / "Year=2020").exists()

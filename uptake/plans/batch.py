@@ -9,7 +9,6 @@ from uptake.operators import forecast as fc
 from uptake.plans import preparation, reports, sheets
 from uptake.plans.variants import BATCH, Variant
 from uptake.sources import readers, sinks
-from uptake.sources.staging import stage
 
 
 def yearly_outputs(
@@ -25,11 +24,11 @@ def yearly_outputs(
     }
 
 
-def state_outputs(monthly: DataFrame, end: int, variant: Variant = BATCH) -> dict[str, DataFrame]:
-    """Forecasts of a state monthly frame, by its adjusted values if it has them."""
+def state_outputs(
+    monthly: DataFrame, scored: DataFrame, end: int, variant: Variant = BATCH
+) -> dict[str, DataFrame]:
+    """A state monthly frame and its forecasts, from the scored rows (see ``forecast.score``)."""
     policy = variant.forecast
-    value = fc.state_value_column(monthly.columns)
-    scored = fc.score(monthly, ["State"], value, end=end, policy=policy)
     return {
         "cleaned/state_monthly_ev_cleaned": monthly,
         f"state_forecast_monthly_{end}": fc.forecast_rows(scored, ["State"], policy),
@@ -44,17 +43,26 @@ def run(
 ) -> list[str]:
     """Read a yearly sheet (as CSV) and a state table, write all outputs, return their paths.
 
-    With a reference table the state values are adjusted to it before they are forecast. The two
-    prepared frames are staged, so that each raw file is read once.
+    With a reference table the state values are adjusted to it before they are forecast, by their
+    adjusted values. The cleaned tables are written first, below ``parquet/`` and partitioned by
+    year, and so are the scored rows; all CSV outputs derive from what was written. So
+    each raw file is read once and the model runs once.
     """
+    def kept(frame, name, partition_by=()):
+        path = f"{out.rstrip('/')}/parquet/{name}"
+        sinks.write_parquet(frame, path, partition_by)
+        # The partition column would come back last.
+        return spark.read.schema(frame.schema).parquet(path).select(*[f"`{c}`" for c in frame.columns])
+
     sheet = sheets.promote_header(readers.read_grid(spark, sheet_path))
     labels = tuple(name for name in sheet.columns if name.startswith("Unnamed"))[:2]
-    yearly = stage(sheets.bands_to_long(sheet, labels, variant))
+    yearly = kept(sheets.bands_to_long(sheet, labels, variant), "wheel_fuel_yearly", ("Year",))
     monthly = preparation.state_months(readers.read_table(spark, state_path), variant).electric
     if reference_path:
         reference = sheets.stacked_header_to_long(readers.read_grid(spark, reference_path), variant)
-        monthly = stage(monthly)
         monthly, _ = reconcile.adjust_to_reference(monthly, reference)
-    monthly = stage(monthly)
-    frames = {**yearly_outputs(yearly, *years, variant), **state_outputs(monthly, end, variant)}
+    monthly = kept(monthly, "state_monthly_ev", ("Year",))
+    value = fc.state_value_column(monthly.columns)
+    scored = kept(fc.score(monthly, ["State"], value, end=end, policy=variant.forecast), "state_scored")
+    frames = {**yearly_outputs(yearly, *years, variant), **state_outputs(monthly, scored, end, variant)}
     return sinks.write_outputs(frames, out)

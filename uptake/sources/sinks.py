@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder is chosen
+    here only in local mode and where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "/tmp/checkpoints"
+    return folder.rstrip("/")
 
 
 def _arranged(df: DataFrame, partition_by):
@@ -13,7 +24,8 @@ def _arranged(df: DataFrame, partition_by):
 
 
 def write_csv(df: DataFrame, path: str, partition_by=()) -> None:
-    _arranged(df, partition_by).mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; quotes in quoted cells are doubled, as ``readers.read_csv`` expects."""
+    _arranged(df, partition_by).mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=()) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "adoption", "series", "forecasts", "reconciliation", "joining")
+MODULES = ("cleaning", "adoption", "series", "forecasts", "reconciliation", "joining", "tables")
 
 
 def load_all():
