@@ -4,8 +4,9 @@ Words are runs of letters, digits and bytes above 0x7F, A-Z lower-cased, so punc
 breaks do not matter. The test items come in blocks of bounded size; for each block
 
 1. one pass counts how often each n-gram of the items occurs in all texts;
-2. an item's seeds are the rarer half of its n-grams, and the rarest among any ``STRETCH``
-   consecutive ones, so that every stretch of an item has a seed however common its words are;
+2. an item's seeds are its rare n-grams: those that occur, at most ``COMMON`` times as often as its
+   median one. A leak repeated many times raises the median alike, so it stays found. Of any
+   ``STRETCH`` consecutive n-grams the rarest stays as well, so every stretch of an item has a seed;
 3. a second pass looks the seeds up in every text. A seed puts the item at a place in the text; the
    passage there is aligned word by word, unless it shares too few words to reach the threshold.
 
@@ -25,6 +26,7 @@ from uptake.llm.chunks import map_rows
 
 N = 3
 STRETCH = 4
+COMMON = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20
 
@@ -71,10 +73,10 @@ class Items:
         count = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)])
         keep = np.zeros(len(count), dtype=bool)
         for i in range(len(self.words)):
-            mine = np.flatnonzero(self.item == i)
+            mine = np.flatnonzero((self.item == i) & (count > 0))
             mine = mine[np.argsort(self.at[mine])]
             if len(mine):
-                keep[mine[count[mine] <= np.median(count[mine])]] = True
+                keep[mine[count[mine] <= COMMON * np.median(count[mine])]] = True
                 for a in range(max(1, len(mine) - STRETCH + 1)):
                     part = mine[a:a + STRETCH]
                     keep[part[np.argmin(count[part])]] = True

@@ -35,7 +35,7 @@ from uptake.llm.components import components
 BITS = 4
 _LOW = np.uint64(0x1111111111111111)
 _SALT = np.uint64(0x5851F42D4C957F2D)
-_BLOCK_ROWS = 1500
+_BLOCK_ROWS = 512
 _BLOCK_BYTES = 32 << 20
 _SALTS = 64
 
@@ -187,8 +187,10 @@ def near_duplicates(
         _sketch(size, bands, rows),
         "doc_id bigint, n_shingles bigint, n_bytes bigint, d1 bigint, d2 bigint, signature binary, keys array<bigint>"))
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    copies = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    nodes = written(full.join(copies.withColumnRenamed("node", "doc_id"), ["doc_id", "d1", "d2"]).select(
+    # Written, so that Spark sees its size and can split a digest that very many rows share.
+    copies = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")))
+    first = copies.select(F.col("node").alias("doc_id"), "d1", "d2")
+    nodes = written(full.join(first, ["doc_id", "d1", "d2"]).select(
         F.col("doc_id").alias("node"), "n_bytes", "signature", "keys"))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last")
@@ -210,7 +212,7 @@ def near_duplicates(
     deviation = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     links = tasks.join(texts, "node").groupBy("centre", "i", "j").applyInArrow(
         _confirm(size, threshold, threshold - 5.2 * deviation), "a bigint, b bigint")
-    same = full.join(copies, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    same = full.join(copies.where("node != last"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     label = components(links.unionByName(same.where("a != b")))
     out = sketches.select("doc_id", "n_shingles").join(
         label.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component_id"), "doc_id", "left")
