@@ -9,11 +9,14 @@ least ``threshold`` are linked; a component is what links reach.
 2. Equal sets are one node from here on, so a group of exact copies costs one row.
 3. All nodes with a band key in common share the smallest of them as a centre. Grouping by centre
    finds every candidate pair once instead of once per band, and needs no list of pairs.
-4. Members of a centre meet in blocks of bounded size, each pair of blocks in its own task. Bit
-   counts of the packed signatures, corrected for chance collisions, rule out dissimilar pairs; the
+4. Members of a centre meet in blocks of bounded size, and the centre in each of them. Bit counts
+   of the packed signatures, corrected for chance collisions, rule out dissimilar pairs; the
    others are confirmed on whole sets, most similar first, unless links already connect them. A
    task emits the links of a spanning forest, not all pairs.
-5. Components of those links and of the copies give the classes.
+5. Components of those links and of the copies are classes, but for links between two blocks of a
+   very large group. As a rule all its blocks are one component by then. Where they are not, the
+   members outside of the group's largest component, in blocks again, meet all others; those
+   inside need not meet each other. So a large group costs its size, not its square.
 
 With 32 bands of 4 rows a pair at 0.8 has no band in common once in 2 * 10^7 pairs, and the bit
 count of a linked pair falls below the bound once in 10^6.
@@ -126,11 +129,12 @@ def _sketch(size, bands, rows):
 
 
 def _confirm(size, threshold, least):
+    """Links between the rows of a task: between all, or where ``side`` is given between its two
+    sides. Rows of equal ``label`` are connected already."""
     def confirm(key, table):
-        table = table.sort_by([("node", "ascending"), ("block", "ascending")])
-        node = table.column("node").to_numpy()
-        block = table.column("block").to_numpy()
-        cross = key[1].as_py() != key[2].as_py()
+        table = table.sort_by([("node", "ascending"), ("side", "ascending")])
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        side = table.column("side").to_numpy(zero_copy_only=False)
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64)
         signature = signature.reshape(len(node), -1)
         values, first = shingle_sets(table, size)
@@ -138,11 +142,11 @@ def _confirm(size, threshold, least):
         left, right, score = [], [], []
         for x in range(len(node) - 1):
             near = estimated(signature[x], signature[x + 1:])
-            fit = (near >= least) & (node[x + 1:] != node[x])
+            fit = (near >= least) & (label[x + 1:] != label[x])
             smaller, larger = np.minimum(count[x], count[x + 1:]), np.maximum(count[x], count[x + 1:])
             fit &= smaller >= threshold * larger - 1e-9
-            if cross:
-                fit &= block[x + 1:] != block[x]
+            if side[x] is not None:
+                fit &= side[x + 1:] != side[x]
             hit = np.flatnonzero(fit)
             left.append(np.full(len(hit), x))
             right.append(hit + x + 1)
@@ -150,28 +154,65 @@ def _confirm(size, threshold, least):
         a, b = [], []
         if left:
             left, right, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-            root = list(range(len(node)))
+            _, root = np.unique(label, return_inverse=True)
+            root = root.reshape(-1).tolist()  # of each row its label's number, of which the parents are kept
+            parent = list(range(max(root) + 1))
 
             def top(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
                 return i
             for i in np.argsort(-score, kind="stable").tolist():
                 x, y = int(left[i]), int(right[i])
-                rx, ry = top(x), top(y)
+                rx, ry = top(root[x]), top(root[y])
                 if rx == ry:
                     continue
                 one, two = values[first[x]:first[x + 1]], values[first[y]:first[y + 1]]
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 if 100 * shared >= round(100 * threshold) * (len(one) + len(two) - shared):
-                    root[rx] = ry
+                    parent[rx] = ry
                     a.append(int(node[x]))
                     b.append(int(node[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return confirm
 
 
+def _looked_up(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join on centre, salted by node: a centre with very many members spreads over many tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(_SALTS))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+    return rows.withColumn("salt", salt).join(found.withColumn("salt", salts), ["centre", "salt"], how).drop("salt")
+
+
+def _part(count: str):
+    """The block of a node, of as many as the column ``count`` says."""
+    return F.pmod(F.xxhash64("node"), count).cast("int")
+
+
+def _all(count: str):
+    return F.sequence(F.lit(0), F.col(count) - 1)
+
+
+def _across_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of tasks (centre, i, j) in which members outside of their group's largest component
+    meet all its members. ``members`` are those of groups with several blocks."""
+    known = members.join(labels.withColumnRenamed("label", "known"), "node", "left")
+    known = known.withColumn("label", F.coalesce("known", "node")).drop("known")
+    sizes = known.groupBy("centre", "label").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("centre").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+    groups = groups.where("outside > 0").withColumn("parts", F.ceil(F.col("outside") / _BLOCK_ROWS).cast("int"))
+    known = _looked_up(known, groups.select("centre", "main", "parts"), "inner")
+    outside = known.where("label != main").select(
+        "centre", _part("parts").alias("i"), F.explode(_all("blocks")).alias("j"), "node", "label", "signature",
+        F.lit(0).alias("side"))
+    everyone = known.select(
+        "centre", F.explode(_all("parts")).alias("i"), _part("blocks").alias("j"), "node", "label", "signature",
+        F.lit(1).alias("side"))
+    return outside.unionByName(everyone)
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 4,
 ) -> DataFrame:
@@ -198,22 +239,26 @@ def near_duplicates(
     members = members.join(nodes.select("node", "n_bytes", "signature"), "node")
     sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     blocks = F.ceil(F.greatest(F.col("n") / _BLOCK_ROWS, F.col("n_bytes") / _BLOCK_BYTES)).cast("int")
-    large = sizes.select("centre", blocks.alias("blocks")).where("blocks > 1")
-    salt = F.pmod(F.xxhash64("node"), F.lit(_SALTS)).alias("salt")  # a centre with very many members
-    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    tasks = members.withColumn("salt", salt).join(large, ["centre", "salt"], "left")
-    tasks = tasks.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    tasks = tasks.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = written(sizes.select("centre", blocks.alias("blocks")).where("blocks > 1"))
+    tasks = _looked_up(members, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    places = F.when(F.col("node") == F.col("centre"), _all("blocks")).otherwise(F.array(_part("blocks")))
     tasks = tasks.select(
-        "centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "signature")
+        "centre", F.explode(places).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"),
+        "signature", F.lit(None).cast("int").alias("side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     deviation = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    links = tasks.join(texts, "node").groupBy("centre", "i", "j").applyInArrow(
-        _confirm(size, threshold, threshold - 5.2 * deviation), "a bigint, b bigint")
+    confirm = _confirm(size, threshold, threshold - 5.2 * deviation)
+
+    def linked(tasks):
+        return tasks.join(texts, "node").groupBy("centre", "i", "j").applyInArrow(confirm, "a bigint, b bigint")
+
     same = full.join(copies.where("node != last"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    label = components(links.unionByName(same.where("a != b")))
+    links = written(linked(tasks).unionByName(same.where("a != b")))
+    label = components(links)
+    if not large.isEmpty():
+        more = written(linked(_across_blocks(_looked_up(members, large, "inner"), label)))
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
     out = sketches.select("doc_id", "n_shingles").join(
         label.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
