@@ -350,3 +350,12 @@ def test_pipeline_runs(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "substrings", "decontamination", "mixing"]
     rows = out.collect()
     assert 0 < len(rows) < 200 and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_sweep_removes_what_was_written(spark):
+    import os
+
+    folder = chunks._own_folder(spark)
+    assert chunks.written(spark.range(5)).count() == 5 and os.listdir(folder)
+    chunks.sweep(spark)
+    assert not os.path.exists(folder)

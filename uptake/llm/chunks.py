@@ -14,32 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from uptake.sources.sinks import shared_folder
+
 CHUNK_BYTES = 4 << 20
 KEYS_PER_BUCKET = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only in
-    local mode and where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "/tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: later steps neither recompute it nor
-    depend on the executors that made it. Files lie below the application's id, to be swept after it."""
+    depend on the executors that made it. The files lie below the application's id; ``sweep``
+    removes them."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder. Results that were not stored
+    elsewhere cannot be computed any more after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_size(docs: DataFrame) -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
