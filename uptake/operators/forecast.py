@@ -175,15 +175,26 @@ def _with_quality(series, keys, policy):
     whole = _over(keys)
     tail = f"least(__n, {float(policy.band_periods)}D)"
     in_tail = f"Period >= Start AND Period > Last - {policy.band_periods}"
-    rows = series.selectExpr(
+    # With u counting from the start of a gap of m periods the model is c0 + c1 u + c2 u^2, so the
+    # gap's squares have a closed form in m; no array of its periods is built.
+    gaps = series.selectExpr(
+        "*",
+        "CAST(Period - Start AS DOUBLE) AS __t",
+        "CAST(greatest(coalesce(__next - Period - 1, 0), 0) AS DOUBLE) AS __m",
+    ).selectExpr(
+        "*",
+        "__w0 + __w1 * (__t + 1) + __w2 * (__t + 1) * (__t + 1) AS __c0",
+        "__w1 + 2 * __w2 * (__t + 1) AS __c1",
+        "__m * (__m - 1) / 2 AS __m1",
+        "__m * (__m - 1) * (2 * __m - 1) / 6 AS __m2",
+    )
+    rows = gaps.selectExpr(
         "*",
         """CASE WHEN Modelled AND Period >= Start THEN
-             pow(Value - (__w0 + __w1 * (Period - Start)
-                          + __w2 * CAST(Period - Start AS DOUBLE) * (Period - Start)), 2)
-             + CASE WHEN __next > Period + 1 THEN
-                 aggregate(sequence(Period + 1 - Start, __next - 1 - Start), 0D, (total, t) ->
-                           total + pow(__w0 + __w1 * t + __w2 * CAST(t AS DOUBLE) * t, 2))
-               ELSE 0D END
+             pow(Value - (__w0 + __w1 * __t + __w2 * __t * __t), 2)
+             + __c0 * __c0 * __m + 2 * __c0 * __c1 * __m1
+             + (__c1 * __c1 + 2 * __c0 * __w2) * __m2 + 2 * __c1 * __w2 * __m1 * __m1
+             + __w2 * __w2 * __m2 * (3 * __m * __m - 3 * __m - 1) / 5
            END AS __squares""",
         f"__band_sum / {tail} AS __band_mean",
     )
