@@ -230,6 +230,12 @@ def test_language_model_against_brute_force(spark, monkeypatch):
     assert sums[1] > sums[0]  # better than word frequencies on texts it has not seen
 
 
+def test_packed_counts():
+    counts = np.array([0, 1, 254, 255, 256, 2 ** 40, 3])
+    blob = interpolation.packed_counts(counts)
+    assert len(blob) == 7 + 3 * 8 and interpolation.unpacked_counts(blob, 7).tolist() == counts.tolist()
+
+
 def test_weights_by_expectation_maximisation():
     side = interpolation._NEVER + 1
     # In bucket 3 pairs always predict well; in bucket 1 never.

@@ -25,11 +25,22 @@ from pyspark.sql import functions as F
 from uptake.llm import chunks, words
 
 END = np.uint64(0xE7D5C0DE5EED0001)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 _STEPS = 4
 _NEVER = 1 << 12  # the bin of probability 0
 
 
+def packed_counts(counts):
+    """Counts as a byte each; 255 stands for a larger one, which follows behind all."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked_counts(blob, n: int):
+    counts = np.frombuffer(blob, dtype=np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(blob[n:], dtype=np.int64)
+    return counts
+
+
 class _Tokens:
     """The tokens of a chunk: their distinct words and pairs, in the order in which they are asked."""
 
@@ -78,7 +89,7 @@ class _Keys:
 
     def totals(self, answers):
         """The corpus counts of the distinct keys."""
-        parts = [np.frombuffer(answers[int(self.bucket[a])], dtype=np.int64) for a, _ in self.spans()]
+        parts = [unpacked_counts(answers[int(self.bucket[a])], b - a) for a, b in self.spans()]
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
 
@@ -90,7 +101,7 @@ def _ask(buckets):
             for a, b in keys.spans():
                 out["bucket"].append(int(keys.bucket[a]))
                 out["keys"].append(keys.key[a:b].tobytes())
-                out["counts"].append(keys.count[a:b].astype(np.int32).tobytes())
+                out["counts"].append(packed_counts(keys.count[a:b]))
         return pa.table({
             "bucket": pa.array(out["bucket"], pa.int32()),
             "chunk": pa.array([key[0].as_py()] * len(out["bucket"]), pa.int32()),
@@ -102,7 +113,7 @@ def _answer(buckets):
     def answer(key, table):
         table = table.sort_by("chunk")
         parts = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([unpacked_counts(x, len(p)) for x, p in zip(table.column("counts").to_pylist(), parts)])
         distinct, index = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.zeros(len(distinct), dtype=np.int64)
         np.add.at(total, index.reshape(-1), counts)
@@ -113,7 +124,7 @@ def _answer(buckets):
         return pa.table({
             "bucket": pa.array([bucket] * (rows + 1), pa.int32()),
             "chunk": pa.array(table.column("chunk").to_pylist() + [None], pa.int32()),
-            "totals": pa.array([each[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] + [None], pa.binary()),
+            "totals": pa.array([packed_counts(each[a:b]) for a, b in zip(cuts[:-1], cuts[1:])] + [None], pa.binary()),
             "n": pa.array([None] * rows + [int(total.sum()) if of_words else 0], pa.int64()),
             "types": pa.array([None] * rows + [int((total > 0).sum()) if of_words else 0], pa.int64())})
     return answer
