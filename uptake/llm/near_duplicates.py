@@ -249,15 +249,18 @@ def near_duplicates(
     deviation = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     confirm = _confirm(size, threshold, threshold - 5.2 * deviation)
 
-    def linked(tasks):
+    def linked(tasks, texts):
         return tasks.join(texts, "node").groupBy("centre", "i", "j").applyInArrow(confirm, "a bigint, b bigint")
 
     same = full.join(copies.where("node != last"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = written(linked(tasks).unionByName(same.where("a != b")))
+    links = written(linked(tasks, texts).unionByName(same.where("a != b")))
     label = components(links)
     if not large.isEmpty():
-        more = written(linked(_across_blocks(_looked_up(members, large, "inner"), label)))
-        if not more.isEmpty():
+        tasks = written(_across_blocks(_looked_up(members, large, "inner"), label))
+        # Few documents as a rule: Spark then broadcasts their numbers and does not shuffle all texts again.
+        needed = written(tasks.select("node").distinct())
+        if not needed.isEmpty():
+            more = written(linked(tasks, written(texts.join(needed, "node"))))
             label = components(links.unionByName(more))
     out = sketches.select("doc_id", "n_shingles").join(
         label.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component_id"), "doc_id", "left")
