@@ -73,7 +73,8 @@ def _gather(batches):
         for table in words.batched_rows(pa.Table.from_batches([batch])):
             yield from pa.table({
                 "doc_id": table.column("doc_id"), "domain": table.column("domain"),
-                "features": pa.array([x.tobytes() for x in features(table)], pa.binary())}).to_batches()
+                # Half precision is plenty for shares, and half the bytes for the driver.
+                "features": pa.array([x.tobytes() for x in features(table).astype(np.float16)], pa.binary())}).to_batches()
 
 
 def _judge(model, keep_all):
@@ -101,7 +102,8 @@ def domain_classifier(docs: DataFrame, labelled: DataFrame, domains, most_labell
         _gather, "doc_id bigint, domain string, features binary").toArrow()
     sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "domain", "features")])
     y = np.array([domains.index(d) for d in sample.column("domain").to_pylist()], dtype=np.int64)
-    x = np.frombuffer(b"".join(sample.column("features").to_pylist()), dtype=np.float32).reshape(len(y), FEATURES)
+    x = np.frombuffer(b"".join(sample.column("features").to_pylist()), dtype=np.float16)
+    x = x.reshape(len(y), FEATURES).astype(np.float32)
     return Softmax(len(domains)).fit(x, y) if len(y) else Softmax(len(domains))
 
 
