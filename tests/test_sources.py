@@ -161,6 +161,24 @@ def test_wide_rows_are_not_cut(spark, tmp_path):
     assert values(readers.read_csv(spark, str(tmp_path / "short.csv"))) == [("1", None), ("1", "234")]
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_wide_rows_with_an_empty_first_surplus_cell_are_not_cut(spark, tmp_path, multi_line):
+    path = str(tmp_path / "wide.csv")
+    for row in ("1,2,,c", "1,,,c", ",,,c", "1,2,,,,c,", '"1,x","2",,"c,d"', "1,2,c", '1,"2""",,c'):
+        (tmp_path / "wide.csv").write_text(f"a,b\n1\n1,2\n{row}\n")
+        with pytest.raises(Exception, match="more than 2 cells"):
+            readers.read_csv(spark, path, multi_line=multi_line).select("a").collect()
+        with pytest.raises(Exception, match="more than 2 cells"):
+            readers.read_csv(spark, path, multi_line=multi_line).count()
+        (tmp_path / "wide.csv").write_text("title\n" + "a,b\n" * 9 + f"{row}\n")
+        with pytest.raises(Exception, match="more than 2 cells"):
+            readers.read_grid(spark, path, multi_line=multi_line).select("c0").collect()
+    (tmp_path / "wide.csv").write_text('a,b\n1\n""\n1,2,,\n"x,y",\n"q,r"\n,2\n')
+    found = readers.read_csv(spark, path, multi_line=multi_line)
+    assert values(found) == [("1", None), (None, None), ("1", "2"), ("x,y", None), ("q,r", None), (None, "2")]
+    assert found.count() == 6
+
+
 def test_quoted_cells_read_as_the_csv_module_does(spark, tmp_path):
     import csv
     import random

@@ -16,7 +16,8 @@ MISSING = (
 
 ROW_NO = "row_no"
 HEAD_LINES = 8
-_SURPLUS = "__surplus"
+_RECORD = "__record"
+_MARK = "\x1e"
 _BLOCK = "_metadata.file_block_start"
 _QUOTES = {"quote": '"', "escape": '"'}  # a doubled quote in a quoted cell stands for one
 
@@ -32,10 +33,18 @@ def blank_missing(df: DataFrame) -> DataFrame:
 def _cells(spark: SparkSession, path: str, names, header: bool, multi_line: bool) -> DataFrame:
     """Text cells of a CSV under the given names; a row with a further cell that is not empty
     stops the query, whichever columns it reads."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _SURPLUS]])
-    raw = spark.read.schema(schema).options(header=header, multiLine=multi_line, **_QUOTES).csv(path)
-    message = F.concat(F.lit(f"more than {len(names)} cells in a row of {path}: "), F.col(_SURPLUS))
-    return raw.where(F.when(F.col(_SURPLUS).isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _RECORD]])
+    raw = spark.read.schema(schema).options(
+        header=header, multiLine=multi_line, columnNameOfCorruptRecord=_RECORD, columnPruning=False, **_QUOTES).csv(path)
+    # The parser keeps the record of rows with fewer or more cells. Empty cells at its end do not count; a
+    # mark behind the others is among the first n + 1 cells if there are at most n.
+    record, n = F.col(_RECORD), len(names)
+    marked = F.concat(F.regexp_replace(record, ",+$", ""), F.lit("," + _MARK))
+    cells = F.from_csv(marked, ", ".join(f"c{i} string" for i in range(n + 1)), _QUOTES)
+    short = F.endswith(F.coalesce(*[cells[f"c{i}"] for i in reversed(range(n + 1))]), F.lit(_MARK))
+    # Naming a cell too, since Spark refuses to read records alone.
+    message = F.concat(F.lit(f"more than {n} cells in a row of {path} that begins with "), F.coalesce(f"`{names[0]}`", F.lit("''")), F.lit(": "), record)
+    return raw.where(F.when(record.isNull() | F.coalesce(short, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def read_csv(spark: SparkSession, path: str, missing: bool = True, multi_line: bool = False) -> DataFrame:
@@ -45,7 +54,7 @@ def read_csv(spark: SparkSession, path: str, missing: bool = True, multi_line: b
     quoted cells may hold line breaks; Spark then reads each file in one task.
     """
     names = spark.read.options(header=True, multiLine=multi_line, **_QUOTES).csv(path).columns
-    df = _cells(spark, path, names, True, multi_line).drop(_SURPLUS)
+    df = _cells(spark, path, names, True, multi_line).drop(_RECORD)
     return blank_missing(df) if missing else df
 
 
