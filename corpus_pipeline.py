@@ -36,9 +36,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the rate and the copies that mix the languages to their targets."""
+    """Every document as many times as its copies say, numbered from 1 in the column ``copy``: the rows
+    mix the languages to their targets. Documents with no copies go."""
     labelled = queries.labelled_domains(spark, sf_dir, docs)
-    return mixing.mix_to_targets(docs, labelled, queries.LANGUAGES)
+    mixed = mixing.mix_to_targets(docs.drop("copy"), labelled, queries.LANGUAGES).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
 
 
 STAGES = [

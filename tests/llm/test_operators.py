@@ -358,6 +358,20 @@ def test_pipeline_runs(spark):
     assert 0 < len(rows) < 200 and len({r.doc_id for r in rows}) == len(rows)
 
 
+def test_mixing_stage_rows_have_the_target_shares(spark):
+    """Documents without copies go, others come as often as their copies say."""
+    sf = f"{DATA}/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' OR doc_id % 3 = 0")
+    rows = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf).select("doc_id", "lang", "n_tokens", "copies", "copy", "text").collect()
+    total = sum(r.n_tokens for r in rows)
+    share = {k: sum(r.n_tokens for r in rows if r.lang == k) / total for k in queries.LANGUAGES}
+    assert all(abs(share[k] - w) < 0.04 for k, w in queries.LANGUAGES.items()), share
+    seen = collections.Counter((r.doc_id, r.text) for r in rows)
+    times = collections.Counter((r.doc_id, r.text, r.copy) for r in rows)
+    assert max(seen.values()) > 1 and 0 < len(seen) < docs.count()
+    assert all(1 <= r.copy <= r.copies and seen[r.doc_id, r.text] == r.copies * times[r.doc_id, r.text, 1] for r in rows)
+
+
 def test_sweep_removes_what_was_written(spark):
     import os
 
