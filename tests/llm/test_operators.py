@@ -120,6 +120,40 @@ def test_hot_paths_are_split(spark):
     assert groups[4] == groups[5] and groups[6] == groups[7] and len(set(groups.tolist())) == 6
 
 
+@pytest.mark.parametrize("copied", [False, True])
+def test_hot_anchors_do_not_fill_a_group(spark, monkeypatch, copied):
+    """A phrase of 8 words in most texts, with other words around it or in exact copies."""
+    draw = random.Random(4)
+
+    def rank(phrase):
+        data, offsets = words.text_bytes(pa.chunked_array([pa.array([" ".join(phrase)])]))
+        return int(words.mix(repeats.anchor_keys(words.hash_words(data, *words.find_words(data, offsets)[:2]), 8))[0])
+    # One that most windows around it elect.
+    phrase, lead = min(([f"hot{k}_{i}" for i in range(8)] for k in range(60)), key=rank), [f"lead{i}" for i in range(9)]
+    texts = {}
+    for i in range(900):
+        around = [f"v{draw.randint(1, 10 ** 6)}" for _ in range(30)]
+        w = around[:15] + phrase + around[15:]
+        if copied and i % 3:  # some of the windows around the phrase stand in many texts, often twice in one
+            w = around[:3] + lead + phrase + [f"tail{i % 2}"] * 9 + lead + phrase + [f"tail{i % 2}"] * 9
+        texts[i] = draw.choice([" ", "\n"]).join(w)
+    frame = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string").repartition(4)
+    grow = repeats._grow
+
+    def counting(*how):
+        run = grow(*how)
+
+        def counted(key, table):
+            assert sum(map(len, table.column("docs").to_pylist())) <= 300
+            return run(key, table)
+        return counted
+    monkeypatch.setattr(repeats, "_grow", counting)
+    found = repeats.remove_repeats(frame, 20, 8, group_size=60).collect()
+    expected = brute_repeats(texts, 20)
+    assert len(found) == 901 and all((r.n_words, r.n_removed, r.kept_text) == expected[r.doc_id] for r in found)
+    assert any(n for _, n, _ in expected.values()) == copied
+
+
 # ---- 10: near duplicates ----------------------------------------------------------------------
 
 def brute_components(texts, size, per_cent):

@@ -15,7 +15,11 @@ alike, so it is enough to index the suffixes at elected places, with the few wor
 3. In each group the suffixes are sorted word by word. Runs with a common prefix of d words are the
    tree's internal nodes at depth d; together with the same ordering of the words before the
    anchor, nodes that span ``length`` words are the repeats, and their earliest place is kept.
-4. The chunks turn the answers into spans; overlapping windows join into maximal repeats.
+4. Anchors that alone have more than ``group_size`` suffixes are not sent as suffixes: their windows are
+   told apart. Chunks ask which of these windows occur again, by hash, and send each distinct one that
+   does once, with its earliest place in the chunk; the earliest of all goes back to the chunks. A window
+   costs a row per chunk however often it stands, one that stands once costs a hash.
+5. The chunks turn the answers into spans; overlapping windows join into maximal repeats.
 
 Equal fragments of one chunk travel once with the list of their places, so a group of copies sends
 one entry per chunk. Windows are compared by their words; hashes only choose candidates.
@@ -26,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,8 +79,8 @@ class _Chunk:
         self.table = chunks.ordered(table)
         self.data, offsets = words.text_bytes(self.table.column("text"))
         self.starts, self.ends, self.first = words.find_words(self.data, offsets)
-        h = words.hash_words(self.data, self.starts, self.ends)
-        key = anchor_keys(h, size)
+        self.hashes = words.hash_words(self.data, self.starts, self.ends)
+        key = anchor_keys(self.hashes, size)
         self.windows, self.places = elected(key, self.first, length, size)
         fresh = np.ones(len(self.places), dtype=bool)
         fresh[1:] = self.places[1:] != self.places[:-1]
@@ -84,25 +88,38 @@ class _Chunk:
         self.anchors = self.places[self.opens]
         self.keys = key[self.anchors]
 
-    def asked(self, buckets):
-        """Distinct keys in the order in which they are asked, their bucket, and for each anchor
-        its key's position in that order."""
-        distinct, index, counts = np.unique(self.keys, return_inverse=True, return_counts=True)
-        bucket = (words.mix(distinct) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        return distinct[order], bucket[order], counts[order], rank[index.reshape(-1)]
+    def of(self, hot, length):
+        """Windows that elect one of the ``hot`` anchors: their first words, their anchors' places, their hashes."""
+        owner = np.repeat(np.arange(len(self.opens)), np.diff(np.r_[self.opens, len(self.places)]))
+        pick = np.isin(self.keys, hot)[owner]
+        start = self.windows[pick]
+        value = self.hashes[start]
+        for k in range(1, length):
+            value = words.pair_up(value, self.hashes[start + k])
+        return start, self.places[pick], value
+
+
+def _asked(keys, buckets):
+    """Distinct keys in the order in which they are asked, their bucket and how often they stand, and for
+    each of ``keys`` its position in that order."""
+    distinct, index, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    bucket = (words.mix(distinct) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], bucket[order], counts[order], rank[index.reshape(-1)]
 
 
 def _blob_bounds(bucket):
     return np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
 
 
-def _ask(length, size, buckets):
+def _ask(length, size, buckets, hot=None):
+    """A chunk's questions, about its anchors or about the windows of ``hot`` anchors."""
     def ask(key, table):
-        keys, bucket, counts, _ = _Chunk(table, length, size).asked(buckets)
-        again = np.minimum(counts, 255).astype(np.uint8)
+        part = _Chunk(table, length, size)
+        keys, bucket, counts, _ = _asked(part.keys if hot is None else part.of(hot, length)[2], buckets)
+        again = np.minimum(counts, 65_535).astype(np.uint16)
         cuts = _blob_bounds(bucket)
         spans = list(zip(cuts[:-1], cuts[1:]))
         return pa.table({
@@ -114,29 +131,40 @@ def _ask(length, size, buckets):
     return ask
 
 
-def _answer(key, table):
-    """One bucket: which keys occur more than once, per chunk; and the suffixes left per path."""
+def _known(key, table):
+    """One bucket: (distinct keys, how often they stand), and a table of which occur more than once, per chunk."""
     table = table.sort_by("chunk")
     parts = [np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()]
-    weight = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in table.column("counts").to_pylist()])
+    weight = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table.column("counts").to_pylist()])
     distinct, index = np.unique(np.concatenate(parts), return_inverse=True)
     index = index.reshape(-1)
     total = np.bincount(index, weights=weight, minlength=len(distinct))
     flags = (total >= 2)[index]
     cuts = np.cumsum([0] + [len(p) for p in parts])
-    kept = distinct[total >= 2]
-    path, at = np.unique(kept >> np.uint64(16), return_inverse=True)
-    # What is sent is at most one fragment per anchor of a chunk; equal ones travel together.
-    sent = np.bincount(at.reshape(-1), weights=total[total >= 2], minlength=len(path))
-    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-    rows = table.num_rows
-    return pa.table({
-        "bucket": pa.array([key[0].as_py()] * (rows + 1), pa.int32()),
-        "chunk": pa.concat_arrays([table.column("chunk").combine_chunks().cast(pa.int32()), pa.array([None], pa.int32())]),
-        "bits": pa.array(bits + [None], pa.binary()),
-        "paths": pa.array([None] * rows + [path.astype(np.int64)], pa.list_(pa.int64())),
-        "suffixes": pa.array([None] * rows + [sent.astype(np.int64)], pa.list_(pa.int64())),
-    })
+    return distinct, total, pa.table({
+        "bucket": pa.array([key[0].as_py()] * table.num_rows, pa.int32()),
+        "chunk": table.column("chunk").combine_chunks().cast(pa.int32()),
+        "bits": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+
+def _answer_windows(key, table):
+    return _known(key, table)[2]
+
+
+def _answer(group_size):
+    """One bucket: which keys occur more than once, per chunk; the suffixes left per path; and the keys
+    that alone have more than ``group_size``."""
+    def answer(key, table):
+        distinct, total, out = _known(key, table)
+        kept, total = distinct[total >= 2], total[total >= 2]
+        path, at = np.unique(kept >> np.uint64(16), return_inverse=True)
+        # What is sent is at most one fragment per anchor of a chunk; equal ones travel together.
+        sent = np.bincount(at.reshape(-1), weights=total, minlength=len(path))
+        kinds = {"paths": path, "suffixes": sent, "hot": kept[total > group_size], "often": total[total > group_size]}
+        last = {"bucket": pa.array([key[0].as_py()], pa.int32())} | {
+            name: pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for name, x in kinds.items()}
+        return pa.concat_tables([out, pa.table(last)], promote_options="default")
+    return answer
 
 
 def split_paths(answers: DataFrame, group_size: int, most: int):
@@ -156,6 +184,13 @@ def split_paths(answers: DataFrame, group_size: int, most: int):
     return total, hot
 
 
+def hot_keys(answers: DataFrame, total: int, group_size: int, most: int):
+    """Anchors with more suffixes than a group may hold, which no path can split; at most ``most``."""
+    found = answers.where("paths IS NOT NULL").select(F.explode(F.arrays_zip("hot", "often")).alias("k"))
+    found = found.where(F.col("k.often") > max(group_size, total // most)).select("k.hot").collect()
+    return np.sort(np.array([row[0] for row in found], dtype=np.int64).view(np.uint64))
+
+
 def _group_of(keys, hot, groups):
     """The group of each key: its shortest path that is not split, hashed."""
     path = (keys >> np.uint64(_STEPS[0])) | np.uint64(1 << 60)
@@ -167,16 +202,15 @@ def _group_of(keys, hot, groups):
     return (words.mix(path) % np.uint64(groups)).astype(np.int32)
 
 
-def _send(length, size, buckets, hot, groups):
+def _send(length, size, buckets, hot, groups, apart):
+    """The suffixes of a chunk at anchors that occur again, but for those of the hot anchors ``apart``."""
     span = length - size
 
     def send(key, texts, replies):
         part = _Chunk(texts, length, size)
         out = {"grp": [], "fragment": [], "before": [], "windows": [], "docs": [], "rows": [], "places": []}
         if part.keys.size:
-            _, _, _, rank = part.asked(buckets)
-            bits = _unpacked(part, buckets, replies)
-            anchors = np.flatnonzero(bits[rank])
+            anchors = np.flatnonzero(_unpacked(part.keys, buckets, replies) & ~np.isin(part.keys, apart))
             grp = _group_of(part.keys[anchors], hot, groups)
             doc_ids = pc.fill_null(part.table.column("doc_id"), -(1 << 63)).to_numpy()  # NULL sorts first
             row = np.searchsorted(part.first, part.anchors[anchors], side="right") - 1
@@ -209,16 +243,65 @@ def _send(length, size, buckets, hot, groups):
     return send
 
 
-def _unpacked(part, buckets, replies):
-    """The answers in the order of the questions."""
-    _, bucket, _, _ = part.asked(buckets)
+def _unpacked(keys, buckets, replies):
+    """The answer for each of ``keys``."""
+    if not len(keys):
+        return np.zeros(0, dtype=bool)
+    _, bucket, _, rank = _asked(keys, buckets)
     cuts = _blob_bounds(bucket)
     by = dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()))
     parts = [
         np.unpackbits(np.frombuffer(by[int(bucket[a])], dtype=np.uint8), count=b - a)
         for a, b in zip(cuts[:-1], cuts[1:])
     ]
-    return np.concatenate(parts).astype(bool)
+    return np.concatenate(parts).astype(bool)[rank]
+
+
+class _Windows:
+    """A chunk's windows of hot anchors that occur again: distinct ones, and the place of each."""
+
+    def __init__(self, texts, replies, length, size, buckets, hot):
+        part = _Chunk(texts, length, size)
+        start, anchor, value = part.of(hot, length)
+        again = _unpacked(value, buckets, replies)
+        start, anchor = start[again], anchor[again]
+        raw, seen = part.data.tobytes(), {}
+        low, high = part.starts[start].tolist(), part.ends[start + length - 1].tolist()
+        self.owner = np.array([
+            seen.setdefault(b" ".join(raw[a:b].split()), len(seen)) for a, b in zip(low, high)], dtype=np.int64)
+        self.texts = list(seen)
+        self.row = np.searchsorted(part.first, start, side="right") - 1
+        ids = pc.fill_null(part.table.column("doc_id"), -(1 << 63)).to_numpy()  # NULL sorts first
+        self.doc, self.place = ids[self.row], start - part.first[self.row]
+        self.anchor, self.offset = anchor - part.first[self.row], anchor - start
+
+
+def _earliest(*parts):
+    """Each distinct window of a chunk with its earliest place there."""
+    def earliest(key, texts, replies):
+        found = _Windows(texts, replies, *parts)
+        order = np.lexsort((found.place, found.doc, found.owner))
+        first = order[np.flatnonzero(np.diff(np.r_[-1, found.owner[order]]))]
+        return pa.table({
+            "chunk": pa.array([key[0].as_py()] * len(first), pa.int32()), "at": pa.array(np.arange(len(first)), pa.int32()),
+            "seq": pa.array(found.texts, pa.binary()), "doc": pa.array(found.doc[first], pa.int64()),
+            "place": pa.array(found.place[first], pa.int32())})
+    return earliest
+
+
+def _later(*parts):
+    """The places of a chunk's windows that start after the earliest ones, as ``_grow`` gives them."""
+    def later(key, replies, texts):
+        # The answers about hashes and those about places come as one table.
+        found = _Windows(texts, replies.filter(pc.is_valid(replies.column("bits"))), *parts)
+        first = replies.filter(pc.is_valid(replies.column("at"))).sort_by("at")
+        doc, place = (first.column(c).to_numpy() for c in ("doc", "place"))
+        late = (found.doc != doc[found.owner]) | (found.place != place[found.owner])
+        pick = lambda x: pa.array([x[late].astype(np.int32).tobytes()] if late.any() else [], pa.binary())
+        return pa.table({
+            "chunk": pa.array([key[0].as_py()] * int(late.any()), pa.int32()),
+            "rows": pick(found.row), "places": pick(found.anchor), "windows": pick(1 << found.offset)})
+    return later
 
 
 def tree_nodes(matrix):
@@ -367,16 +450,34 @@ def _found(parts, size, length, anchor, group_size, max_paths) -> DataFrame:
     asked = by_chunk.applyInArrow(
         _ask(length, anchor, buckets), "bucket int, chunk int, keys binary, counts binary")
     answers = chunks.written(asked.groupBy("bucket").applyInArrow(
-        _answer, "bucket int, chunk int, bits binary, paths array<bigint>, suffixes array<bigint>"))
+        _answer(group_size), "bucket int, chunk int, bits binary, paths array<bigint>, suffixes array<bigint>, "
+        "hot array<bigint>, often array<bigint>"))
     total, hot = split_paths(answers, group_size, max_paths)
+    apart = hot_keys(answers, total, group_size, max_paths)
     groups = max(1, -(-2 * total // group_size))
     bits = answers.where("chunk IS NOT NULL").select("bucket", "chunk", "bits")
     sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(
-        _send(length, anchor, buckets, hot, groups),
+        _send(length, anchor, buckets, hot, groups, apart),
         "grp int, chunk int, fragment binary, before int, windows int, docs array<bigint>, "
         "rows array<int>, places array<int>")
-    return sent.groupBy("grp").applyInArrow(
+    found = sent.groupBy("grp").applyInArrow(
         _grow(length, anchor), "chunk int, rows binary, places binary, windows binary")
+    return found.unionByName(_found_apart(parts, length, anchor, buckets, apart)) if len(apart) else found
+
+
+def _found_apart(parts, length, anchor, buckets, apart) -> DataFrame:
+    """The same for the windows of the hot anchors ``apart``."""
+    by_chunk, how = parts.groupBy("chunk"), (length, anchor, buckets, apart)
+    asked = by_chunk.applyInArrow(_ask(*how), "bucket int, chunk int, keys binary, counts binary")
+    # Not written: another job would shuffle the texts again.
+    bits = asked.groupBy("bucket").applyInArrow(_answer_windows, "bucket int, chunk int, bits binary")
+    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(
+        _earliest(*how), "chunk int, at int, seq binary, doc bigint, place int")
+    first = F.min(F.struct("doc", "place")).over(Window.partitionBy("seq"))
+    firsts = sent.select("chunk", "at", first.alias("first")).select("chunk", "at", "first.doc", "first.place")
+    replies = bits.unionByName(firsts, allowMissingColumns=True)
+    return replies.groupBy("chunk").cogroup(by_chunk).applyInArrow(
+        _later(*how), "chunk int, rows binary, places binary, windows binary")
 
 
 def remove_repeats(
@@ -389,8 +490,8 @@ def remove_repeats(
     ``length`` words, keep all their words. A NULL doc_id sorts before all others. Rows with the same doc_id
     count as one document: of equal windows that start at the same place in them, neither is
     earlier. Other columns are ignored; an empty table gives an empty table. ``group_size`` is the
-    number of suffixes that one task indexes at once; ``max_paths`` bounds the list of split paths,
-    the only thing that passes through the driver, and the group size grows beyond it.
+    number of suffixes that one task indexes at once; ``max_paths`` bounds the lists of split paths and
+    of hot anchors, all that passes through the driver, and the group size grows beyond it.
     """
     size = chunks.text_size(docs)
     parts = chunks.in_chunks(docs.select("doc_id", "text"), size)
