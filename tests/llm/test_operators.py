@@ -389,7 +389,8 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "substrings", "decontamination", "mixing"]
     rows = out.collect()
-    assert 0 < len(rows) < 200 and len({r.doc_id for r in rows}) == len(rows)
+    assert 0 < len({r.doc_id for r in rows}) < 200 and len({(r.doc_id, r.copy) for r in rows}) == len(rows)
+    assert all(1 <= r.copy <= r.copies for r in rows)
 
 
 def test_mixing_stage_rows_have_the_target_shares(spark):
