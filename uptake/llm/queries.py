@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
-from uptake.llm import interpolation, leaks, mixing, near_duplicates, quality, repeats, templates, token_counts, topk, url_filters
+from uptake.llm import (
+    centroids, chunks, divergence, interpolation, leaks, mixing, near_duplicates, quality, repeats, templates, token_counts,
+    topk, url_filters, warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -180,3 +186,91 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""")
 def op6_html_extraction(spark, sf):
     """The main text of every page."""
     return templates.main_texts(_table(spark, sf, "pages"))
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+  t AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+  c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+  s AS (SELECT lang, source, sum(n) AS size FROM c GROUP BY lang, source),
+  l AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM k GROUP BY lang),
+  g AS (SELECT lang, source, coalesce(size, 0) AS size, coalesce(v, 0) AS v, coalesce(lang_size, 0) AS lang_size
+        FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) LEFT JOIN l USING (lang)),
+  p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+          1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.size + g.v) AS p,
+          1 + (1000000000::HUGEINT * (k.total + 1)) // (g.lang_size + g.v) AS q
+        FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 200""")
+def op11_divergence(spark, sf):
+    """How far sources diverge from each other and from their language."""
+    return divergence.source_divergence(_table(spark, sf, "documents"), least_texts=3, most=200)
+
+
+@query("""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+  f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM f""")
+def op12_warc(spark, sf):
+    """Every page's record, written to archives and read back."""
+    folder = f"{chunks._own_folder(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf, "pages"), folder, least_bytes=100)
+    records = warc.read_archives(spark, folder, with_payload=False).where("type IN ('response', 'revisit')")
+    page = "try_cast(regexp_extract({}, '^<urn:page:(-?[0-9]*):', 1) AS bigint)"
+    return records.select(
+        F.expr(page.format("record_id")).alias("page_id"), "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.expr(page.format("refers_to")).alias("refers_to"))
+
+
+def _cluster_sql(rounds: int) -> str:
+    """Rounds of assignment and replacement, one after the other."""
+    def nearest(i):
+        return f"""a{i} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM (SELECT v.vec_id, c.cluster, list_sum(list_transform(
+    list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v CROSS JOIN c{i} c)
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, e FROM v
+    ORDER BY sha256('3:' || vec_id) LIMIT 8)"""]
+    for i in range(rounds):
+        parts.append(nearest(i))
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(floored ORDER BY j) AS e FROM (SELECT cluster, j, (s - ((s % n) + n) % n) // n AS floored FROM (
+      SELECT cluster, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(e) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (vec_id))
+      GROUP BY cluster, j)) GROUP BY cluster) m USING (cluster))""")
+    parts.append(nearest(rounds))
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+@query(_cluster_sql(10))
+def op13_centroids(spark, sf):
+    """Every vector's cluster after ten rounds around eight centroids."""
+    rows = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    found = centroids.centroid_clusters(rows, dims=64, count=8, rounds=10, scale=1024, salt="3:")
+    rows = chunks.written(found.rows)
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    digest = F.element_at(F.array(*map(F.lit, digests)), F.col("cluster") + 1) if digests else F.lit("")
+    total = F.sum(F.col("distance").cast("decimal(38,0)"))
+    sums = chunks.written(rows.groupBy("cluster").agg(total.alias("s")))  # a row per centroid
+    per_cluster = F.broadcast(sums.crossJoin(sums.agg(F.sum("s").alias("t"))))
+    return rows.join(per_cluster, "cluster").select(
+        "vec_id", "cluster", "distance", F.expr("try_cast(s AS bigint)").alias("cluster_inertia"),
+        F.expr("try_cast(t AS bigint)").alias("inertia"), digest.alias("centroid_sha256"))
