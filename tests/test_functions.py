@@ -177,3 +177,36 @@ def test_period_axis_round_trip(spark, grain):
     assert found == days
     with pytest.raises(ValueError):
         dates.period_index(F.lit("2000-01-01"), "week")
+
+
+FORMATS = {
+    "%Y-%m-%d": "yyyy-M-d", "%Y-%-m-%-d": "yyyy-M-d", "%m/%d/%Y": "M/d/yyyy", "%-m/%-d/%Y": "M/d/yyyy", "%m-%d-%Y": "M-d-yyyy",
+    "%d-%b-%Y": "d-MMM-yyyy", "%d %b %Y": "d MMM yyyy", "%B %d, %Y": "MMMM d, yyyy", "%b %Y": "MMM yyyy", "%Y/%m/%d": "yyyy/M/d",
+    "%Y%m%d": "yyyyMMdd", "%Y-%m": "yyyy-M", "%b %d, %Y": "MMM d, yyyy", "%d %B %Y": "d MMMM yyyy", "%B %Y": "MMMM yyyy"}
+
+
+@pytest.mark.parametrize("written", FORMATS)
+def test_inferred_dates_equal_those_of_pandas(spark, written):
+    days = pd.date_range("2023-11-20", periods=60, freq="9D")
+    texts = [d.strftime(written) for d in days] + ["no date", ""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    assert dates.infer_formats(frame, F.col("d")) == (FORMATS[written],)
+    found = [r[0] for r in frame.orderBy("i").select(dates.parse_column(frame, "d")).collect()]
+    expected = pd.to_datetime(pd.Series(texts), errors="coerce")
+    assert found == [None if pd.isna(x) else x.date() for x in expected]
+    assert found[-2:] == [None, None] and None not in found[:-2]
+
+
+def test_day_and_month_are_told_by_the_column(spark):
+    def read(*texts):
+        frame = spark.createDataFrame([(t,) for t in texts], "d string")
+        return [str(r[0]) for r in frame.select(dates.parse_column(frame, "d")).collect()]
+    assert read("03/04/2024", "05/06/2024") == ["2024-03-04", "2024-05-06"]  # a tie: the month first, as pandas
+    assert read("03/04/2024", "15/06/2024") == ["2024-04-03", "2024-06-15"]
+    assert read("03/04/2024", "06/15/2024 10:30") == ["2024-03-04", "2024-06-15"]
+    # Several formats: all that occur, but days and months are not exchanged within one of them.
+    assert read("2024-01-05", "03/04/2024", "15/06/2024", "07-08-2024", "Jan 2024") == [
+        "2024-01-05", "2024-04-03", "2024-06-15", "2024-07-08", "2024-01-01"]
+    assert read("x", "", None) == ["None"] * 3
+    frame = spark.createDataFrame([("03/04/2024",)], "d string")
+    assert str(frame.select(dates.parse_column(frame, "d", ("dd/MM/yyyy",))).first()[0]) == "2024-04-03"

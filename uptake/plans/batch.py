@@ -45,7 +45,7 @@ def run(
 
     With a reference table the state values are adjusted to it before they are forecast, by their
     adjusted values. The cleaned tables are written first, below ``parquet/`` and partitioned by
-    year, and so are the scored rows; all CSV outputs derive from what was written. So
+    year, and so are the sums of the raw state table and the scored rows; all CSV outputs derive from what was written. So
     each raw file is read once and the model runs once.
     """
     def kept(frame, name, partition_by=()):
@@ -57,7 +57,8 @@ def run(
     sheet = sheets.promote_header(readers.read_grid(spark, sheet_path))
     labels = tuple(name for name in sheet.columns if name.startswith("Unnamed"))[:2]
     yearly = kept(sheets.bands_to_long(sheet, labels, variant), "wheel_fuel_yearly", ("Year",))
-    monthly = preparation.state_months(readers.read_table(spark, state_path), variant).electric
+    states = kept(preparation.state_sums(readers.read_table(spark, state_path), variant), "state_sums")
+    monthly = preparation.state_months(states, variant).electric
     if reference_path:
         reference = sheets.stacked_header_to_long(readers.read_grid(spark, reference_path), variant)
         monthly, _ = reconcile.adjust_to_reference(monthly, reference)

@@ -44,9 +44,7 @@ def _table_date(df, formats, month_format):
     year, month = find_column(df.columns, ["Year"]), find_column(df.columns, ["Month"])
     date = find_column(df.columns, ["Date"])
     if date:
-        value = df[date]
-        kind = df.schema[date].dataType.typeName()
-        parsed = dates.parse_date(value, formats) if kind == "string" else value.cast("date")
+        parsed = dates.parse_column(df, date, formats)
     else:
         require({"year": year, "month": month}, "monthly table without a date column")
         parsed = dates.parse_year_month(df[year], df[month], month_format)
@@ -54,10 +52,9 @@ def _table_date(df, formats, month_format):
 
 
 def monthly_categories(
-    table: DataFrame, variant: Variant = DEFAULT, date_formats=dates.DATE_FORMATS,
-    month_format: str = "MMM",
+    table: DataFrame, variant: Variant = DEFAULT, date_formats=None, month_format: str = "MMM",
 ) -> Monthly:
-    """Wide monthly table to category and total series.
+    """Wide monthly table to category and total series. The formats of a date column of texts are inferred from it unless given.
 
     The wide columns are summed per date first and unpivoted afterwards, so the shuffle carries one
     narrow row per date and task whatever the number of categories. The total is the total column
@@ -85,28 +82,40 @@ def monthly_categories(
     return Monthly(dates.with_month_parts(by_category), dates.with_month_parts(totals), _unparsed(staged))
 
 
+def _state_columns(df) -> dict[str, str]:
+    roles = {
+        "date": find_column(df.columns, ["date"]),
+        "state": find_column(df.columns, ["state_name", "state"]),
+        "fuel": find_column(df.columns, ["fuel_type", "fuel"]),
+        "registrations": find_column(df.columns, ["registrations", "registration"]),
+    }
+    require(roles, "state monthly table")
+    return roles
+
+
+def state_sums(table: DataFrame, variant: Variant = DEFAULT) -> DataFrame:
+    """A state table summed per raw date, state and fuel text: a calendar's worth of rows that stands for the table in
+    ``state_months`` (all but the count of unparsed rows), so that inferring its date formats does not read the facts again."""
+    df = with_clean_columns(table)
+    roles = _state_columns(df)
+    keys = [F.col(roles[r]).alias(r) for r in ("date", "state", "fuel")]
+    return df.groupBy(*keys).agg(total(_measure(df, roles["registrations"], variant)).alias("registrations"))
+
+
 def state_months(
-    table: DataFrame, variant: Variant = DEFAULT, date_formats=dates.DATE_FORMATS,
+    table: DataFrame, variant: Variant = DEFAULT, date_formats=None,
 ) -> StateMonthly:
-    """State table to cleaned rows, electric months and all-fuel months.
+    """State table to cleaned rows, electric months and all-fuel months. The formats of a date column of
+    texts are inferred from it unless given.
 
     The two aggregates sum per raw label and date first and clean the labels of the few resulting
     rows; the text work does not grow with the facts, and a state holding a third of them leaves
     each task as one row per date.
     """
     df = with_clean_columns(table)
-    columns = df.columns
-    roles = {
-        "date": find_column(columns, ["date"]),
-        "state": find_column(columns, ["state_name", "state"]),
-        "fuel": find_column(columns, ["fuel_type", "fuel"]),
-        "registrations": find_column(columns, ["registrations", "registration"]),
-    }
-    require(roles, "state monthly table")
-    kind = df.schema[roles["date"]].dataType.typeName()
-    date = df[roles["date"]]
+    roles = _state_columns(df)
     dated = df.select(
-        (dates.parse_date(date, date_formats) if kind == "string" else date.cast("date")).alias("Date"),
+        dates.parse_column(df, roles["date"], date_formats).alias("Date"),
         df[roles["state"]].cast("string").alias("State"),
         df[roles["fuel"]].cast("string").alias("Fuel_Type"),
         _measure(df, roles["registrations"], variant).alias("Registrations"),
