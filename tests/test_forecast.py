@@ -73,6 +73,54 @@ def test_model_matches_numpy(spark, n, policy, degree):
     assert metrics[0].Last_Actual_Month == month(n - 1).strftime("%b %Y")
 
 
+def scaled_ridge(y, degree):
+    """As ``ridge``, for any degree: least squares on scaled columns, with a row per penalty."""
+    t = np.arange(len(y), dtype=float)
+    x = np.column_stack([t ** d for d in range(1, degree + 1)])
+    centre, size = x.mean(axis=0), np.abs(x).max(axis=0)
+    a = np.vstack([(x - centre) / size, np.diag(1 / size)])
+    w = np.linalg.lstsq(a, np.concatenate([y - y.mean(), np.zeros(degree)]), rcond=None)[0] / size
+    fitted = y.mean() + (x - centre) @ w
+
+    def at(step):
+        return y.mean() + sum(w[d - 1] * (step ** d - centre[d - 1]) for d in range(1, degree + 1))
+    return at, 1 - ((y - fitted) ** 2).sum() / ((y - y.mean()) ** 2).sum(), np.std(y - fitted)
+
+
+@pytest.mark.parametrize("degree", [3, 4, 5])
+@pytest.mark.parametrize("n", [6, 25, 132])
+def test_any_degree_matches_numpy(spark, n, degree):
+    rng = np.random.default_rng(n + degree)
+    cells = {i: float(np.round(5000 + 40 * i + 900 * np.sin(i / 5) + rng.normal(0, 100))) for i in range(n) if i % 7 != 3 or i == n - 1}
+    y = np.array([cells.get(i, 0.0) for i in range(n)])
+    policy = replace(MEAN, degree=degree)
+    scored = fc.score(frame(spark, {"a": cells, "b": {0: 1.0}, "c": {i: 7.0 for i in range(n)}}), ["State"], end=2030, policy=policy)
+    rows = fc.forecast_rows(scored, ["State"], policy).orderBy("Date").collect()
+    fit = {r.State: r for r in fc.metrics(scored, ["State"], policy).collect()}
+    at, r2, sd = scaled_ridge(y, degree)
+    mine = [r for r in rows if r.State == "a"]
+    assert len(mine) == 156
+    for i, row in enumerate(mine):
+        predicted = max(at(i), 0)
+        assert row.Predicted == pytest.approx(predicted, rel=1e-6, abs=1e-6 * y.max())
+        assert row.CI_Upper - row.Predicted == pytest.approx(1.96 * sd, rel=1e-6, abs=1e-3)
+    assert fit["a"].Model_Fit_Score == pytest.approx(r2, rel=1e-6)
+    assert fit["b"].Forecast_Method == "Fallback Average"
+    assert fit["c"].Model_Fit_Score == 1 and {r.Predicted for r in rows if r.State == "c"} == {7.0}
+
+
+def test_higher_degrees_add_no_shuffle_and_have_a_limit(spark):
+    policy = replace(MEAN, degree=4)
+    rows = fc.forecast_rows(fc.score(frame(spark, {"a": {0: 1.0, 30: 4.0}}), ["State"], end=2022, policy=policy), ["State"], policy)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    with pytest.raises(ValueError, match="degree"):
+        fc.score(rows, ["State"], policy=replace(MEAN, degree=6))
+    # An adaptive degree is a parabola at most.
+    cells = {i: float(i * i % 17 + i) for i in range(40)}
+    one, two = (collect(frame(spark, {"a": cells}), ["State"], replace(GROWTH, degree=d))[0] for d in (2, 5))
+    assert one == two
+
+
 def test_gaps_count_as_zero_and_predictions_stop_at_zero(spark):
     cells = {i: 200.0 - 8 * i for i in range(0, 24, 2)}
     y = np.array([cells.get(i, 0.0) for i in range(23)])
@@ -196,7 +244,7 @@ def test_no_key_is_one_series(spark):
 
 def test_bad_degree(spark):
     with pytest.raises(ValueError):
-        fc.score(frame(spark, {"a": {0: 1.0}}), ["State"], policy=replace(GROWTH, degree=3))
+        fc.score(frame(spark, {"a": {0: 1.0}}), ["State"], policy=replace(GROWTH, degree=0))
 
 
 @pytest.mark.parametrize("fit,months,policy,expected", [

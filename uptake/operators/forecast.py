@@ -4,7 +4,7 @@ A series is first summed per key and period; that shuffle combines on the map si
 shrinks to at most one row per period of the calendar. One further shuffle by key feeds every
 window below. The model needs no dense rows: absent periods add 0 to every sum with the value in
 it, the sums over the time index alone have closed forms, and a row carries the residuals of the
-gap behind it. The dense calendar is generated last, from the gap to the next row, without a join.
+gap behind it. Degrees above 2 use orthogonal polynomials of the time index, see ``_with_polynomial``. The dense calendar is generated last, from the gap to the next row, without a join.
 
 ``score`` returns all rows with all intermediate columns; the other functions select from it.
 """
@@ -42,12 +42,13 @@ def score(
 
     The input may be raw rows: there is no need to sum it per period first.
     """
-    if policy.degree not in (1, 2):
-        raise ValueError("the model is a line or a parabola")
+    if not 1 <= policy.degree < policy.min_periods:
+        raise ValueError("the degree is at least 1 and below the number of periods a model needs")
     keys = list(keys)
     series = _with_span(_observed(df, keys, value, date, policy, grain), keys, policy)
-    modelled = _with_model(_with_moments(series, keys, policy, grain), policy)
-    return _dense(_with_quality(modelled, keys, policy), keys, end, grain)
+    series = _with_moments(series, keys, policy, grain)
+    modelled = _with_polynomial(series, keys, policy) if _degree(policy) > 2 else _with_model(series, policy)
+    return _dense(_with_quality(modelled, keys, policy), keys, end, grain, max(2, _degree(policy)))
 
 
 def _over(keys, *more: str, order: str = "") -> str:
@@ -128,14 +129,12 @@ def _with_model(series, policy):
     The intercept is not penalised, so the features are centred; t itself stays unscaled because
     the penalty depends on its unit. A constant series keeps slopes of exactly 0.
     """
-    quadratic = "true" if policy.degree == 2 else "false"
+    quadratic = "true" if policy.degree >= 2 else "false"
     if policy.adaptive_degree:
         quadratic += f" AND __n >= {policy.quadratic_from}"
     alpha = f"{float(policy.ridge)}D"
-    sums = series.selectExpr(
+    sums = _with_gates(series, policy).selectExpr(
         "*",
-        f"__n >= {policy.min_periods} AND Positive >= {policy.min_positive} AS Modelled",
-        "__low = __high AND (__seen = __n OR __high = 0) AS __constant",
         f"{quadratic} AS __quadratic",
         "__n * (__n - 1) / 2 AS __t1",
         "__n * (__n - 1) * (2 * __n - 1) / 6 AS __t2",
@@ -166,6 +165,80 @@ def _with_model(series, policy):
     )
 
 
+def _degree(policy) -> int:
+    """The highest degree a series may get; an adaptive one is a parabola at most."""
+    return min(policy.degree, 2) if policy.adaptive_degree else policy.degree
+
+
+def _with_gates(series, policy):
+    """Which series are modelled, and which are constant."""
+    return series.selectExpr(
+        "*",
+        f"__n >= {policy.min_periods} AND Positive >= {policy.min_positive} AS Modelled",
+        "__low = __high AND (__seen = __n OR __high = 0) AS __constant",
+    )
+
+
+def _with_polynomial(series, keys, policy):
+    """Ridge coefficients of 1, t, ..., t^k with a free intercept, for any degree k below the number of periods.
+
+    The powers of t are nearly dependent, so their normal equations lose all digits from degree 4 on. Let P0, P1, ... be the
+    polynomials that are orthogonal on t = 0 .. n - 1, with leading coefficient 1: with m = (n - 1) / 2 and
+    b(j) = j^2 (n^2 - j^2) / (4 (4 j^2 - 1)), P(j+1) = (t - m) P(j) - b(j) P(j-1), and the squared norm of P(j) is
+    n b(1) ... b(j). For their coefficients over the norms, v, the ridge reads (I + ridge N'N) v = (moments of the
+    value), where column j of N holds the coefficients of t, t^2, ... in P(j) over its norm. That
+    matrix is close to I and symmetric, so it is eliminated without pivots, as expressions per series.
+
+    Needs one sum of the value per degree and nothing else from the rows; the squared residuals follow from
+    the same sums, since the polynomials are orthonormal.
+    """
+    k, whole = _degree(policy), _over(keys)
+    out = _with_gates(series, policy).selectExpr("*", "(__n - 1) / 2 AS __c", "CAST(Period - Start AS DOUBLE) - (__n - 1) / 2 AS __x")
+    # Series too short for a model may have fewer periods than coefficients; their norms are kept from 0.
+    out = out.selectExpr("*", *[
+        f"CASE WHEN __n > {j} THEN {j * j}D * (__n * __n - {j * j}D) / {4 * (4 * j * j - 1)}D ELSE 1D END AS __beta{j}"
+        for j in range(1, k + 1)])
+    norm, values = "__n", ["1D", "__x"]
+    for j in range(1, k + 1):
+        norm += f" * __beta{j}"
+        out = out.selectExpr("*", f"sqrt({norm}) AS __norm{j}", f"{values[j]} AS __p{j}")
+        values[j] = f"__p{j}"
+        values.append(f"__x * __p{j} - __beta{j} * {values[j - 1]}")
+    out = out.selectExpr("*", *[f"sum(CASE WHEN Period >= Start THEN __p{j} * Value END) {whole} / __norm{j} AS __b{j}" for j in range(1, k + 1)])
+    # Coefficients of t^i in P(j).
+    coefficient = {(0, 0): "1D", (1, 0): "-__c", (1, 1): "1D"}
+    for j in range(2, k + 1):
+        parts = {}
+        for i in range(j + 1):
+            terms = [coefficient.get((j - 1, i - 1)), *(
+                f"{f} * {coefficient[at]}" for f, at in (("-__c", (j - 1, i)), (f"-__beta{j - 1}", (j - 2, i))) if at in coefficient)]
+            parts[i] = " + ".join(f"({term})" for term in terms if term)
+        out = out.selectExpr("*", *[f"{text} AS __p{j}_{i}" for i, text in parts.items()])
+        coefficient |= {(j, i): f"__p{j}_{i}" for i in parts}
+    degrees = range(1, k + 1)
+    out = out.selectExpr("*", *[
+        f"{'1D + ' if j == l else ''}{float(policy.ridge)}D * (" + " + ".join(
+            f"({coefficient[j, i]}) * ({coefficient[l, i]})" for i in range(1, min(j, l) + 1)) + f") / (__norm{j} * __norm{l}) AS __a{j}_{l}"
+        for j in degrees for l in degrees if l >= j])
+    # Elimination: the rows below j lose their column j.
+    for j in degrees:
+        below = range(j + 1, k + 1)
+        out = out.selectExpr("*", *[f"__a{j}_{i} / __a{j}_{j} AS __f{j}_{i}" for i in below])
+        out = out.withColumns({
+            **{f"__a{i}_{l}": F.expr(f"__a{i}_{l} - __f{j}_{i} * __a{j}_{l}") for i in below for l in range(i, k + 1)},
+            **{f"__r{i}": F.expr(f"{'__b' if j == 1 else '__r'}{i} - __f{j}_{i} * {'__b' if j == 1 else '__r'}{j}") for i in below},
+        }) if j < k else out
+    for j in reversed(degrees):
+        right = " ".join([f"{'__b' if j == 1 else '__r'}{j}", *[f"- __a{j}_{l} * __v{l}" for l in range(j + 1, k + 1)]])
+        out = out.selectExpr("*", f"CASE WHEN __constant THEN 0D ELSE ({right}) / __a{j}_{j} END AS __v{j}")
+    out = out.selectExpr("*", "__y / __n AS __mean", f"__tail / least(__n, {float(policy.base_periods)}D) AS __base", *[
+        f"{'__y / __n + ' if i == 0 else ''}" + " + ".join(f"__v{j} / __norm{j} * ({coefficient[j, i]})" for j in degrees if (j, i) in coefficient)
+        + f" AS __w{i}" for i in range(k + 1)])
+    # Squares of the value about its mean, less the model's: v'v - 2 v'b.
+    explained = " + ".join(f"__v{j} * (2 * __b{j} - __v{j})" for j in degrees)
+    return out.selectExpr("*", f"{explained} AS __explained")
+
+
 def _with_quality(series, keys, policy):
     """Fit score and deviation per series, from the residuals themselves.
 
@@ -175,6 +248,29 @@ def _with_quality(series, keys, policy):
     whole = _over(keys)
     tail = f"least(__n, {float(policy.band_periods)}D)"
     in_tail = f"Period >= Start AND Period > Last - {policy.band_periods}"
+    if _degree(policy) > 2:
+        rows = series.withColumn("__band_mean", F.expr(f"__band_sum / {tail}"))
+        unexplained = "greatest(__variation - __explained, 0D)"
+    else:
+        rows, unexplained = _with_squares(series, tail), f"sum(__squares) {whole}"
+    sums = rows.selectExpr(
+        "*",
+        f"""sum(CASE WHEN Period >= Start THEN pow(Value - __mean, 2) END) {whole}
+            + (__n - __seen) * pow(__mean, 2) AS __variation""",
+        f"""sum(CASE WHEN {in_tail} THEN pow(Value - __band_mean, 2) END) {whole}
+            + ({tail} - count_if({in_tail}) {whole}) * pow(__band_mean, 2) AS __band_squares""",
+    ).selectExpr("*", f"{unexplained} AS __unexplained")
+    return sums.selectExpr(
+        "*",
+        f"sqrt(CASE WHEN Modelled THEN __unexplained / __n ELSE __band_squares / {tail} END)"
+        " AS Spread",
+        """CASE WHEN Modelled THEN CASE WHEN __constant THEN 1D
+             ELSE 1 - try_divide(__unexplained, __variation) END END AS Fit""",
+    )
+
+
+def _with_squares(series, tail):
+    """The squared residuals of a row of a parabola and of the gap behind it."""
     # With u counting from the start of a gap of m periods the model is c0 + c1 u + c2 u^2, so the
     # gap's squares have a closed form in m; no array of its periods is built.
     gaps = series.selectExpr(
@@ -188,7 +284,7 @@ def _with_quality(series, keys, policy):
         "__m * (__m - 1) / 2 AS __m1",
         "__m * (__m - 1) * (2 * __m - 1) / 6 AS __m2",
     )
-    rows = gaps.selectExpr(
+    return gaps.selectExpr(
         "*",
         """CASE WHEN Modelled AND Period >= Start THEN
              pow(Value - (__w0 + __w1 * __t + __w2 * __t * __t), 2)
@@ -198,25 +294,15 @@ def _with_quality(series, keys, policy):
            END AS __squares""",
         f"__band_sum / {tail} AS __band_mean",
     )
-    sums = rows.selectExpr(
-        "*",
-        f"sum(__squares) {whole} AS __unexplained",
-        f"""sum(CASE WHEN Period >= Start THEN pow(Value - __mean, 2) END) {whole}
-            + (__n - __seen) * pow(__mean, 2) AS __variation""",
-        f"""sum(CASE WHEN {in_tail} THEN pow(Value - __band_mean, 2) END) {whole}
-            + ({tail} - count_if({in_tail}) {whole}) * pow(__band_mean, 2) AS __band_squares""",
-    )
-    return sums.selectExpr(
-        "*",
-        f"sqrt(CASE WHEN Modelled THEN __unexplained / __n ELSE __band_squares / {tail} END)"
-        " AS Spread",
-        """CASE WHEN Modelled THEN CASE WHEN __constant THEN 1D
-             ELSE 1 - try_divide(__unexplained, __variation) END END AS Fit""",
-    )
 
 
-def _dense(series, keys, end, grain):
+def _dense(series, keys, end, grain, degree):
     """Every period from the start to the end date: observed, gap (value 0) or future (no value)."""
+    curve = f"__w{degree}"
+    for i in reversed(range(degree)):
+        curve = f"__w{i} + CAST(__at - Start AS DOUBLE) * ({curve})"
+    if degree == 2:
+        curve = "__w0 + __w1 * (__at - Start) + __w2 * CAST(__at - Start AS DOUBLE) * (__at - Start)"
     names = [f"`{key}`" for key in keys]
     until = (
         "CASE WHEN Period < Start THEN Period"
@@ -226,8 +312,7 @@ def _dense(series, keys, end, grain):
         *names, "__at AS Period", "__at - Start AS Step", "__at = Period AS Observed",
         "Start", "Last", "Positive", "Modelled", "Value", "Spread", "Fit",
         "CASE WHEN __at = Period THEN Value WHEN __at <= Last THEN 0D END AS Actual",
-        """CASE WHEN Modelled THEN __w0 + __w1 * (__at - Start)
-                                  + __w2 * CAST(__at - Start AS DOUBLE) * (__at - Start)
+        f"""CASE WHEN Modelled THEN {curve}
                 ELSE __base * pow(1 + __growth, __at - Last) END AS __curve""",
     )
     return dense.selectExpr(

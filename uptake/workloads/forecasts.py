@@ -49,6 +49,15 @@ def _sql(
     high = "r2 IS NULL OR r2 >= 0.5" if policy.high_without_fit else "r2 IS NOT NULL AND r2 >= 0.5"
     name = {"growth": "Growth Fallback", "mean": "Fallback Average"}[policy.fallback]
     modelled = f"n >= {policy.min_periods} AND pos >= {policy.min_positive}"
+    cubic = policy.degree == 3 and not policy.adaptive_degree
+    curve = "c.w0 + c.w1 * t + c.w2 * t * t" + (" + c.w3 * t * t * t" if cubic else "")
+    constant = "(sy - w1 * t1 - w2 * t2" + (" - w3 * t3" if cubic else "") + ") / n"
+    slopes = _cubic_slopes(k, policy.ridge) if cubic else f"""
+  slopes AS (SELECT *,
+       CASE WHEN lo = hi THEN 0 WHEN {quadratic}
+            THEN (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) ELSE b1 / a11 END AS w1,
+       CASE WHEN lo = hi OR NOT ({quadratic}) THEN 0
+            ELSE (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) END AS w2 FROM mats),"""
     return f"""{source},
   obs AS (SELECT {k}, CAST({period} AS BIGINT) AS p,
                  CAST(sum({measure}) AS DOUBLE) AS y FROM {table} GROUP BY ALL {keep}),
@@ -71,16 +80,11 @@ def _sql(
            FROM dense WHERE y IS NOT NULL GROUP BY {k}),
   mats AS (SELECT *, t2 - t1 * t1 / n + {policy.ridge} AS a11, t3 - t1 * t2 / n AS a12,
                   t4 - t2 * t2 / n + {policy.ridge} AS a22, ty - t1 * sy / n AS b1,
-                  tty - t2 * sy / n AS b2, {modelled} AS modelled FROM sums),
-  slopes AS (SELECT *,
-       CASE WHEN lo = hi THEN 0 WHEN {quadratic}
-            THEN (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) ELSE b1 / a11 END AS w1,
-       CASE WHEN lo = hi OR NOT ({quadratic}) THEN 0
-            ELSE (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) END AS w2 FROM mats),
-  coef AS (SELECT *, (sy - w1 * t1 - w2 * t2) / n AS w0, {growth} AS g
+                  tty - t2 * sy / n AS b2, {modelled} AS modelled FROM sums),{slopes}
+  coef AS (SELECT *, {constant} AS w0, {growth} AS g
            FROM slopes LEFT JOIN ends USING ({k})),
   fitted AS (SELECT dense.*, c.modelled, c.base, c.g, c.tail_std, c.mean, c.lo, c.hi,
-                    c.w0 + c.w1 * t + c.w2 * t * t AS f
+                    {curve} AS f
              FROM dense JOIN coef c USING ({k})),
   quality AS (SELECT {k}, bool_or(modelled) AS modelled, max(l) AS l,
        max(positive_rows) AS positive_rows,
@@ -104,6 +108,30 @@ def _sql(
      FROM quality)"""
 
 
+def _cubic_slopes(k: str, ridge: float) -> str:
+    """CTE ``slopes`` of cubics: the powers are made orthogonal on the dense rows one after the other."""
+    over = f"OVER (PARTITION BY {k})"
+    return f"""
+  o1 AS (SELECT {k}, y, t - avg(t) {over} AS u1, t * t - avg(t * t) {over} AS x2, t * t * t - avg(t * t * t) {over} AS x3
+         FROM dense WHERE y IS NOT NULL),
+  o2 AS (SELECT *, sum(x2 * u1) {over} / sum(u1 * u1) {over} AS r12, sum(x3 * u1) {over} / sum(u1 * u1) {over} AS r13 FROM o1),
+  o3 AS (SELECT *, x2 - r12 * u1 AS u2 FROM o2),
+  o4 AS (SELECT *, sum(x3 * u2) {over} / sum(u2 * u2) {over} AS r23 FROM o3),
+  o5 AS (SELECT *, x3 - r13 * u1 - r23 * u2 AS u3, r12 * r23 - r13 AS e FROM o4),
+  e1 AS (SELECT {k}, max(r12) AS r12, max(r23) AS r23, max(e) AS e, sum(u1 * y) AS c1, sum(u2 * y) AS c2, sum(u3 * y) AS c3,
+                sum(u1 * u1) + {ridge} AS a11, -{ridge} * max(r12) AS a12, {ridge} * max(e) AS a13,
+                sum(u2 * u2) + {ridge} * (max(r12) * max(r12) + 1) AS a22, {ridge} * (-max(r12) * max(e) - max(r23)) AS a23,
+                sum(u3 * u3) + {ridge} * (max(e) * max(e) + max(r23) * max(r23) + 1) AS a33 FROM o5 GROUP BY {k}),
+  e2 AS (SELECT *, a22 - a12 * a12 / a11 AS b22, a23 - a12 * a13 / a11 AS b23, a33 - a13 * a13 / a11 AS b33,
+                c2 - a12 * c1 / a11 AS d2, c3 - a13 * c1 / a11 AS d3 FROM e1),
+  e3 AS (SELECT *, (d3 - b23 * d2 / b22) / (b33 - b23 * b23 / b22) AS z3 FROM e2),
+  e4 AS (SELECT *, (d2 - b23 * z3) / b22 AS z2 FROM e3),
+  e5 AS (SELECT *, (c1 - a12 * z2 - a13 * z3) / a11 AS z1 FROM e4),
+  slopes AS (SELECT mats.*, CASE WHEN lo = hi THEN 0 ELSE z1 - r12 * z2 + e * z3 END AS w1,
+       CASE WHEN lo = hi THEN 0 ELSE z2 - r23 * z3 END AS w2, CASE WHEN lo = hi THEN 0 ELSE z3 END AS w3
+     FROM mats JOIN (SELECT {k}, r12, r23, e, z1, z2, z3 FROM e5) USING ({k})),"""
+
+
 def _rows(df, keys, policy=GROWTH, end=HORIZON, grain="month", value=EV):
     scored = fc.score(df, keys, value, "Date", end, policy, grain)
     return rounded(fc.forecast_rows(scored, keys, policy, grain))
@@ -149,6 +177,21 @@ def forecast_state_untrimmed(spark, sf):
     return _rows(facts.ev_rows(spark, sf), ["State"], MEAN)
 
 
+CUBIC = replace(MEAN, degree=3)
+
+
+@query(f"WITH {_sql(STATE_EV, 'state_ev', ('State',), CUBIC)} SELECT * FROM fc")
+def forecast_state_cubic(spark, sf):
+    """Cubics instead of parabolas."""
+    return _rows(facts.ev_rows(spark, sf), ["State"], CUBIC)
+
+
+@query(f"WITH {_sql(STATE_EV, 'state_ev', ('State',), CUBIC)} SELECT * FROM met")
+def forecast_metrics_cubic(spark, sf):
+    scores = _state_scores(spark, sf, CUBIC)
+    return rounded(fc.metrics(scores, ["State"], CUBIC))
+
+
 _SIGNED = f"""{STATE_EV}, signed AS (
   SELECT State, Date, EV_Registrations - 2 AS EV_Registrations FROM state_ev)"""
 
