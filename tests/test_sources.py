@@ -142,6 +142,21 @@ def test_row_numbers_do_not_depend_on_splits(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("split", ["128m", "2048"])
+def test_a_written_grid_keeps_its_row_numbers(spark, tmp_path, split):
+    grid = spark.range(4000).selectExpr("id * 7 % 4000 AS row_no", "concat('r', id * 7 % 4000) AS c0", "IF(id % 9 = 0, NULL, 'a, \"b\"') AS c1")
+    path = str(tmp_path / "grid")
+    sinks.write_grid(grid, path, readers.ROW_NO)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = readers.read_grid(spark, path)
+        assert sorted(values(found, "row_no", "c0", "c1")) == sorted(values(grid, "row_no", "c0", "c1"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_wide_rows_are_not_cut(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text("".join(f"a{i},b,c\n" for i in range(9)) + "wide,1,2,3,4\n")
@@ -150,10 +165,10 @@ def test_wide_rows_are_not_cut(spark, tmp_path):
     grid = readers.read_grid(spark, str(path), width=5)
     assert values(grid.where("row_no = 9")) == [("wide", "1", "2", "3", "4", 9)]
     (tmp_path / "more").mkdir()
-    for name in ("a", "b"):
-        (tmp_path / "more" / name).write_text("x,y\n")
-    with pytest.raises(ValueError, match="one file"):
-        readers.read_grid(spark, str(tmp_path / "more"))
+    for name in ("b", "a", "c"):
+        (tmp_path / "more" / name).write_text("" if name == "b" else f"{name},1\n{name},2\n")
+    several = readers.read_grid(spark, str(tmp_path / "more"))
+    assert sorted(values(several, "row_no", "c0", "c1")) == [(0, "a", "1"), (1, "a", "2"), (2, "c", "1"), (3, "c", "2")]
     (tmp_path / "short.csv").write_text("a,b\n1\n1,234,5\n")
     with pytest.raises(Exception, match="more than 2 cells"):
         readers.read_csv(spark, str(tmp_path / "short.csv")).select("a").collect()

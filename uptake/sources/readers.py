@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ ROW_NO = "row_no"
 HEAD_LINES = 8
 _RECORD = "__record"
 _MARK = "\x1e"
-_BLOCK = "_metadata.file_block_start"
+_FILE, _BLOCK = "_metadata.file_path", "_metadata.file_block_start"
 _QUOTES = {"quote": '"', "escape": '"'}  # a doubled quote in a quoted cell stands for one
 
 
@@ -71,29 +71,34 @@ def read_table(spark: SparkSession, source) -> DataFrame:
 
 
 def read_grid(spark: SparkSession, path: str, width: int | None = None, multi_line: bool = False) -> DataFrame:
-    """One headerless CSV file as text cells ``c0, c1, ...`` plus ``row_no``, counted from 0.
+    """Headerless CSV text as cells ``c0, c1, ...`` plus ``row_no``, counted from 0 over all files in the order of their names.
 
     The widest of the first lines gives the number of cells, since a title line may be short;
-    ``width`` sets it for files with wider rows further down, which otherwise stop the query. The
-    rows of each split are counted once, in a job of its own, so that row numbers do not depend on
-    how the file is split; one pair of numbers per split is kept. Sheets exported with their header
+    ``width`` sets it for files with wider rows further down, which otherwise stop the query. A row's number is its
+    place in its split plus the rows of all splits before; the latter is a table of one row per split, which is joined. So
+    row numbers do not depend on how files are split. Sheets exported with their header
     row keep it as row 0. ``multi_line`` is as in ``read_csv``.
     """
     if width is None:
-        lines = spark.read.text(path).limit(HEAD_LINES).collect()
-        width = max((len(cells) for cells in csv.reader([line.value + "\n" for line in lines])), default=1)
+        lines = _first_lines(spark, path)
+        width = max((len(cells) for cells in csv.reader([line + "\n" for line in lines])), default=1)
     cells = [f"c{i}" for i in range(width)]
     raw = _cells(spark, path, cells, False, multi_line)
-    if len(raw.inputFiles()) > 1:
-        raise ValueError(f"{path} holds several files; a grid is one file")
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = raw.select(*cells, within.alias("__within"), F.col(_BLOCK).alias("__block"))
-    # A task may read several splits of the file one after the other.
-    splits = numbered.groupBy("__block").agg(F.min("__within").alias("low"), F.count("*").alias("n")).orderBy("__block").collect()
-    offsets, total = {}, 0
-    for split in splits:
-        offsets[split["__block"]] = total - split["low"]
-        total += split["n"]
-    shift = F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair]) if offsets else None
-    number = F.col("__within") + F.element_at(shift, F.col("__block")) if offsets else F.lit(0).cast("long")
-    return blank_missing(numbered.select(*cells, number.alias(ROW_NO)))
+    numbered = raw.select(*cells, within.alias("__within"), F.col(_FILE).alias("__file"), F.col(_BLOCK).alias("__block"))
+    # A task may read several splits one after the other.
+    splits = numbered.groupBy("__file", "__block").agg(F.min("__within").alias("__low"), F.count("*").alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low"))
+    # One row per split, less than a millionth of the text.
+    placed = numbered.join(F.broadcast(splits.select("__file", "__block", "__shift")), ["__file", "__block"])
+    return blank_missing(placed.select(*cells, (F.col("__within") + F.col("__shift")).alias(ROW_NO)))
+
+
+def _first_lines(spark: SparkSession, path: str) -> list[str]:
+    """The first lines of the first file that has any, in the order of names."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        lines = [row.value for row in spark.read.text(file).limit(HEAD_LINES).collect()]
+        if lines:
+            return lines
+    return []

@@ -28,6 +28,13 @@ def write_csv(df: DataFrame, path: str, partition_by=()) -> None:
     _arranged(df, partition_by).mode("overwrite").options(header=True, escape='"').csv(path)
 
 
+def write_grid(df: DataFrame, path: str, row_no: str) -> None:
+    """Headerless CSV of the other columns, in the order of ``row_no`` over the files in the order of their names:
+    what ``readers.read_grid`` reads."""
+    rows = df.orderBy(row_no).drop(row_no)
+    rows.write.mode("overwrite").options(header=False, escape='"').csv(path)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by=()) -> None:
     _arranged(df, partition_by).mode("overwrite").parquet(path)
 

@@ -402,7 +402,7 @@ def sheet_bands_raw_labels(spark, sf):
     return sheets.bands_to_long(_sheet(spark, sf), ("a", "b"), BATCH)
 
 
-def _stacked_grid(spark, sf):
+def stacked_grid(spark, sf):
     """A reference table with a fuel row above the year row, one block of years per fuel.
 
     Only years 20xx count in such a table, so each year is written ten years later.
@@ -439,4 +439,4 @@ SELECT 'Nation' || State[7:] AS State, CAST(y.Year + 10 AS INTEGER) AS Year,
        coalesce(v, 0) AS Reference_EV_Registrations
 FROM (SELECT * FROM states, {_SHEET_YEARS}) y LEFT JOIN sums s USING (State, Year)""")
 def two_row_header_long(spark, sf):
-    return sheets.stacked_header_to_long(_stacked_grid(spark, sf))
+    return sheets.stacked_header_to_long(stacked_grid(spark, sf))
