@@ -7,16 +7,16 @@ least ``threshold`` are linked; a component is what links reach.
 1. One pass sketches every text: a 128-bit digest of its set, minima of ``bands * rows`` hash
    functions, of which only the low four bits are kept and packed, and one key per band.
 2. Equal sets are one node from here on, so a group of exact copies costs one row.
-3. All nodes with a band key in common share the smallest of them as a centre. Grouping by centre
-   finds every candidate pair once instead of once per band, and needs no list of pairs.
-4. Members of a centre meet in blocks of bounded size, and the centre in each of them. Bit counts
-   of the packed signatures, corrected for chance collisions, rule out dissimilar pairs; the
-   others are confirmed on whole sets, most similar first, unless links already connect them. A
-   task emits the links of a spanning forest, not all pairs.
-5. Components of those links and of the copies are classes, but for links between two blocks of a
-   very large group. As a rule all its blocks are one component by then. Where they are not, the
-   members outside of the group's largest component, in blocks again, meet all others; those
-   inside need not meet each other. So a large group costs its size, not its square.
+3. Nodes with a band key in common share the smallest of them as a centre. Members of a centre compare
+   packed signatures; bit counts, corrected for chance collisions, rule out dissimilar pairs. The nodes that
+   the others connect are a candidate group. The first bands find nearly all groups; of the other bands only
+   keys whose nodes are in different groups are looked at.
+4. Every node is in one candidate group at most, so its text is shuffled once. Sets of a group are compared
+   exactly, by postings of their shingles, as long as they are not connected. A task emits the links of a
+   spanning forest, not all pairs.
+5. Groups beyond a block's size are dealt to blocks, which hold the group's centre too. As a rule all of it is one
+   component then. Where it is not, the members outside of the largest component, in blocks again, meet
+   all others; those inside need not meet each other. Components of all links are classes.
 
 With 32 bands of 4 rows a pair at 0.8 has no band in common once in 2 * 10^7 pairs, and the bit
 count of a linked pair falls below the bound once in 10^6.
@@ -38,9 +38,10 @@ from uptake.llm.components import components
 BITS = 4
 _LOW = np.uint64(0x1111111111111111)
 _SALT = np.uint64(0x5851F42D4C957F2D)
-_BLOCK_ROWS = 512
-_BLOCK_BYTES = 32 << 20
+_BLOCK_ROWS = 8192
+_BLOCK_BYTES = 16 << 20
 _SALTS = 64
+_FIRST_BANDS = 8
 
 
 def shingle_sets(table: pa.Table, size: int):
@@ -128,54 +129,72 @@ def _sketch(size, bands, rows):
     return sketch
 
 
-def _confirm(size, threshold, least):
-    """Links between the rows of a task: between all, or where ``side`` is given between its two
-    sides. Rows of equal ``label`` are connected already."""
-    def confirm(key, table):
-        table = table.sort_by([("node", "ascending"), ("side", "ascending")])
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-        side = table.column("side").to_numpy(zero_copy_only=False)
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64)
-        signature = signature.reshape(len(node), -1)
+def _forest(node, label, side, similar):
+    """Links of a spanning forest between rows that are ``similar`` and not of equal ``label``, which are
+    connected already. With ``side`` only between rows of side 0 and of side 1. ``similar(x)`` says of
+    every row whether it is similar to row x."""
+    root = np.unique(label, return_inverse=True)[1].reshape(-1)
+    left, right = [], []
+    for x in range(len(node)) if side is None else np.flatnonzero(side == 0):
+        other = root != root[x]
+        if side is None:
+            other[:x] = False  # compared before, from the other end
+        else:
+            other &= side == 1
+        if not other.any():
+            continue
+        found = np.flatnonzero(other & similar(x))
+        if len(found):
+            found = found[np.unique(root[found], return_index=True)[1]]
+            left.append(np.full(len(found), node[x]))
+            right.append(node[found])
+            root[np.isin(root, root[found])] = root[x]
+    left, right = (np.concatenate(e) if e else np.zeros(0, dtype=np.int64) for e in (left, right))
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _columns(table):
+    table = table.sort_by([("node", "ascending"), ("side", "ascending")])
+    side = table.column("side").to_numpy(zero_copy_only=False)
+    whole = len(side) == 0 or table.column("side").null_count == len(side)
+    return table, table.column("node").to_numpy(), table.column("label").to_numpy(), None if whole else side
+
+
+def _alike(threshold, least):
+    """Links between rows whose signatures may be those of similar sets."""
+    def alike(key, table):
+        table, node, label, side = _columns(table)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        count = table.column("n_shingles").to_numpy()
+
+        def similar(x):
+            fit = np.minimum(count, count[x]) >= threshold * np.maximum(count, count[x]) - 1e-9
+            at = np.flatnonzero(fit)
+            fit[at] = estimated(signature[x], signature[at]) >= least
+            return fit
+        return _forest(node, label, side, similar)
+    return alike
+
+
+def _confirmed(size, threshold):
+    """Links between rows whose sets are similar. Rows that share a node are one document."""
+    def confirmed(key, table):
+        table, node, label, side = _columns(table)
         values, first = shingle_sets(table, size)
         count = np.diff(first)
-        left, right, score = [], [], []
-        for x in range(len(node) - 1):
-            near = estimated(signature[x], signature[x + 1:])
-            fit = (near >= least) & (label[x + 1:] != label[x])
-            smaller, larger = np.minimum(count[x], count[x + 1:]), np.maximum(count[x], count[x + 1:])
-            fit &= smaller >= threshold * larger - 1e-9
-            if side[x] is not None:
-                fit &= side[x + 1:] != side[x]
-            hit = np.flatnonzero(fit)
-            left.append(np.full(len(hit), x))
-            right.append(hit + x + 1)
-            score.append(near[hit])
-        a, b = [], []
-        if left:
-            left, right, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-            _, root = np.unique(label, return_inverse=True)
-            root = root.reshape(-1).tolist()  # of each row its label's number, of which the parents are kept
-            parent = list(range(max(root) + 1))
-
-            def top(i):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-            for i in np.argsort(-score, kind="stable").tolist():
-                x, y = int(left[i]), int(right[i])
-                rx, ry = top(root[x]), top(root[y])
-                if rx == ry:
-                    continue
-                one, two = values[first[x]:first[x + 1]], values[first[y]:first[y + 1]]
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * shared >= round(100 * threshold) * (len(one) + len(two) - shared):
-                    parent[rx] = ry
-                    a.append(int(node[x]))
-                    b.append(int(node[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-    return confirm
+        shingle = np.unique(values, return_inverse=True)[1].reshape(-1)
+        order = np.argsort(shingle, kind="stable")
+        owner = np.repeat(np.arange(len(node)), count)[order]
+        begin = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
+
+        def similar(x):
+            mine = shingle[first[x]:first[x + 1]]
+            length = begin[mine + 1] - begin[mine]
+            at = np.arange(length.sum()) + np.repeat(begin[mine] - np.cumsum(length) + length, length)
+            shared = np.bincount(owner[at], minlength=len(node))
+            return (shared > 0) & (100 * shared >= round(100 * threshold) * (count + count[x] - shared))
+        return _forest(node, label, side, similar)
+    return confirmed
 
 
 def _looked_up(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -198,21 +217,42 @@ def _across_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of tasks (centre, i, j) in which members outside of their group's largest component
     meet all its members. ``members`` are those of groups with several blocks."""
     known = members.join(labels.withColumnRenamed("label", "known"), "node", "left")
-    known = known.withColumn("label", F.coalesce("known", "node")).drop("known")
+    known = known.withColumn("label", F.coalesce("known", "label")).drop("known")
     sizes = known.groupBy("centre", "label").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("centre").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
     groups = groups.where("outside > 0").withColumn("parts", F.ceil(F.col("outside") / _BLOCK_ROWS).cast("int"))
     known = _looked_up(known, groups.select("centre", "main", "parts"), "inner")
     outside = known.where("label != main").select(
-        "centre", _part("parts").alias("i"), F.explode(_all("blocks")).alias("j"), "node", "label", "signature",
-        F.lit(0).alias("side"))
+        "centre", _part("parts").alias("i"), F.explode(_all("blocks")).alias("j"), "node", "label", F.lit(0).alias("side"))
     everyone = known.select(
-        "centre", F.explode(_all("parts")).alias("i"), _part("blocks").alias("j"), "node", "label", "signature",
-        F.lit(1).alias("side"))
+        "centre", F.explode(_all("parts")).alias("i"), _part("blocks").alias("j"), "node", "label", F.lit(1).alias("side"))
     return outside.unionByName(everyone)
 
 
+def _links(members: DataFrame, load, compare) -> DataFrame:
+    """Links among the ``members`` (centre, node, label, n_bytes) of every centre. ``load`` adds to rows (..., node)
+    what ``compare`` needs of the nodes."""
+    sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / _BLOCK_ROWS, F.col("n_bytes") / _BLOCK_BYTES)).cast("int")
+    large = written(sizes.select("centre", blocks.alias("blocks")).where("blocks > 1"))
+    tasks = _looked_up(members, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    places = F.when(F.col("node") == F.col("centre"), _all("blocks")).otherwise(F.array(_part("blocks")))
+    tasks = tasks.select("centre", F.explode(places).alias("i"), F.lit(0).alias("j"), "node", "label", F.lit(None).cast("int").alias("side"))
+
+    def linked(tasks):
+        return written(load(tasks).groupBy("centre", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
+
+    links = linked(tasks)
+    if large.isEmpty():
+        return links
+    there = _looked_up(members, large, "inner")
+    inside = links.join(there.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
+    known = inside.unionByName(there.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    more = written(_across_blocks(there, components(known)))
+    return links if more.isEmpty() else links.unionByName(linked(more))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 4,
 ) -> DataFrame:
@@ -221,8 +261,8 @@ def near_duplicates(
 
     NULL and empty texts have an empty set, link with nothing and are their own component. A row
     without doc_id takes no part: component_id NULL, kept true. Rows that share a doc_id count as
-    one document, linked to whatever any of them is linked to. ``threshold`` counts in whole per
-    cent. Other columns are ignored; an empty table gives an empty table.
+    one document, linked to whatever any of them is linked to; rows that share text too are compared once. ``threshold``
+    counts in whole per cent. Other columns are ignored; an empty table gives an empty table.
     """
     sketches = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _sketch(size, bands, rows),
@@ -230,38 +270,41 @@ def near_duplicates(
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Written, so that Spark sees its size and can split a digest that very many rows share.
     copies = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")))
-    first = copies.select(F.col("node").alias("doc_id"), "d1", "d2")
-    nodes = written(full.join(first, ["doc_id", "d1", "d2"]).select(
-        F.col("doc_id").alias("node"), "n_bytes", "signature", "keys"))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last")
-    members = written(keyed.join(centres.select("key", "centre"), "key").select("centre", "node").distinct())
-    members = members.join(nodes.select("node", "n_bytes", "signature"), "node")
-    sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / _BLOCK_ROWS, F.col("n_bytes") / _BLOCK_BYTES)).cast("int")
-    large = written(sizes.select("centre", blocks.alias("blocks")).where("blocks > 1"))
-    tasks = _looked_up(members, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    places = F.when(F.col("node") == F.col("centre"), _all("blocks")).otherwise(F.array(_part("blocks")))
-    tasks = tasks.select(
-        "centre", F.explode(places).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"),
-        "signature", F.lit(None).cast("int").alias("side"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    deviation = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    confirm = _confirm(size, threshold, threshold - 5.2 * deviation)
-
-    def linked(tasks, texts):
-        return tasks.join(texts, "node").groupBy("centre", "i", "j").applyInArrow(confirm, "a bigint, b bigint")
-
+    own = full.join(copies.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"])
+    # One row per set; the set's other rows with this doc_id are equal to it.
+    one = [F.first(c).alias(c) for c in ("n_shingles", "n_bytes", "signature", "keys")]
+    nodes = written(own.groupBy(F.col("doc_id").alias("node"), "d1", "d2").agg(*one, F.count("*").alias("times")))
     same = full.join(copies.where("node != last"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = written(linked(tasks, texts).unionByName(same.where("a != b")))
-    label = components(links)
-    if not large.isEmpty():
-        tasks = written(_across_blocks(_looked_up(members, large, "inner"), label))
-        # Few documents as a rule: Spark then broadcasts their numbers and does not shuffle all texts again.
-        needed = written(tasks.select("node").distinct())
-        if not needed.isEmpty():
-            more = written(linked(tasks, written(texts.join(needed, "node"))))
-            label = components(links.unionByName(more))
+
+    deviation = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    alike = _alike(threshold, threshold - 5.2 * deviation)
+    signatures = nodes.select("node", "n_shingles", "signature")
+
+    def candidates(keyed):
+        """Links by signatures between nodes of one key but of different labels; ``keyed`` has node, label and key."""
+        centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.min("label").alias("low"), F.max("label").alias("high"))
+        centres = centres.where("low != high").select("key", "centre")
+        members = written(keyed.join(centres, "key").select("centre", "node", "label").distinct())
+        return _links(members.withColumn("n_bytes", F.lit(0)), lambda t: t.join(signatures, "node"), alike)
+
+    keyed = nodes.select("node", F.col("node").alias("label"), F.explode(F.slice("keys", 1, _FIRST_BANDS)).alias("key"))
+    near = candidates(keyed)
+    if bands > _FIRST_BANDS:
+        keyed = nodes.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        keyed = keyed.select("node", "label", F.explode(F.slice("keys", _FIRST_BANDS + 1, bands)).alias("key"))
+        near = near.unionByName(candidates(keyed))
+
+    groups = components(near).withColumnRenamed("label", "centre")
+    sizes = nodes.groupBy("node").agg(F.sum("n_bytes").alias("n_bytes"))
+    members = written(groups.join(sizes, "node").withColumn("label", F.col("node")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    repeated = written(nodes.where("times > 1").select("node").distinct())
+    if not repeated.isEmpty():
+        # Rows that repeat both id and text: one of each is enough.
+        again = texts.join(repeated, "node", "left_semi").dropDuplicates(["node", "text"])
+        texts = texts.join(repeated, "node", "left_anti").unionByName(again)
+    links = _links(members, lambda t: t.join(texts, "node"), _confirmed(size, threshold))
+    label = components(links.unionByName(same.where("a != b")))
     out = sketches.select("doc_id", "n_shingles").join(
         label.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
