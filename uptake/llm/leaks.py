@@ -3,15 +3,18 @@
 Words are runs of letters, digits and bytes above 0x7F, A-Z lower-cased, so punctuation and line
 breaks do not matter. The test items come in blocks of bounded size; for each block
 
-1. one pass counts how often each n-gram of the items occurs in all texts;
-2. an item's seeds are its rare n-grams: those that occur, at most ``COMMON`` times as often as its
+1. one pass counts how often each word, pair and triple of the items occurs in all texts;
+2. an item's seeds are its rare triples: those that occur, at most ``COMMON`` times as often as its
    median one. A leak repeated many times raises the median alike, so it stays found. Of any
-   ``STRETCH`` consecutive n-grams the rarest stays as well, so every stretch of an item has a seed;
+   ``STRETCH`` consecutive triples the rarest stays as well, so every stretch of an item has a seed. Pairs
+   and single words are seeds too where they are rare in the texts, and all pairs of items of up to ``SHORT`` words, which
+   may have no triple left after an edit;
 3. a second pass looks the seeds up in every text. A seed puts the item at a place in the text; the
    passage there is aligned word by word, unless it shares too few words to reach the threshold.
 
 An alignment scores 2 for an equal word, -1 for another and -1 for a gap; the score of an item is
-the best local alignment divided by that of an exact copy.
+the best local alignment divided by that of an exact copy. Of a short item the words in common have to be so rare that
+no more than one such passage is to be expected by chance.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from uptake.llm.chunks import map_rows
 N = 3
 STRETCH = 4
 COMMON = 16
+SHORT = 8
+RARE, RARE_SHARE = 16, 1e-7  # a rare pair or word: this often, and this share of all words more
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20
+_SIZE = words.mix(np.arange(N + 1, dtype=np.uint64) + np.uint64(77))
 
 
 def word_hashes(table: pa.Table):
@@ -39,12 +45,31 @@ def word_hashes(table: pa.Table):
     return words.hash_words(data, starts[plain[1:]], ends[plain[1:]], fold=True), np.cumsum(plain)[first]
 
 
-def grams(h):
-    n = max(0, len(h) - N + 1)
-    out = h[:n]
-    for k in range(1, N):
-        out = words.pair_up(out, h[k:n + k])
-    return out
+def grams(h, at, size):
+    """Hashes of the ``size`` words from each place of ``at`` on."""
+    out = h[at]
+    for k in range(1, size):
+        out = words.pair_up(out, h[at + k])
+    return out ^ _SIZE[size]
+
+
+def runs(known, first, size):
+    """Places from which on ``size`` words of one text are all ``known``."""
+    n = max(0, len(known) - size + 1)
+    whole = known[:n].copy()
+    for k in range(1, size):
+        whole &= known[k:n + k]
+        edge = first[1:-1] - k  # not across two texts
+        whole[edge[(edge >= 0) & (edge < n)]] = False
+    return np.flatnonzero(whole)
+
+
+def _among(values, found):
+    """For each of ``found`` its place in the sorted ``values``, -1 where it is not there."""
+    if not len(values):
+        return np.full(len(found), -1)
+    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+    return np.where(values[at] == found, at, -1)
 
 
 class Items:
@@ -54,12 +79,17 @@ class Items:
         self.ids = ids
         h, first = word_hashes(pa.table({"text": pa.array(texts, pa.string())}))
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-        all_grams = [grams(w) for w in self.words]
-        self.item = np.concatenate([np.full(len(g), i) for i, g in enumerate(all_grams)] or [np.zeros(0, int)]).astype(np.int64)
-        self.at = np.concatenate([np.arange(len(g)) for g in all_grams] or [np.zeros(0, int)]).astype(np.int64)
-        gram = np.concatenate(all_grams or [np.zeros(0, np.uint64)])
+        self.known = np.unique(h)
+        parts = []
+        for size in range(1, N + 1):
+            at = runs(np.ones(len(h), dtype=bool), first, size)
+            item = np.searchsorted(first, at, side="right") - 1
+            parts.append((grams(h, at, size), item, at - first[item], np.full(len(at), size)))
+        gram, item, at, size = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.at = gram[order], self.item[order], self.at[order]
+        self.gram, self.item, self.at, self.size = gram[order], item[order], at[order], size[order]
+        self.share = np.ones(len(self.known))
+        self.total = 0
 
     @classmethod
     def of(cls, state):
@@ -68,29 +98,55 @@ class Items:
         items.__dict__ = state
         return items
 
-    def keep_seeds(self, counts):
-        """Keep the rare n-grams; ``counts`` maps an n-gram to its occurrences."""
-        count = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)])
-        keep = np.zeros(len(count), dtype=bool)
-        for i in range(len(self.words)):
-            mine = np.flatnonzero((self.item == i) & (count > 0))
-            mine = mine[np.argsort(self.at[mine])]
-            if len(mine):
-                keep[mine[count[mine] <= COMMON * np.median(count[mine])]] = True
-                for a in range(max(1, len(mine) - STRETCH + 1)):
-                    part = mine[a:a + STRETCH]
-                    keep[part[np.argmin(count[part])]] = True
-        self.gram, self.item, self.at = self.gram[keep], self.item[keep], self.at[keep]
+    def keep_seeds(self, counts, total: int):
+        """Keep the rare n-grams; ``counts`` maps an n-gram to its occurrences among ``total`` words."""
+        known = np.array(sorted(counts), dtype=np.int64)
+        times = np.array([counts[g] for g in known.tolist()], dtype=np.int64)
+        at = _among(known, self.gram.view(np.int64))
+        count = np.where(at >= 0, times[at] if len(times) else 0, 0)
+        length = np.array([len(w) for w in self.words], dtype=np.int64)
+        rare = RARE + RARE_SHARE * total
+        keep = (self.size < N) & (count > 0) & ((count <= rare) | ((self.size == 2) & (length[self.item] <= SHORT)))
+        # The triples of all items, in the order of their places.
+        mine = np.flatnonzero((self.size == N) & (count > 0))
+        mine = mine[np.lexsort((self.at[mine], self.item[mine]))]
+        if len(mine):
+            item, n = self.item[mine], count[mine]
+            start = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+            many = np.diff(np.r_[start, len(item)])
+            by_count = n[np.lexsort((n, item))]
+            median = (by_count[start + (many - 1) // 2] + by_count[start + many // 2]) / 2
+            keep[mine[n <= COMMON * np.repeat(median, many)]] = True
+            # The rarest of every stretch, and of items shorter than one.
+            last = np.repeat(start + many, many) - 1
+            window = np.minimum(np.arange(len(n))[:, None] + np.arange(STRETCH)[None, :], last[:, None])
+            begins = (np.arange(len(n)) + STRETCH - 1 <= last) | np.repeat(many < STRETCH, many)
+            keep[mine[window[np.arange(len(n)), n[window].argmin(axis=1)][begins]]] = True
+        at = _among(known, (self.known ^ _SIZE[1]).view(np.int64))
+        self.share = np.where(at >= 0, times[at] if len(times) else 0, 0) / max(1, total)
+        self.total = total
+        self.gram, self.item, self.at, self.size = (x[keep] for x in (self.gram, self.item, self.at, self.size))
         return self
 
-    def found(self, gram):
-        """(places in ``gram``, entries of this block) of every seed that occurs there."""
-        low = np.searchsorted(self.gram, gram, side="left")
-        n = np.searchsorted(self.gram, gram, side="right") - low
-        hit = np.flatnonzero(n)
-        n, low = n[hit], low[hit]
-        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return np.repeat(hit, n), entry
+    def found(self, h, first):
+        """(places in the words ``h``, entries of this block) of every seed that occurs there."""
+        known, places, entries = _among(self.known, h) >= 0, [], []
+        for size in range(1, N + 1):
+            at = runs(known, first, size)
+            gram = grams(h, at, size)
+            low = np.searchsorted(self.gram, gram, side="left")
+            n = np.searchsorted(self.gram, gram, side="right") - low
+            hit = np.flatnonzero(n)
+            n, low = n[hit], low[hit]
+            entries.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+            places.append(np.repeat(at[hit], n))
+        return np.concatenate(places), np.concatenate(entries)
+
+    def by_chance(self, shared):
+        """How many passages with these words in common are to be expected among all texts; the words themselves
+        where there is only one."""
+        share = self.share[_among(self.known, shared)]
+        return float(self.total * np.prod(share))
 
 
 def align(item, passage):
@@ -120,14 +176,16 @@ def align(item, passage):
     return best
 
 
+def least_shared(n: int, threshold: float, least_words: int) -> float:
+    """How many words of an item of n have to be in common: all of one or two, all but one of a short item."""
+    return max(threshold * n, min(n if n < 3 else n - 1, least_words))
+
+
 def leaked(table: pa.Table, items: Items, threshold: float, least_words: int):
     """(row, item, score, start, end) of each leaked item, the best passage of each row and item."""
     h, first = word_hashes(table)
-    gram = grams(h)
-    place, entry = items.found(gram)
+    place, entry = items.found(h, first)
     row = np.searchsorted(first, place, side="right") - 1
-    inside = place + N <= first[row + 1] if len(place) else np.zeros(0, bool)
-    place, entry, row = place[inside], entry[inside], row[inside]
     item = items.item[entry]
     origin = place - items.at[entry]  # where the item would begin
     order = np.lexsort((origin, item, row))
@@ -145,42 +203,49 @@ def leaked(table: pa.Table, items: Items, threshold: float, least_words: int):
         low = max(int(first[r]), int(origin[k]) - slack)
         high = min(int(first[r + 1]), last + len(target) + slack)
         passage = h[low:high]
-        need = max(threshold * len(target), min(len(target), least_words))
         shared = _shared(target, passage)
-        if shared >= need:
+        need = least_shared(len(target), threshold, least_words)
+        if len(shared) >= need:
             score, a, b = align(target, passage)
             score /= MATCH * len(target)
-            if score >= threshold and score > out.get((r, it), (0,))[0]:
+            if score >= threshold and score > out.get((r, it), (0,))[0] and _meant(items, target, passage[a:b], need):
                 out[r, it] = (score, low - int(first[r]) + a, low - int(first[r]) + b)
         i = j
     return [(r, it, *x) for (r, it), x in out.items()]
 
 
+def _meant(items, target, passage, need) -> bool:
+    """Whether the aligned passage of a short item is more than chance; longer items are by their length."""
+    if len(target) > SHORT:
+        return True
+    shared = _shared(target, passage)
+    limit = RARE + RARE_SHARE * items.total if len(shared) == 1 else 1
+    return len(shared) >= need and items.by_chance(shared) <= limit
+
+
 def _shared(target, passage):
-    """An upper bound of the equal words in any alignment: words in common, counting repeats."""
+    """The words in common, repeats included: no alignment has more equal words."""
     values, count = np.unique(target, return_counts=True)
     at = np.minimum(np.searchsorted(values, passage), len(values) - 1)
     seen = np.bincount(at[values[at] == passage], minlength=len(values))
-    return int(np.minimum(count, seen).sum())
+    return np.repeat(values, np.minimum(count, seen))
 
 
 def _count(items):
     def count(batches):
-        known = np.unique(items.value["gram"])
-        total = np.zeros(len(known), dtype=np.int64)
+        gram, known = np.unique(items.value["gram"]), items.value["known"]
+        total, n = np.zeros(len(gram), dtype=np.int64), 0
         for batch in batches:
             for table in words.batched_rows(pa.Table.from_batches([batch])):
                 h, first = word_hashes(table)
-                gram = grams(h)
-                if not len(gram) or not len(known):
-                    continue
-                whole = np.ones(len(gram), dtype=bool)
-                for k in range(1, N):  # not across two texts
-                    edge = first[1:-1] - k
-                    whole[edge[(edge >= 0) & (edge < len(gram))]] = False
-                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                total += np.bincount(at[(known[at] == gram) & whole], minlength=len(known))
-        yield pa.record_batch({"gram": pa.array(known.view(np.int64)), "n": pa.array(total)})
+                n += len(h)
+                here = _among(known, h) >= 0
+                for size in range(1, N + 1):
+                    at = _among(gram, grams(h, runs(here, first, size), size))
+                    total += np.bincount(at[at >= 0], minlength=len(gram))
+        seen = np.flatnonzero(total)
+        yield pa.record_batch({
+            "gram": pa.array([None, *gram[seen].view(np.int64).tolist()], pa.int64()), "n": pa.array([n, *total[seen].tolist()], pa.int64())})
     return count
 
 
@@ -194,7 +259,8 @@ def _blocks(docs, benchmark):
         block = context.broadcast(vars(Items(ids, texts)))
         counted = docs.select(F.col("text").cast("string")).mapInArrow(_count(block), "gram bigint, n bigint")
         counts = {r[0]: r[1] for r in counted.groupBy("gram").agg(F.sum("n")).collect()}
-        return context.broadcast(vars(Items(ids, texts).keep_seeds(counts)))
+        total = counts.pop(None, 0)
+        return context.broadcast(vars(Items(ids, texts).keep_seeds(counts, total)))
 
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
@@ -243,8 +309,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, least_w
     that a text of ``docs`` (doc_id, text) holds as a whole, in large part or in an edited form.
 
     One row per row of docs and item, for its best passage; words count from 0, the end is
-    exclusive. The score is at least ``threshold`` and at least min(item's words, ``least_words``)
-    words are shared. Items without id or text, or with fewer than three words, are ignored, as are NULL and
+    exclusive. The score is at least ``threshold`` and at least ``least_words`` words are shared; of items of up to nine words
+    all but one, of one or two words all. Items of up to ``SHORT`` words are found only where the words in common are rare: at most one such
+    passage is to be expected among all texts by the words' frequencies, and a single word stands in them ``RARE`` times or a
+    ten-millionth of all words more. Items without id, text or words are ignored, as are NULL and
     empty texts; repeated items give repeated rows. Other columns are ignored; an empty table on
     either side gives no rows.
     """
