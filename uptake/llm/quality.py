@@ -232,14 +232,21 @@ def _score(vectors, net, otherwise, least=None):
     return score
 
 
+def bounded(sample: DataFrame, columns, most: int) -> DataFrame:
+    """At most ``most`` rows of a labelled sample, those with the smallest hashes of their ids; equal rows count once. A doc_id
+    that very many rows share would multiply the sample otherwise."""
+    return sample.dropDuplicates(columns).orderBy(F.xxhash64("doc_id"), *columns).limit(most)
+
+
 def _learned(docs, labels, most_labelled):
     """What scoring needs: word vectors (broadcast), the network, and the score without one."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_labelled)
-    sample = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # at most most_labelled rows
-    sample = sample.mapInArrow(_pool(vectors), "doc_id bigint, label int, pooled binary").toArrow()
+    sample = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    sample = sample.mapInArrow(_pool(vectors), "doc_id bigint, label int, pooled binary")
+    sample = bounded(sample, ["doc_id", "label", "pooled"], most_labelled).toArrow()
     sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "label", "pooled")])
     y = sample.column("label").to_numpy().astype(np.float64)
     x = np.frombuffer(b"".join(sample.column("pooled").to_pylist()), dtype=np.float32).reshape(len(y), 2 * DIMENSIONS + 2)
