@@ -1,13 +1,18 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
+from fractions import Fraction
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from uptake.llm import (
-    interpolation, leaks, mixing, near_duplicates, quality, repeats, templates, token_counts, topk, url_filters,
+    integers, interpolation, leaks, mixing, near_duplicates, quality, repeats, templates, token_counts, topk, url_filters,
 )
 
 TEXT = " ".join(f"word{i}" for i in range(30))
@@ -131,9 +136,45 @@ def test_top_k(spark):
         (40, 1, 1, 4), (40, 2, 1, 4), (40, 3, 2, 4), (40, 4, 20, 4)]
     assert topk.top_k(frame.where("false"), frame).count() == 0
     assert topk.top_k(frame, frame.where("false")).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        big = spark.createDataFrame([(1, [1e15]), (2, [1e15])], "vec_id long, vector array<double>")
-        topk.top_k(big, big).collect()
+
+
+@pytest.mark.parametrize("size", [1e3, 6.4e7, 1e12, 1e30, 1e200, 1e308])
+def test_top_k_is_exact_at_any_size(spark, monkeypatch, size):
+    """Against Python's integers: mixed sizes in one tile, ties, scores beyond 64 bits."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 7)
+    draw = np.random.default_rng(4)
+    rows = [(i, (draw.normal(size=8).clip(-1.7, 1.7) * (size if i % 3 else 1.0)).tolist()) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200, [0.5] * 3), (220, [-0.5, 0.25, 1.0])]
+    whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = {}
+    for r in topk.top_k(frame.where("vec_id % 20 = 0"), frame, k=5, scale=64).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(found) == {i for i, _ in rows if i % 20 == 0}
+    for q, best in found.items():
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        assert best == [(i, -s if -(2 ** 63) <= -s < 2 ** 63 else None) for s, i in scores[:5]]
+
+
+def test_one_pair_of_large_vectors_does_not_end_the_search(spark):
+    rows = [(1, [6.4e7] * 8), (2, [6.4e7] * 8), (3, [1.0] * 8), (4, [1e30] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(frame, frame, k=2).collect()}
+    assert found[1, 1] == (4, None) and found[1, 2] == (2, 8 * 64_000_000 ** 2)
+    assert found[3, 2] == (1, 8 * 64_000_000) and found[4, 1] == (1, None)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_products_of_whole_numbers(data):
+    width = data.draw(st.integers(1, 5))
+    number = st.one_of(st.integers(-9, 9), st.integers(-(2 ** 31), 2 ** 31), st.integers(-(10 ** 40), 10 ** 40))
+    left, right = (data.draw(st.lists(st.lists(number, min_size=width, max_size=width), min_size=1, max_size=4)) for _ in range(2))
+    ours, theirs = (np.array(x, dtype=object).reshape(-1, width) for x in (left, right))
+    expected = [[sum(a * b for a, b in zip(x, y)) for y in right] for x in left]
+    assert integers.products(ours, theirs).tolist() == expected
+    if max(abs(v) for row in left + right for v in row) < 2 ** 53:
+        assert integers.products(ours.astype(np.int64), theirs.astype(np.int64)).tolist() == expected
 
 
 def test_top_k_merges_many_shards(spark, monkeypatch):
@@ -154,7 +195,7 @@ def test_urls(spark):
             (6, "x://b.net/es/"), (None, "x://bad.org/p"), (7, "x://bad.org?p"), (8, "x://good.org/p"), (9, "x://a.com"), (10, "x://example.com/en")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in CLASHES})
     rules = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"))
-    listed = lambda host, path: host == "bad.org"
+    listed = spark.createDataFrame([("bad.org/p",), ("bad.org/p",), ("bad.org",), (None,), ("not.there",)], "key string").withColumn("host", F.lit("x"))
     found = sorted((tuple(r) for r in url_filters.judge_urls(pages, rules, listed).collect()), key=str)
     assert found == sorted([
         (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"),
@@ -162,6 +203,19 @@ def test_urls(spark):
         (6, "b.net", "/es/", "net/es/", "block"), (None, "bad.org", "/p", None, "block"), (7, "bad.org", "", None, "block"),
         (8, "good.org", "/p", None, "allow"), (9, "a.com", "", None, "allow"), (10, "example.com", "/en", "com/", "allow")], key=str)
     assert url_filters.judge_urls(pages.where("false"), rules, listed).count() == 0
+    none = url_filters.judge_urls(pages, rules, listed.where("false")).where("rule IS NULL").collect()
+    assert len(none) == 8 and {r.verdict for r in none} == {"allow"}
+
+
+def test_cascade_is_exact_on_its_universe(spark):
+    """Every third of 20,000 keys is listed; several levels are needed and none errs."""
+    keys = spark.range(20_000).selectExpr("concat('h', id % 97, '.org/', id) AS key", "id % 3 = 0 AS listed")
+    cascade = url_filters.Cascade(keys)
+    assert len(cascade.levels) > 2
+    wrong = keys.where(cascade.contains(F.col("key")) != F.col("listed"))
+    assert wrong.count() == 0
+    plan = keys.select(cascade.contains(F.col("key")).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Python", "Arrow", "Pandas", "Join") if x in plan]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="<p>no</p>";</script></head><body>

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptake.llm.chunks import written
+from uptake.llm.integers import whole
 
 _LIMB = 32
 _SMALL = 1 << 24  # components below it: squared distances of up to 4096 components fit 64 bits
@@ -31,19 +32,6 @@ class Clusters(NamedTuple):
     centroids: list[list[int]]
 
 
-def whole(values, scale: int):
-    """floor(scale * x) of doubles, exactly: 64-bit integers where all are small, else Python's."""
-    if np.abs(values).max(initial=0) * scale < _SMALL:
-        return np.floor(values * scale).astype(np.int64)
-
-    def exact(x):
-        top, bottom = x.as_integer_ratio()
-        return top * scale // bottom
-    out = np.empty(values.shape, dtype=object)
-    out.reshape(-1)[:] = [exact(x) for x in values.reshape(-1).tolist()]
-    return out
-
-
 def squared(rows, centre):
     """Exact squared distances of rows to one centre."""
     if rows.dtype != object and max(map(abs, centre), default=0) < _SMALL:

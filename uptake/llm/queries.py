@@ -132,10 +132,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 20""")
 def op4_exact_topk(spark, sf):
     """The 20 best inner products of every twentieth vector with all others."""
-    whole = F.transform("embedding", lambda x: F.floor(64.0 * x.cast("double")).cast("double"))
-    finite = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x))
-    rows = _table(spark, sf, "embeddings").withColumn("embedding", finite).select("vec_id", whole.alias("vector"))
-    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
+    rows = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20, scale=64)
 
 
 URL_RULES = (
@@ -160,10 +158,12 @@ SELECT page_id, host, path, rule, coalesce(says, CASE WHEN list_has_any(string_s
   [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN f USING (page_id)""")
 def op8_url_filters(spark, sf):
-    """Every page's url under five rules and a list of keys."""
-    def listed(host, path):
-        return F.arrays_overlap(F.split(host, "[.]"), F.array(*map(F.lit, LISTED_LABELS)))
-    return url_filters.judge_urls(_table(spark, sf, "pages"), URL_RULES, listed)
+    """Every page's url under five rules and a table of keys."""
+    pages = _table(spark, sf, "pages")
+    host, path = url_filters.host_and_path(F.col("url"))
+    labels = F.array(*map(F.lit, LISTED_LABELS))
+    listed = pages.where(F.arrays_overlap(F.split(host, "[.]"), labels)).select(F.concat(host, path).alias("key"))
+    return url_filters.judge_urls(pages, URL_RULES, listed)
 
 
 @query()
@@ -270,7 +270,7 @@ def op13_centroids(spark, sf):
     digest = F.element_at(F.array(*map(F.lit, digests)), F.col("cluster") + 1) if digests else F.lit("")
     total = F.sum(F.col("distance").cast("decimal(38,0)"))
     sums = chunks.written(rows.groupBy("cluster").agg(total.alias("s")))  # a row per centroid
-    per_cluster = F.broadcast(sums.crossJoin(sums.agg(F.sum("s").alias("t"))))
-    return rows.join(per_cluster, "cluster").select(
+    per_cluster = sums.withColumn("t", sums.agg(F.sum("s")).scalar())
+    return rows.join(F.broadcast(per_cluster), "cluster").select(
         "vec_id", "cluster", "distance", F.expr("try_cast(s AS bigint)").alias("cluster_inertia"),
         F.expr("try_cast(t AS bigint)").alias("inertia"), digest.alias("centroid_sha256"))

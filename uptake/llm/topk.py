@@ -1,9 +1,11 @@
 """Exact top-k search by inner product over integer vectors: tiles and tree merges.
 
-Queries and candidates are packed into blocks of rows. Every pair of a query block and a candidate
-block (a shard) is a tile with a task of its own: one matrix product, then a partial selection of
+Queries and candidates are packed into blocks of rows of equal length. Every block of candidates (a shard) meets a group of query
+blocks in one task, a tile at a time: one matrix product, then a partial selection of
 each query's k best. Lists of several shards are merged ``FAN`` at a time, in rounds, so no task holds
 more than ``FAN`` lists of one block of queries, however many shards there are.
+
+Products are exact: sums below 2^53 in doubles, larger ones from products of digits, beyond 64 bits as Python's integers.
 """
 
 from __future__ import annotations
@@ -14,145 +16,202 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptake.llm.chunks import written
+from uptake.llm.integers import largest, products, whole
 
 QUERY_ROWS = 2048
 SHARD_ROWS = 8192
+BLOCK_BYTES = 16 << 20  # of components, at eight bytes each
+TOGETHER = 8  # query blocks that meet a shard in one task
 FAN = 8
-_SINGLE, _DOUBLE = 2 ** 24, 2 ** 53  # sums of integers below these are exact
+_SINGLE = 2 ** 24  # sums of integers below it are exact in single precision
 
 
-def _packed(key, table, name):
-    """One block: its ids and its components, in the smallest of the types that hold them."""
+def _packed(key, table, name, scale):
+    """One block: its ids and its components, in the smallest of the types that hold them, else as they came."""
     table = table.sort_by("vec_id")
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    largest = np.abs(flat).max(initial=0)
-    kind = next((t for t in (np.int16, np.int32) if largest <= np.iinfo(t).max), np.float64)
+    values, kind = flat, "raw"
+    if np.abs(flat).max(initial=0) * scale < 2 ** 31 - 1:
+        values = whole(flat, scale, 2 ** 31)
+        kind = "<i2" if largest(values) < 2 ** 15 else "<i4"
+        values = values.astype(kind)
     return pa.table({
-        name: pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([np.dtype(kind).str]),
+        "width": pa.array([key[0].as_py()], pa.int32()), name: pa.array([key[1].as_py()], pa.int32()), "kind": pa.array([kind]),
         "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()),
-        "vectors": pa.array([flat.astype(kind).tobytes()], pa.binary())})
+        "vectors": pa.array([values.tobytes()], pa.binary())})
 
 
-def _opened(block):
+def _opened(row, scale):
     """The ids and the matrix of a packed block."""
-    ids = np.frombuffer(block.column("ids")[0].as_py(), dtype=np.int64)
-    flat = np.frombuffer(block.column("vectors")[0].as_py(), dtype=block.column("kind")[0].as_py())
-    return ids, flat.reshape(len(ids), -1).astype(np.float64)
-
-
-def _best(scores, ids, k):
-    """For each row of scores the k best (score descending, id ascending) as (scores, ids). Where
-    there are fewer, scores of minus infinity fill up. ``ids`` holds one id per column or per cell."""
-    if scores.shape[1] > k:
-        # All that reach the k-th score stay, so that ties are settled by id and not by place.
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        rows, columns = np.nonzero(scores >= least[:, None])
+    ids = np.frombuffer(row["ids"], dtype=np.int64)
+    if row["kind"] == "raw":
+        flat = whole(np.frombuffer(row["vectors"], dtype=np.float64), scale, 2 ** 53)
+    else:
+        flat = np.frombuffer(row["vectors"], dtype=row["kind"]).astype(np.int64)
+    return ids, flat.reshape(len(ids), -1)
+
+
+def _best(scores, ids, valid, k):
+    """For each row of scores the k best valid ones (score descending, id ascending): (scores, ids, number).
+    Rows with fewer are filled up. ``ids`` holds one id per cell."""
+    n = len(scores)
+    if scores.dtype == object:
+        picked = []
+        for row in range(n):
+            at = np.flatnonzero(valid[row]).tolist()
+            picked.append(sorted(at, key=lambda c: (-scores[row, c], ids[row, c]))[:k])
+        rows = np.repeat(np.arange(n), [len(p) for p in picked])
+        columns = np.array([c for p in picked for c in p], dtype=np.int64)
     else:
-        rows, columns = np.nonzero(np.ones(scores.shape, dtype=bool))
-    value = scores[rows, columns]
-    order = np.lexsort((ids[rows, columns] if ids.ndim == 2 else ids[columns], -value, rows))
-    rows, columns, value = rows[order], columns[order], value[order]
-    start = np.searchsorted(rows, np.arange(scores.shape[0]))
-    rank = np.arange(len(rows)) - start[rows]
+        reach = valid
+        if scores.shape[1] > k:
+            # All that reach the k-th score stay, so that ties are settled by id and not by place.
+            least = np.where(valid, scores, np.iinfo(np.int64).min)
+            least = np.partition(least, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            reach = valid & (scores >= least[:, None])
+        rows, columns = np.nonzero(reach)
+        # Descending by the complement, which unlike the negative holds every 64-bit number.
+        order = np.lexsort((ids[rows, columns], ~scores[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows]
     keep = rank < k
-    best = np.full((scores.shape[0], k), -np.inf)
-    names = np.full((scores.shape[0], k), -1, dtype=np.int64)
-    best[rows[keep], rank[keep]] = value[keep]
-    names[rows[keep], rank[keep]] = ids[rows[keep], columns[keep]] if ids.ndim == 2 else ids[columns[keep]]
-    return best, names
-
-
-def _lists(key, query_ids, scores, ids):
-    return pa.table({
-        "block": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
-        "query_ids": pa.array([query_ids], pa.binary()), "scores": pa.array([scores.tobytes()], pa.binary()),
-        "ids": pa.array([ids.tobytes()], pa.binary())})
-
-
-_LISTS = "block int, shard int, query_ids binary, scores binary, ids binary"
-
-
-def _tile(k):
+    rows, columns, rank = rows[keep], columns[keep], rank[keep]
+    best, names = np.zeros((n, k), dtype=scores.dtype), np.zeros((n, k), dtype=np.int64)
+    best[rows, rank], names[rows, rank] = scores[rows, columns], ids[rows, columns]
+    return best, names, np.bincount(rows, minlength=n)
+
+
+def _list(width, block, shard, query_ids, scores, ids, number):
+    """A block's lists as one row; scores beyond 64 bits as text."""
+    big = None
+    if scores.dtype == object:
+        fits = all(-(1 << 63) <= x < 1 << 63 for x in scores.reshape(-1).tolist())
+        scores, big = (scores.astype(np.int64), None) if fits else (np.zeros(0, dtype=np.int64), [str(x) for x in scores.reshape(-1).tolist()])
+    return {
+        "width": width, "block": block, "shard": shard, "query_ids": query_ids, "scores": scores.tobytes(), "big": big,
+        "ids": ids.tobytes(), "number": number.astype(np.int64).tobytes()}
+
+
+_LISTS = "width int, block int, shard int, query_ids binary, scores binary, big array<string>, ids binary, number binary"
+_SCHEMA = pa.schema([
+    ("width", pa.int32()), ("block", pa.int32()), ("shard", pa.int32()), ("query_ids", pa.binary()), ("scores", pa.binary()),
+    ("big", pa.list_(pa.string())), ("ids", pa.binary()), ("number", pa.binary())])
+
+
+def _opened_list(row, k):
+    number = np.frombuffer(row["number"], dtype=np.int64)
+    ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(-1, k)
+    if row["big"] is not None:
+        scores = np.empty(ids.shape, dtype=object)
+        scores.reshape(-1)[:] = [int(x) for x in row["big"]]
+    else:
+        scores = np.frombuffer(row["scores"], dtype=np.int64).reshape(-1, k)
+    return scores, ids, np.arange(k)[None, :] < number[:, None]
+
+
+def _scores(left, right):
+    """Exact inner products of a few queries and a shard."""
+    if largest(left) * largest(right) * max(1, left.shape[1]) < _SINGLE:
+        return (left.astype(np.float32) @ right.astype(np.float32).T).astype(np.int64)
+    if right.dtype != object and left.dtype != object:
+        return products(left, right)
+    # Vectors with huge components are multiplied by themselves, the others as usual.
+    huge = [largest(r) >= 1 << 40 for r in right]
+    huge = np.array(huge, dtype=bool)
+    parts = [products(left, np.array(right[at].tolist(), dtype=object if at is huge else np.int64).reshape(-1, right.shape[1])) for at in (huge, ~huge)]
+    out = np.zeros((len(left), len(right)), dtype=object if any(p.dtype == object for p in parts) else np.int64)
+    for at, part in zip((huge, ~huge), parts):
+        out[:, at] = part
+    return out
+
+
+def _tile(k, scale):
     def tile(key, queries, shard):
-        if not queries.num_rows or not shard.num_rows:
-            none = np.zeros(0)
-            return _lists(key, b"", none, none).slice(0, 0)
-        (mine, left), (theirs, right) = _opened(queries), _opened(shard)
-        bound = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[1]
-        if bound >= _DOUBLE:
-            raise OverflowError("components are too large for exact inner products")
-        if bound < _SINGLE:
-            left, right = left.astype(np.float32), right.astype(np.float32)
-        parts = []
-        for at in range(0, len(mine), 128):
-            scores = (left[at:at + 128] @ right.T).astype(np.float64)
-            scores[mine[at:at + 128, None] == theirs[None, :]] = -np.inf
-            parts.append(_best(scores, theirs, k))
-        scores, ids = (np.concatenate(x) for x in zip(*parts))
-        return _lists(key, queries.column("ids")[0].as_py(), scores, ids)
+        width, _, number = (x.as_py() for x in key)
+        lists = []
+        if queries.num_rows and shard.num_rows:
+            theirs, right = _opened(shard.to_pylist()[0], scale)
+            for row in sorted(queries.select(["block", "kind", "ids", "vectors"]).to_pylist(), key=lambda r: r["block"]):
+                mine, left = _opened(row, scale)
+                parts = []
+                for at in range(0, len(mine), 128):
+                    scores = _scores(left[at:at + 128], right)
+                    valid = mine[at:at + 128, None] != theirs[None, :]
+                    parts.append(_best(scores, np.broadcast_to(theirs, scores.shape), valid, k))
+                scores, ids, count = (np.concatenate(x) for x in zip(*parts))
+                lists.append(_list(width, row["block"], number, row["ids"], scores, ids, count))
+        return pa.Table.from_pylist(lists, _SCHEMA)
     return tile
 
 
 def _merge(k):
     def merge(key, table):
-        table = table.sort_by("part")
-        n = len(table.column("query_ids")[0].as_py()) // 8
-        scores, ids = (
-            np.concatenate([np.frombuffer(x, dtype=kind).reshape(n, k) for x in table.column(name).to_pylist()], axis=1)
-            for name, kind in (("scores", np.float64), ("ids", np.int64)))
-        return _lists(key, table.column("query_ids")[0].as_py(), *_best(scores, ids, k))
+        rows = sorted(table.select([f.name if f.name != "shard" else "part" for f in _SCHEMA]).to_pylist(), key=lambda r: r["part"])
+        scores, ids, valid = (np.concatenate(x, axis=1) for x in zip(*[_opened_list(r, k) for r in rows]))
+        width, block, shard = (x.as_py() for x in key)
+        return pa.Table.from_pylist([_list(width, block, shard, rows[0]["query_ids"], *_best(scores, ids, valid, k))], _SCHEMA)
     return merge
 
 
 def _unpack(k):
     def unpack(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                queries = np.frombuffer(batch.column("query_ids")[at].as_py(), dtype=np.int64)
-                scores = np.frombuffer(batch.column("scores")[at].as_py(), dtype=np.float64).reshape(len(queries), k)
-                ids = np.frombuffer(batch.column("ids")[at].as_py(), dtype=np.int64).reshape(len(queries), k)
-                row, place = np.nonzero(np.isfinite(scores))
+            for row in batch.to_pylist():
+                queries = np.frombuffer(row["query_ids"], dtype=np.int64)
+                scores, ids, valid = _opened_list(row, k)
+                at, place = np.nonzero(valid)
+                found = [x if -(1 << 63) <= x < 1 << 63 else None for x in scores[at, place].tolist()]
                 yield pa.record_batch({
-                    "query_id": pa.array(queries[row]), "rank": pa.array((place + 1).astype(np.int32)),
-                    "vec_id": pa.array(ids[row, place]), "score": pa.array(scores[row, place].astype(np.int64))})
+                    "query_id": pa.array(queries[at]), "rank": pa.array((place + 1).astype(np.int32)),
+                    "vec_id": pa.array(ids[at, place]), "score": pa.array(found, pa.int64())})
     return unpack
 
 
-def _blocks(rows: DataFrame, name: str, count: int) -> DataFrame:
-    """Rows dealt to ``count`` blocks by their ids, one packed row per block."""
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return written(dealt.groupBy(name).applyInArrow(
-        lambda key, table: _packed(key, table, name), f"{name} int, kind string, ids binary, vectors binary"))
+def _count(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """How many blocks the rows of each width need: at most ``most`` rows and ``BLOCK_BYTES`` each."""
+    held = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("width")))))
+    return rows.groupBy("width").agg(F.count("*").alias("n")).select("width", F.ceil(F.col("n") / held).cast("int").alias(name))
+
+
+def _blocks(rows: DataFrame, counts: DataFrame, name: str, count: str, scale: int) -> DataFrame:
+    """Rows dealt to the blocks of their width by their ids, one packed row per block."""
+    dealt = rows.join(counts, "width").withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int"))
+    return written(dealt.groupBy("width", name).applyInArrow(
+        lambda key, table: _packed(key, table, name, scale), f"width int, {name} int, kind string, ids binary, vectors binary"))
 
 
 def _usable(rows: DataFrame) -> DataFrame:
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>"))
-    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite & (F.size("vector") > 0), F.lit(False)))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite & (F.size("vector") > 0), F.lit(False)))
+    return rows.withColumn("width", F.size("vector"))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of ``queries`` the k rows of ``candidates``
     with the largest inner products, ties to the smaller id; all of them if there are fewer.
 
-    Both hold (vec_id, vector) with whole numbers as components. A candidate with the query's own id takes no
-    part in its list. Rows without id or vector, with NULL or non-finite components, or whose
-    length is not the candidates' most frequent one (the smaller of equally frequent ones) take no part at all.
+    Both hold (vec_id, vector); a component x counts as the integer floor(``scale`` * x), whatever its size. A candidate with the
+    query's own id takes no part in its list, nor do vectors of another length than the query's. Rows without id or vector, with an
+    empty vector or with NULL or non-finite components take no part at all.
     A repeated candidate is ranked as often as it occurs, a repeated query gets a list for each
-    row. Other columns are ignored; an empty side gives no rows. Components so large that sums
-    of products are not exact in doubles raise an OverflowError.
+    row. Other columns are ignored; an empty side gives no rows. Ranks are always exact; a score that 64 bits do not hold is NULL.
     """
     queries, candidates = _usable(queries), _usable(candidates)
-    widths = candidates.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths["width"] if widths else 0
-    queries, candidates = (x.where(F.size("vector") == width) for x in (queries, candidates))
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    shards = max(1, -(-candidates.count() // SHARD_ROWS))
-    left = _blocks(queries, "block", blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = _blocks(candidates, "shard", shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    lists = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_tile(k), _LISTS)
+    counts = _count(queries, QUERY_ROWS, "blocks").join(_count(candidates, SHARD_ROWS, "shards"), "width")
+    counts = written(counts)  # a row per length of vector
+    left = _blocks(queries, counts, "block", "blocks", scale).join(counts, "width")
+    left = left.withColumn("together", F.floor(F.col("block") / TOGETHER).cast("int"))
+    left = left.select("width", "together", "block", "kind", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    right = _blocks(candidates, counts, "shard", "shards", scale)
+    groups = counts.select("width", F.floor((F.col("blocks") - 1) / TOGETHER).cast("int").alias("groups"))
+    right = right.join(groups, "width").select(
+        "width", "shard", "kind", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.col("groups"))).alias("together"))
+    keys = ("width", "together", "shard")
+    lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k, scale), _LISTS)
+    shards = counts.agg(F.max("shards")).first()[0] or 1
     while shards > 1:
         shards = -(-shards // FAN)
         lists = lists.withColumnRenamed("shard", "part").withColumn("shard", F.floor(F.col("part") / FAN).cast("int"))
-        lists = lists.groupBy("block", "shard").applyInArrow(_merge(k), _LISTS)
+        lists = lists.groupBy("width", "block", "shard").applyInArrow(_merge(k), _LISTS)
     return lists.mapInArrow(_unpack(k), "query_id bigint, rank int, vec_id bigint, score bigint")

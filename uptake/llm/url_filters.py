@@ -3,8 +3,11 @@
 The first filter of the cascade encodes the listed keys, the second those other keys of the corpus
 that the first one lets through by mistake, the third the listed keys that pass the second, and so
 on until nothing passes by mistake. For every key of the universe the first filter that
-rejects it tells exactly whether it is listed. The filters are array literals in the plan, so a lookup is
-arithmetic in the scan's stage: no join, no shuffle, no Python.
+rejects it tells exactly whether it is listed.
+
+Executors build a filter's words by ``bit_or`` of their keys' bits and write them as a table. A lookup reads them as a
+scalar subquery, one array, and is arithmetic in the scan's stage: no join, no shuffle, no Python, and nothing in
+the plan but the subquery. Spark holds one array of at most ``MOST_BITS`` / 8 bytes per level.
 """
 
 from __future__ import annotations
@@ -48,20 +51,20 @@ def longest_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 class Level:
-    """One Bloom filter, as an array literal of 64-bit words."""
+    """One Bloom filter, as a table of 64-bit words and a subquery that makes them an array."""
 
     def __init__(self, number: int, keys: DataFrame, count: int, rate: float):
         self.number, self.hashes = number, max(1, round(-math.log2(rate)))
         self.bits = 64 * math.ceil((count * self.hashes / math.log(2) + 1) / 64)
         if self.bits > MOST_BITS:
-            raise ValueError(f"a filter of {self.bits} bits is more than a plan should carry ({MOST_BITS})")
+            raise ValueError(f"a filter of {self.bits} bits is more than a task should hold ({MOST_BITS})")
         position = F.explode(F.array(*self._positions(F.col("key")))).alias("p")
-        words = keys.select(position).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
-        values = [0] * (self.bits // 64)
-        for word, bits in words.collect():  # bounded by MOST_BITS / 64
-            values[word] = bits
-        self.words = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # folded to a literal
+        ones = keys.select(position).select(
+            F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("bits"))
+        zeros = keys.sparkSession.range(self.bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        words = written(ones.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits")))
+        ordered = F.sort_array(F.collect_list(F.struct("word", "bits")))
+        self.words = words.agg(F.transform(ordered, lambda w: w["bits"])).scalar()
 
     def _positions(self, key: Column):
         one = F.pmod(F.xxhash64(key, F.lit(2 * self.number)), F.lit(self.bits))
@@ -104,19 +107,20 @@ class Cascade:
         return F.coalesce(key.isNotNull() & answer, F.lit(False))
 
 
-def judge_urls(pages: DataFrame, rules, listed) -> DataFrame:
+def judge_urls(pages: DataFrame, rules, listed: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url).
 
     The longest fitting rule decides (see ``longest_rule``); elsewhere a url is blocked if its key,
-    host and path together, is listed. ``listed`` is a function of the columns host and path and is asked
-    once for each key of the corpus, when the cascade is built. A NULL url or one without ``://`` has an empty host
-    and path; repeated urls are judged alike; rows without page_id are judged; other columns are
-    ignored; an empty table gives an empty table.
+    host and path together, stands in the table ``listed`` (key). The universe of the cascade is all keys of ``pages`` and of
+    ``listed``. A NULL url or one without ``://`` has an empty host
+    and path; repeated urls are judged alike, repeated listed keys count once and NULL ones not; rows without page_id are judged; other columns are
+    ignored; an empty table gives an empty table, an empty list blocks nothing.
     """
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     key = F.concat("host", "path")
-    cascade = Cascade(parts.select(key.alias("key"), listed(F.col("host"), F.col("path")).alias("listed")))
+    keys = parts.select(key.alias("key"), F.lit(False).alias("listed"))
+    cascade = Cascade(keys.unionByName(listed.select(F.col("key").cast("string"), F.lit(True).alias("listed"))))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     method = F.when(cascade.contains(key), "block").otherwise("allow")
     return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
