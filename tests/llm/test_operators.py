@@ -231,6 +231,56 @@ def test_token_counts_equal_the_library():
 
 # ---- 5: language model ------------------------------------------------------------------------
 
+def plain_model(texts, held, weights=None):
+    """Counts, left-out events and weights of a text model, token by token; (scores, weights)."""
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+
+    def grams(w):
+        padded = ["end", "end", *w]
+        return list(zip(padded, padded[1:], w))
+    for i, w in texts.items():
+        if not held[i]:
+            one.update(w)
+            two.update((v, x) for _, v, x in grams(w))
+            three.update(grams(w))
+    n, types, starts = sum(one.values()), len(one), sum(not held[i] for i in texts)
+
+    def estimates(u, v, x, own_one, own_two, own_three, length, first):
+        """The bucket and the four estimates, a text's own counts deleted."""
+        context = one[v] - own_one[v]
+        pair = two[v, x] - own_two[v, x]
+        far = context if first else two[u, v] - own_two[u, v]
+        triple = pair if first else three[u, v, x] - own_three[u, v, x]
+        bucket = ("pair", far.bit_length()) if far else ("word", context.bit_length())
+        return bucket, (triple / max(far, 1), pair / max(context, 1), (one[x] - own_one[x]) / max(n - length, 1), 1 / (types + 1))
+    none = collections.Counter()
+    if weights is None:
+        events = collections.defaultdict(list)
+        for i, w in texts.items():
+            if not held[i]:
+                own = collections.Counter(w), collections.Counter((v, x) for _, v, x in grams(w)), collections.Counter(grams(w))
+                for k, g in enumerate(grams(w)):
+                    bucket, p = estimates(*g, *own, len(w), k == 0)
+                    events[bucket].append(p)
+        weights = {}
+        for bucket, p in events.items():
+            p, weight = np.array(p), np.full(4, 0.25)
+            for _ in range(100):
+                share = p * weight
+                weight = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 1
+                weight /= weight.sum()
+            weights[bucket] = weight
+    scores = {}
+    for i, w in texts.items():
+        score = 0.0
+        for k, g in enumerate(grams(w)):
+            bucket, p = estimates(*g, none, none, none, 0, k == 0)
+            score += math.log10(float(np.dot(weights.get(bucket, (0, 0, 0, 1)), p)))
+        base = sum(math.log10((one[x] + 0.5) / (n + 0.5 * (types + 1))) for x in w)
+        scores[i] = (len(w), sum(one[x] > 0 for x in w), n, base, score)
+    return scores, weights
+
+
 def test_language_model_against_brute_force(spark, monkeypatch):
     kept, fit = {}, interpolation.fit_weights
 
@@ -242,25 +292,21 @@ def test_language_model_against_brute_force(spark, monkeypatch):
     texts = {}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
-        texts[r.doc_id] = folded.encode().split() + [None]
+        texts[r.doc_id] = [*folded.encode().split(), "end"]
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
-    one, two = collections.Counter(), collections.Counter()
-    for i, w in texts.items():
-        if not held[i]:
-            one.update(w)
-            two.update(zip([None, *w[:-1]], w))
-    n, types, sums = sum(one.values()), len(one), [0.0, 0.0]
-    for i, w in texts.items():
-        base = sum(math.log10((one[x] + 0.5) / (n + 0.5 * (types + 1))) for x in w)
-        score = 0.0
-        for a, b in zip([None, *w[:-1]], w):
-            l2, l1, l0 = kept["weights"][one[a].bit_length()]
-            score += math.log10(l2 * two[a, b] / max(one[a], 1) + l1 * one[b] / n + l0 / (types + 1))
+    mine = {("pair" if b >= interpolation._LEVEL else "word", b % interpolation._LEVEL): w for b, w in enumerate(kept["weights"])}
+    same, _ = plain_model(texts, held, mine)
+    own, weights = plain_model(texts, held)
+    assert set(weights) == {b for b, w in mine.items() if w[3] != 1}
+    sums = np.zeros(2)
+    for i, (tokens, known, n, base, score) in same.items():
         r = found[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], tokens, known, n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        # A plain model that fits its own weights, from probabilities that are not binned.
+        assert r.score == pytest.approx(own[i][4], rel=0.01)
         if held[i]:
-            sums = [sums[0] + base, sums[1] + score]
+            sums += (base, score)
     assert sums[1] > sums[0]  # better than word frequencies on texts it has not seen
 
 
@@ -271,14 +317,28 @@ def test_packed_counts():
 
 
 def test_weights_by_expectation_maximisation():
-    side = interpolation._NEVER + 1
-    # In bucket 3 pairs always predict well; in bucket 1 never.
-    events = {(3 * side + 0) * side + 40: 1000, (1 * side + interpolation._NEVER) * side + 8: 1000}
+    never = interpolation._NEVER
+    # In bucket 3 triples always predict well, in bucket 1 never, in the pairs' bucket 2 pairs do.
+    events = {interpolation._code(3, 0, 90, 80): 1000, interpolation._code(1, never, never, 4): 1000, interpolation._code(74, never, 1, 40): 1000}
     weights = interpolation.fit_weights(events, types=10 ** 6)
-    assert weights[3][0] > 0.99 and weights[1][1] > 0.9 and weights[9].tolist() == [0, 0, 1]
+    assert weights[3][0] > 0.99 and weights[1][2] > 0.9 and weights[74][1] > 0.9 and weights[9].tolist() == [0, 0, 0, 1]
     assert np.allclose(weights.sum(axis=1), 1)
 
 
+def test_only_triples_that_may_occur_elsewhere_are_asked():
+    """Where all pairs are the chunk's own, so are all triples, and none is sent."""
+    texts = [" ".join(f"w{(i * k) % 400}" for k in range(60)) for i in range(1, 40)]
+    batch = pa.table({"chunk": [0] * 39, "row_key": range(39), "doc_id": range(39), "train": [True] * 39, "text": texts})
+    blob = pa.Table.from_batches(list(interpolation._pack(batch.to_batches())))
+    tokens = interpolation._Tokens(blob, 2)
+    assert tokens.table.column("text").to_pylist() == [t.encode() for t in texts]
+    answers = lambda bit: {int(tokens.pairs.bucket[a]): (b"", bit * (b - a)) for a, b in tokens.pairs.spans()}
+    alone = tokens.triples(answers(b"\x00"))
+    assert not alone.spans() and alone.totals({}).tolist() == alone.count.tolist()
+    every = tokens.triples(answers(b"\xff"))
+    assert sum(b - a for a, b in every.spans()) == len(every.key) == len(alone.key)
+
+
 # ---- 3, 9, 2 ----------------------------------------------------------------------------------
 
 def test_quality_on_held_out_labels(spark):
@@ -393,6 +453,28 @@ def test_pipeline_runs(spark):
     assert all(1 <= r.copy <= r.copies for r in rows)
 
 
+def test_pipeline_leaves_no_tables_but_the_last_stages(spark):
+    import os
+
+    chunks.sweep(spark)
+    out = corpus_pipeline.run(spark, SF)
+    left = os.listdir(chunks._own_folder(spark))
+    with chunks.recorded() as made:
+        corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert 1 <= len(left) <= 3 and len(made) <= 2
+    assert out.count() > 0
+
+
+def test_repeated_rows_leave_the_copies_stage_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, text), (6, text + " end"), (7, "one two"), (7, "one two"), (7, "three"), (None, text), (None, text), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [
+        (5, text), (7, "one two"), (7, "three"), (None, text), (None, text), (8, None)]))
+
+
 def test_mixing_stage_rows_have_the_target_shares(spark):
     """Documents without copies go, others come as often as their copies say."""
     sf = f"{DATA}/sf0.01"

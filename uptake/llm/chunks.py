@@ -8,6 +8,7 @@ table is broadcast or collected.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from uptake.sources.sinks import shared_folder
 
 CHUNK_BYTES = 4 << 20
 KEYS_PER_BUCKET = 1 << 20
+_RECORDS: list[list[str]] = []
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -31,14 +33,33 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for made in _RECORDS:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded():
+    """The paths that ``written`` makes inside, in their order."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.pop()
+
+
+def remove(spark: SparkSession, paths) -> None:
+    """Delete tables that nothing reads any more."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder. Results that were not stored
     elsewhere cannot be computed any more after it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, [_own_folder(spark)])
 
 
 def text_size(docs: DataFrame) -> int:
