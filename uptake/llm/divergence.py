@@ -101,7 +101,7 @@ def _terms_part(terms: DataFrame, groups: DataFrame, most: int) -> DataFrame:
         F.col("rank") <= most)
 
 
-def _pairs_part(terms: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs_part(vectors: DataFrame, terms: DataFrame, groups: DataFrame) -> DataFrame:
     """The value of every other source of a group's language, summed over all kept terms, with ranks."""
     zero = _share(F.lit(0), F.col("size"), F.col("kept"))
     one = groups.select("lang", "source", "size", "kept", zero.alias("zero"))
@@ -118,8 +118,7 @@ def _pairs_part(terms: DataFrame, groups: DataFrame) -> DataFrame:
     sums.append(spread.select("lang", "source", F.col("other").alias("item"), n * (_apart(p, q0) - _apart(p0, q0))))
     sums.append(spread.select("lang", F.col("other").alias("source"), F.col("source").alias("item"), n * (_apart(q0, p) - _apart(q0, p0))))
     # What changes for terms of both.
-    shared = terms.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "times"))).alias("cells"))
-    shared = shared.where(F.size("cells") > 1).groupBy("lang", "cells").agg(F.count("*").alias("n"))
+    shared = vectors.where(F.size("cells") > 1).groupBy("lang", "cells").agg(F.count("*").alias("n"))
     shared = shared.select("lang", "n", "cells", F.explode("cells").alias("x")).select("lang", "n", "x", F.explode("cells").alias("y"))
     shared = shared.where("x.source < y.source").select(
         "lang", "n", F.col("x.source").alias("source"), F.col("x.times").alias("times"),
@@ -158,13 +157,15 @@ def source_divergence(docs: DataFrame, least_texts: int = 3, most: int = 200) ->
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counted = plain.withColumn("text", F.col("text").cast("binary")).mapInArrow(
         _counted, "lang string, source string, term binary, times bigint, texts bigint")
-    counted = counted.groupBy("lang", "source", F.col("term").cast("string").alias("term"))
-    counted = written(counted.agg(F.sum("times").alias("times"), F.sum("texts").alias("texts")))
-    kept = counted.groupBy("lang", "term").agg(F.sum("times").alias("total"), F.sum("texts").alias("texts"))
-    kept = kept.where(F.col("texts") >= least_texts).drop("texts")
-    terms = written(counted.drop("texts").join(kept, ["lang", "term"]))
+    # One shuffle by language and term serves both sums; a term has at most a row per source and task.
+    counted = counted.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
+    counted = counted.groupBy("lang", "term", "source").agg(F.sum("times").alias("times"), F.sum("texts").alias("texts"))
+    cells = F.sort_array(F.collect_list(F.struct("source", "times")))
+    vectors = counted.groupBy("lang", "term").agg(F.sum("texts").alias("texts"), F.sum("times").alias("total"), cells.alias("cells"))
+    vectors = written(vectors.where(F.col("texts") >= least_texts).drop("texts"))
+    terms = vectors.select("lang", "term", "total", F.explode("cells").alias("cell")).select("lang", "term", "total", "cell.*")
     sizes = terms.groupBy("lang", "source").agg(F.sum("times").alias("size"))
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
+    vocabulary = vectors.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
     groups = plain.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(vocabulary, "lang", "left")
     groups = written(groups.na.fill(0, ["size", "kept", "lang_size"]))
-    return _pairs_part(terms, groups).unionByName(_terms_part(terms, groups, most))
+    return _pairs_part(vectors, terms, groups).unionByName(_terms_part(terms, groups, most))
