@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from uptake.llm.chunks import written
 
-_MOST_TERMS = 200_000  # terms that a task adds up before it hands them on
+_MOST_TERMS = 400_000  # terms that a task adds up before it hands them on
 _PIECE = 1 << 22
 # A-Z become a-z, other ASCII that is no letter becomes a space; bytes of other characters stay.
 _FOLD = bytes(

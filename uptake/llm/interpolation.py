@@ -264,7 +264,8 @@ def _events(buckets, n):
         word, pair = tokens.words.totals(replies), tokens.pairs.totals(replies)
         triples = tokens.triples(replies)
         triple = triples.totals(replies)
-        doc, w, p, v, at = tokens.doc, tokens.words.index, tokens.pairs.index, tokens.before, tokens.later
+        use = np.flatnonzero(tokens.learned)  # whole texts, so a token's predecessor is the one before it here too
+        doc, w, p, v = tokens.doc[use], tokens.words.index[use], tokens.pairs.index[use], tokens.before[use]
         rest = n - np.diff(tokens.first)[doc]  # tokens of the other texts
         single = (word[w] - _own(doc, w)) / np.maximum(rest, 1)
         # A text's contexts are its own tokens once more: all but the last, and the end before the first.
@@ -272,10 +273,13 @@ def _events(buckets, n):
         joint = both / np.maximum(context, 1)
         # After two ends the pair says what the triple would.
         far, three = context.copy(), both.copy()
+        later = tokens.learned[tokens.later]
+        at = np.searchsorted(use, tokens.later[later])
+        index = triples.index[later]
         far[at] = both[at - 1]
-        three[at] = triple[triples.index] - _own(doc[at], triples.index)
+        three[at] = triple[index] - _own(doc[at], index)
         code = _code(_context(far, context), _bins(three / np.maximum(far, 1)), _bins(joint), _bins(single))
-        distinct, count = np.unique(code[tokens.learned], return_counts=True)
+        distinct, count = np.unique(code, return_counts=True)
         return pa.table({"event": pa.array(distinct, pa.int64()), "n": pa.array(count, pa.int64())})
     return events
 
