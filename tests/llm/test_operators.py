@@ -39,7 +39,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_registry():
-    names = {n: [q for q in contract.queries() if q.startswith(f"op{n}_")] for n in range(1, 11)}
+    names = {n: [q for q in contract.queries() if q.startswith(f"op{n}_")] for n in range(1, 14)}
     assert all(len(found) == 1 for found in names.values()) and "pipeline" in contract.queries()
 
 
