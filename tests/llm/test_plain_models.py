@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import warnings
 
 import numpy as np
@@ -239,3 +240,34 @@ def test_seeds_against_plain_rules():
                 expected.add((item, a, s))
     seeds = items.keep_seeds(counts, 1000)
     assert set(zip(seeds.item.tolist(), seeds.at.tolist(), seeds.size.tolist())) == expected
+
+
+def test_the_sample_reaches_the_driver_in_parts_and_is_held_once(spark, monkeypatch):
+    """The driver holds half-precision rows, and no task sends all of them."""
+    n, parts, before = 4000, [], quality.gathered
+
+    def counted(sample, columns):
+        found = before(sample, columns)
+        parts.append(found.column("features").num_chunks)
+        assert found.equals(found.sort_by([(c, "ascending") for c in columns]))
+        return found
+    monkeypatch.setattr(quality, "gathered", counted)
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word ', id % 97, ' of ', id % 89) AS text")
+    labelled = docs.selectExpr("doc_id", "if(doc_id % 97 < 50, 'a', 'b') AS domain")
+    tracemalloc.start()
+    model = mixing.domain_classifier(docs, labelled, ["a", "b"], n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts[0] > 1 and most < 2.5 * n * mixing.FEATURES * 2
+    text = docs.select("text").toArrow()
+    found = model.posterior(mixing.features(text)).argmax(axis=1)
+    assert (found == (np.arange(n) % 97 >= 50)).mean() > 0.9
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_rows_of_bytes_as_a_matrix(kind):
+    rows = np.arange(60, dtype=np.float16).reshape(12, 5)
+    whole = pa.array([r.tobytes() for r in rows], kind)
+    column = pa.chunked_array([whole[:0], whole[2:7], whole[:2], whole[7:]], kind)
+    assert quality.matrix(column, 5, np.float16).tolist() == rows[[2, 3, 4, 5, 6, 0, 1, 7, 8, 9, 10, 11]].tolist()
+    assert quality.matrix(column[:0], 5, np.float16).shape == (0, 5)

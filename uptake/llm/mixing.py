@@ -61,8 +61,9 @@ class Softmax:
             order = draw.permutation(len(y))
             for at in range(0, len(y), 256):
                 rows = order[at:at + 256]
-                error = (self.posterior(x[rows]) - hot[y[rows]]) / len(rows)
-                steps, t = [x[rows].T @ error + decay * self.weights, error.sum(axis=0)], t + 1
+                part = np.asarray(x[rows], dtype=np.result_type(x, np.float32))  # half precision only as stored
+                error = (self.posterior(part) - hot[y[rows]]) / len(rows)
+                steps, t = [part.T @ error + decay * self.weights, error.sum(axis=0)], t + 1
                 for value, moment, g in zip((self.weights, self.bias), moments, steps):
                     moment[0] = 0.9 * moment[0] + 0.1 * g
                     moment[1] = 0.999 * moment[1] + 0.001 * g * g
@@ -101,11 +102,11 @@ def domain_classifier(docs: DataFrame, labelled: DataFrame, domains, most_labell
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most_labelled)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sample = texts.join(F.broadcast(known), "doc_id").mapInArrow(_gather, "doc_id bigint, domain string, features binary")
-    sample = quality.bounded(sample, ["doc_id", "domain", "features"], most_labelled).toArrow()
-    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "domain", "features")])
+    columns = ["doc_id", "domain", "features"]
+    sample = quality.gathered(quality.bounded(sample, columns, most_labelled), columns)
     y = np.array([domains.index(d) for d in sample.column("domain").to_pylist()], dtype=np.int64)
-    x = np.frombuffer(b"".join(sample.column("features").to_pylist()), dtype=np.float16)
-    x = x.reshape(len(y), FEATURES).astype(np.float32)
+    x = quality.matrix(sample.column("features"), FEATURES, np.float16)
+    del sample
     return Softmax(len(domains)).fit(x, y) if len(y) else Softmax(len(domains))
 
 

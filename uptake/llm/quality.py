@@ -23,6 +23,7 @@ DIMENSIONS = 32
 NONZERO = 2
 REACH = 2
 _ROWS = 1024  # slots per row of a partial table
+_PARTS = 16  # in which a sample reaches the driver
 
 
 def _kinds():
@@ -238,6 +239,25 @@ def bounded(sample: DataFrame, columns, most: int) -> DataFrame:
     return sample.dropDuplicates(columns).orderBy(F.xxhash64("doc_id"), *columns).limit(most)
 
 
+def gathered(sample: DataFrame, columns) -> pa.Table:
+    """A bounded sample on the driver, in the order of ``columns``, of which doc_id is the first. Tasks by ranges of doc_id send
+    a part each; the limit's one task would send all rows at once."""
+    return sample.repartitionByRange(_PARTS, "doc_id").sortWithinPartitions(*columns).toArrow()
+
+
+def matrix(column: pa.ChunkedArray, width: int, dtype):
+    """The rows of a column of bytes, of ``width`` numbers each, without a copy besides the result."""
+    out, at = np.empty((len(column), width), dtype=dtype), 0
+    for chunk in column.chunks:
+        if len(chunk):
+            chunk = chunk.cast(pa.large_binary())
+            first = np.frombuffer(chunk.buffers()[1], dtype=np.int64)[chunk.offset]
+            rows = np.frombuffer(chunk.buffers()[2], dtype=dtype, count=len(chunk) * width, offset=first)
+            out[at:at + len(chunk)] = rows.reshape(-1, width)
+            at += len(chunk)
+    return out
+
+
 def _learned(docs, labels, most_labelled):
     """What scoring needs: word vectors (broadcast), the network, and the score without one."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -246,10 +266,10 @@ def _learned(docs, labels, most_labelled):
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_labelled)
     sample = docs.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
     sample = sample.mapInArrow(_pool(vectors), "doc_id bigint, label int, pooled binary")
-    sample = bounded(sample, ["doc_id", "label", "pooled"], most_labelled).toArrow()
-    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "label", "pooled")])
+    columns = ["doc_id", "label", "pooled"]
+    sample = gathered(bounded(sample, columns, most_labelled), columns)
     y = sample.column("label").to_numpy().astype(np.float64)
-    x = np.frombuffer(b"".join(sample.column("pooled").to_pylist()), dtype=np.float32).reshape(len(y), 2 * DIMENSIONS + 2)
+    x = matrix(sample.column("pooled"), 2 * DIMENSIONS + 2, np.float32)
     order = np.argsort(words.mix(sample.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
     return vectors, train(x[order].astype(np.float64), y[order]), float(y.mean()) if len(y) else 0.5
 
