@@ -339,6 +339,47 @@ def test_only_triples_that_may_occur_elsewhere_are_asked():
     assert sum(b - a for a, b in every.spans()) == len(every.key) == len(alone.key)
 
 
+@pytest.mark.parametrize("most", [7, 1 << 40, 1 << 62])
+def test_distinct_numbers_and_their_places(most):
+    code = np.random.default_rng(1).integers(0, min(most, 900), 2000)
+    code[0] = most - 1
+    for some in (code, code[:1], code[:0]):
+        distinct, index = interpolation._distinct(some, most)
+        expected, places = np.unique(some, return_inverse=True)
+        assert distinct.tolist() == expected.tolist() and index.tolist() == places.reshape(-1).tolist()
+
+
+def test_a_chunk_sorts_places_once(monkeypatch):
+    """Only words need an argsort; counts of a text's own keys skip what occurs once, and equal plain counts."""
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(60)) for i in range(1, 40)] + ["", "a a a a b a a"]
+    n = len(texts)
+    batch = pa.table({"chunk": [0] * n, "row_key": range(n), "doc_id": range(n), "train": [i % 5 != 1 for i in range(n)], "text": texts})
+    blob = pa.Table.from_batches(list(interpolation._pack(batch.to_batches())))
+    sorts, owns, unique, own = [], [], np.unique, interpolation._own
+
+    def counted(values, *args, **named):
+        if named.get("return_inverse"):
+            sorts.append(len(values))
+        return unique(values, *args, **named)
+
+    def kept(doc, index, *several):
+        found = own(doc, index, *several)
+        owns.append((found.tolist(), [sum((doc == d) & (index == i)) for d, i in zip(doc, index)]))
+        return found
+    monkeypatch.setattr(np, "unique", counted)
+    monkeypatch.setattr(interpolation, "_own", kept)
+    tokens = interpolation._Tokens(blob, 2)
+    everything = {}
+    for keys in (tokens.words, tokens.pairs):
+        for a, b in keys.spans():
+            everything[int(keys.bucket[a])] = (interpolation.packed_counts(keys.count[a:b]), b"\x00" * (b - a))
+    answers = pa.table({"bucket": list(everything), "totals": [t for t, _ in everything.values()], "shared": [x for _, x in everything.values()]})
+    sorts.clear()
+    interpolation._events(2, len(tokens.token))(None, blob, answers)
+    assert sum(sorts) <= len(tokens.token)
+    assert len(owns) == 3 and all(mine == plain for mine, plain in owns)
+
+
 # ---- 3, 9, 2 ----------------------------------------------------------------------------------
 
 def test_quality_on_held_out_labels(spark):

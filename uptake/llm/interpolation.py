@@ -112,11 +112,12 @@ class _Tokens:
         self.learned = self.train[self.doc]
         self.token, pair = token, words.pair_up(before, token)
         self.words = _Keys(token, self.learned, 0, buckets)
-        self.pairs = _Keys(pair, self.learned, buckets, buckets)
         self.before = np.empty(len(token), dtype=np.int64)  # the key of the word before, the end's at the start
         if rows:
             self.before[1:] = self.words.index[:-1]
             self.before[self.first[:-1]] = self.words.index[last[0]]
+        types = len(self.words.key)
+        self.pairs = _Keys(pair, self.learned, buckets, buckets, code=self.before * types + self.words.index, most=types ** 2)
         # Places that have two words of their text before them, or an end and a word.
         later = np.ones(len(token), dtype=bool)
         later[self.first[:-1]] = False
@@ -126,7 +127,10 @@ class _Tokens:
         """The distinct triples; those that must be asked are the ones whose pairs both stand in other chunks too."""
         at, elsewhere = self.later, self.pairs.elsewhere(answers)
         asked = elsewhere[self.pairs.index[at - 1]] & elsewhere[self.pairs.index[at]]
-        return _Keys(words.pair_up(self.pair[at - 1], self.token[at]), self.learned[at], 2 * self.buckets, self.buckets, asked)
+        types = len(self.words.key)
+        code, most = self.pairs.index[at - 1] * types + self.words.index[at], len(self.pairs.key) * types
+        key = words.pair_up(self.pair[at - 1], self.token[at])
+        return _Keys(key, self.learned[at], 2 * self.buckets, self.buckets, asked, code, most)
 
 
 def _bytes(column):
@@ -140,22 +144,45 @@ def _bytes(column):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def _distinct(code, most):
+    """Distinct numbers of 0 to ``most`` - 1 in order, and each number's place among them. Where a number and its place fit
+    into one integer these are sorted: that takes less time than the argsort of np.unique."""
+    bits = len(code).bit_length()
+    if int(most).bit_length() + bits > 63:
+        distinct, index = np.unique(code, return_inverse=True)
+        return distinct, index.reshape(-1)
+    packed = np.sort(code.astype(np.int64) << bits | np.arange(len(code)))
+    at = packed & ((1 << bits) - 1)
+    packed >>= bits
+    new = np.r_[True, packed[1:] != packed[:-1]][:len(packed)]
+    index = np.empty(len(code), dtype=np.int64)
+    index[at] = np.cumsum(new) - 1
+    return packed[new], index
+
+
 class _Keys:
     """Distinct keys with their counts in the chunk, by bucket; those of which no place is ``asked`` come last."""
 
-    def __init__(self, key, learned, base, buckets, asked=None):
-        distinct, index = np.unique(key, return_inverse=True)
-        index = index.reshape(-1)
+    def __init__(self, key, learned, base, buckets, asked=None, code=None, most=0):
+        if code is None:
+            distinct, index = np.unique(key, return_inverse=True)
+            index = index.reshape(-1)
+        else:  # numbers below ``most`` that tell the keys apart
+            numbers, index = _distinct(code, most)
+            distinct = np.empty(len(numbers), dtype=np.uint64)
+            distinct[index] = key
         count = np.bincount(index[learned], minlength=len(distinct))
-        bucket = base + (words.mix(distinct) % np.uint64(buckets)).astype(np.int64)
+        bucket = (words.mix(distinct) % np.uint64(buckets)).astype(np.int64)
         if asked is not None:
             alone = np.ones(len(distinct), dtype=bool)
             alone[index[asked]] = False
-            bucket[alone] = np.iinfo(np.int64).max
-        order = np.argsort(bucket, kind="stable")
+            bucket[alone] = buckets
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.key, self.count, self.bucket = distinct[order], count[order], bucket[order]
+        bucket = bucket[order]
+        self.key, self.count = distinct[order], count[order]
+        self.bucket = np.where(bucket < buckets, base + bucket, np.iinfo(np.int64).max)
         self.index = rank[index]
         open_ = int(np.searchsorted(self.bucket, np.iinfo(np.int64).max))
         self.cuts = np.flatnonzero(np.r_[True, self.bucket[1:open_] != self.bucket[:max(0, open_ - 1)], True]) if open_ else np.zeros(1, int)
@@ -239,10 +266,13 @@ def _bins(p):
         return np.where(p > 0, np.minimum(np.round(-_STEPS * np.log2(np.where(p > 0, p, 1))), _NEVER - 1), _NEVER).astype(np.int64)
 
 
-def _own(doc, index):
-    """For each event how often its key occurs in its document."""
-    _, inverse, count = np.unique(doc * (index.max(initial=0) + 1) + index, return_inverse=True, return_counts=True)
-    return count[inverse.reshape(-1)]
+def _own(doc, index, several):
+    """For each event how often its key occurs in its document; only where ``several`` it may be more than once."""
+    own, at = np.ones(len(index), dtype=np.int64), np.flatnonzero(several)
+    keys = int(index.max(initial=0)) + 1
+    _, place = _distinct(doc[at] * keys + index[at], (int(doc.max(initial=0)) + 1) * keys)
+    own[at] = np.bincount(place)[place]
+    return own
 
 
 def _code(bucket, *bins):
@@ -267,9 +297,17 @@ def _events(buckets, n):
         use = np.flatnonzero(tokens.learned)  # whole texts, so a token's predecessor is the one before it here too
         doc, w, p, v = tokens.doc[use], tokens.words.index[use], tokens.pairs.index[use], tokens.before[use]
         rest = n - np.diff(tokens.first)[doc]  # tokens of the other texts
-        single = (word[w] - _own(doc, w)) / np.maximum(rest, 1)
+        # A pair occurs twice in a text only if both its words do, a triple only if both its pairs do.
+        own = _own(doc, w, tokens.words.count[w] > 1)
+        single = (word[w] - own) / np.maximum(rest, 1)
+        first = np.r_[True, doc[1:] != doc[:-1]][:len(doc)]
+        last = np.r_[first[1:], True][:len(doc)]
         # A text's contexts are its own tokens once more: all but the last, and the end before the first.
-        context, both = word[v] - _own(doc, v), pair[p] - _own(doc, p)
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[first] = own[last]
+        own_pair = _own(doc, p, (own > 1) & (before > 1) & (tokens.pairs.count[p] > 1))
+        context, both = word[v] - before, pair[p] - own_pair
         joint = both / np.maximum(context, 1)
         # After two ends the pair says what the triple would.
         far, three = context.copy(), both.copy()
@@ -277,7 +315,8 @@ def _events(buckets, n):
         at = np.searchsorted(use, tokens.later[later])
         index = triples.index[later]
         far[at] = both[at - 1]
-        three[at] = triple[index] - _own(doc[at], index)
+        several = (own_pair[at] > 1) & (own_pair[at - 1] > 1) & (triples.count[index] > 1)
+        three[at] = triple[index] - _own(doc[at], index, several)
         code = _code(_context(far, context), _bins(three / np.maximum(far, 1)), _bins(joint), _bins(single))
         distinct, count = np.unique(code, return_counts=True)
         return pa.table({"event": pa.array(distinct, pa.int64()), "n": pa.array(count, pa.int64())})
