@@ -252,7 +252,7 @@ def test_the_sample_reaches_the_driver_in_parts_and_is_held_once(spark, monkeypa
         assert found.equals(found.sort_by([(c, "ascending") for c in columns]))
         return found
     monkeypatch.setattr(quality, "gathered", counted)
-    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word ', id % 97, ' of ', id % 89) AS text")
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(if(id % 97 < 50, 'red ', 'blue '), id % 89) AS text")
     labelled = docs.selectExpr("doc_id", "if(doc_id % 97 < 50, 'a', 'b') AS domain")
     tracemalloc.start()
     model = mixing.domain_classifier(docs, labelled, ["a", "b"], n)
